@@ -17,14 +17,15 @@ def daily_fill(series: DataFrame, keys: list[str], until) -> DataFrame:
             .withColumn("date", F.explode(F.sequence("date", "_to"))).drop("_next", "_to"))
 
 
-def asof_backward(prices: DataFrame, fx: DataFrame, value: str = "close") -> DataFrame:
+def asof_backward(prices: DataFrame, fx: DataFrame, value: str = "close", until=None) -> DataFrame:
     """Value times the last rate on or before the date. The base currency passes through; rows before the
     first rate and unknown currencies give nothing.
 
     Rates are filled to one row per currency and day, so the join is an equi-join on (currency, date): a
     currency that holds a third of the prices is still spread over its days.
     """
-    rates = daily_fill(fx.select("currency", "date", "rate"), ["currency"], prices.agg(F.max("date")).scalar())
+    until = prices.agg(F.max("date")).scalar() if until is None else until
+    rates = daily_fill(fx.select("currency", "date", "rate"), ["currency"], until)
     joined = prices.join(rates, ["currency", "date"], "left")
     rate = F.when(F.col("currency") == BASE_CURRENCY, 1.0).otherwise(F.col("rate"))
     return joined.withColumn(value, F.col(value) * rate).drop("rate").where(F.col(value).isNotNull())
@@ -38,16 +39,24 @@ def subunit_map_join(df: DataFrame, col: str = "currency") -> DataFrame:
             .withColumn(col, F.coalesce(F.try_element_at(unit, F.col(col)), F.col(col))))
 
 
+def with_dividends(closes: DataFrame, divs: DataFrame) -> DataFrame:
+    """Closes with the dividend amount that counts on each trading day (null when none).
+
+    Closes and daily dividend sums go through one window per asset: every row finds the first trading day
+    on or after its date, and one aggregate on the same partitioning puts the amounts there."""
+    daily = divs.groupBy("asset", "date").agg(F.sum("amount").alias("amount"))
+    rows = (closes.select("asset", "date", "close", F.col("date").alias("trade_date"))
+            .unionByName(daily, allowMissingColumns=True))
+    ahead = W.partitionBy("asset").orderBy("date").rangeBetween(W.currentRow, W.unboundedFollowing)
+    return (rows.withColumn("trade_date", F.min("trade_date").over(ahead)).where(F.col("trade_date").isNotNull())
+            .groupBy("asset", F.col("trade_date").alias("date"))
+            .agg(F.max("close").alias("close"), F.sum("amount").alias("amount")))
+
+
 def asof_forward(closes: DataFrame, divs: DataFrame) -> DataFrame:
     """Dividend amount per trading day: an ex-date without a close counts on the next trading day, amounts
     of one day add up, dividends after the last close are dropped."""
-    daily = divs.groupBy("asset", "date").agg(F.sum("amount").alias("amount"))
-    both = (closes.select("asset", "date", F.col("date").alias("trade_date"), F.lit(None).cast("double").alias("amount"))
-            .unionByName(daily.withColumn("trade_date", F.lit(None).cast("date"))))
-    ahead = W.partitionBy("asset").orderBy("date").rangeBetween(W.currentRow, W.unboundedFollowing)
-    return (both.withColumn("trade_date", F.min("trade_date").over(ahead))
-            .where(F.col("amount").isNotNull() & F.col("trade_date").isNotNull())
-            .groupBy("asset", F.col("trade_date").alias("date")).agg(F.sum("amount").alias("amount")))
+    return with_dividends(closes, divs).where(F.col("amount").isNotNull()).drop("close")
 
 
 def price_at(target, gap_days: int):

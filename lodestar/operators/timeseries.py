@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, WindowSpec, functions as F
 
-from lodestar.operators.asof import asof_backward, asof_forward, daily_fill, subunit_map_join
+from lodestar.operators.asof import asof_backward, daily_fill, subunit_map_join, with_dividends
 from lodestar.params import DEFAULTS, Params
 
 
@@ -80,11 +80,10 @@ def jump_trim(closes: DataFrame, p: Params = DEFAULTS) -> DataFrame:
 
 def total_return_index(closes: DataFrame, divs: DataFrame) -> DataFrame:
     """Close plus reinvested dividends, at the level of the close on the last day."""
-    paid = asof_forward(closes, divs)
     g = F.ln((F.col("close") + F.coalesce("amount", F.lit(0.0))) / F.lag("close").over(by_date()))
     later = F.coalesce(F.sum("_g").over(by_date().rowsBetween(1, W.unboundedFollowing)), F.lit(0.0))
     last = F.last("close").over(by_date().rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
-    return (closes.join(paid, ["asset", "date"], "left").withColumn("_g", g)
+    return (with_dividends(closes, divs).withColumn("_g", g)
             .withColumn("tr", last * F.exp(-later)).drop("_g", "amount"))
 
 
@@ -97,7 +96,7 @@ def nok_prices(closes: DataFrame, divs: DataFrame, fx: DataFrame, currencies: Da
     tr = total_return_index(clean_series(closes, p), divs).select("asset", "date", F.col("tr").alias("close"))
     quoted = subunit_map_join(tr.join(currencies, "asset"))
     priced = quoted.withColumn("close", F.col("close") * F.col("factor")).drop("factor")
-    return asof_backward(priced, fx).select("asset", "date", "close")
+    return asof_backward(priced, fx, until=closes.agg(F.max("date")).scalar()).select("asset", "date", "close")
 
 
 def cleaning_counts(closes: DataFrame, p: Params = DEFAULTS) -> DataFrame:
@@ -219,8 +218,8 @@ def performance_stats(returns: DataFrame, bench: DataFrame, rf: DataFrame, p: Pa
     A window counts only when every month exists; benchmark numbers need a complete benchmark too."""
     end = returns.agg(F.max("mi")).scalar()
     monthly = rf.join(bench.select("mi", F.col("r").alias("b")), "mi", "left")
-    fits = F.filter(F.array(*[F.lit(y) for y in p.periods]), lambda y: F.col("mi") > end - 12 * y)
-    rows = returns.join(monthly, "mi").withColumn("years", F.explode(fits))
+    rows = (returns.join(monthly, "mi").withColumn("years", F.explode(F.array(*[F.lit(y) for y in p.periods])))
+            .where(F.col("mi") > end - 12 * F.col("years")))
     per = W.partitionBy("asset", "years").orderBy("mi").rowsBetween(W.unboundedPreceding, 0)
     rows = rows.withColumn("v", F.product(1 + F.col("r")).over(per))
     rows = rows.withColumn("dd", F.col("v") / F.greatest(F.lit(1.0), F.max("v").over(per)) - 1)

@@ -1,4 +1,4 @@
 """Registered queries; importing the modules fills the registry."""
 
 from lodestar.plans.registry import ORACLES, QUERIES, Tables  # noqa: F401
-from lodestar.plans import series  # noqa: F401
+from lodestar.plans import models, series  # noqa: F401

@@ -8,6 +8,7 @@ from lodestar.operators import asof, timeseries as ts
 from lodestar.params import DEFAULTS
 from lodestar.plans.adapters import DUCK, SQL
 from lodestar.plans.registry import query, shared
+from lodestar.session import durable
 
 BENCH = "Brand#1"
 
@@ -103,7 +104,8 @@ DUCK["rfm"] = DUCK["rfm"].replace("rate_months", "{rate_months}")
 # ------------------------------------------------------------------ operator outputs shared by queries
 @shared
 def mret(t):
-    return ts.monthly_returns(t.panel)
+    # written once: every statistic reads this small table instead of the daily prices
+    return durable(ts.monthly_returns(t.panel))
 
 
 @shared
