@@ -5,3 +5,19 @@ BASE_CURRENCY = "NOK"
 
 # Quote units of some exchanges: unit -> (main currency, factor).
 SUBUNITS = {"GBp": ("GBP", 0.01), "GBX": ("GBP", 0.01), "ZAc": ("ZAR", 0.01), "ILA": ("ILS", 0.01)}
+
+# Domiciles accepted by the tax-favoured account.
+ASK_COUNTRIES = ["AT", "BE", "BG", "CY", "CZ", "DE", "DK", "EE", "ES", "FI", "FR", "GR", "HR", "HU", "IE", "IS", "IT", "LI",
+                 "LT", "LU", "LV", "MT", "NL", "NO", "PL", "PT", "RO", "SE", "SI", "SK"]
+
+# Leveraged and currency-hedged instruments.
+EXCLUDE_CATEGORIES = ["Trading Tools"]
+EXCLUDE_NAME = r"leverag|\b[2-5]x\b|\(-?[1-5]x\)|short|invers|\bbear\b|\bbull\b"
+HEDGED_NAME = r"(?<!tail )hedg|\bhdg\b|\bhgd\b|pfhdg"
+
+# Exchange code of a listing slug -> price symbol suffix; code-list exchange -> suffix, in priority order.
+LISTING_SUFFIX = {"xeta": ".DE", "xsto": ".ST", "xcse": ".CO", "xosl": ".OL", "xhel": ".HE", "xetr": ".DE"}
+CODE_SUFFIX = {"GY": ".DE", "LN": ".L", "NA": ".AS", "FP": ".PA", "IM": ".MI", "SW": ".SW", "SE": ".SW", "SS": ".ST", "DC": ".CO",
+               "NO": ".OL", "FH": ".HE", "BB": ".BR", "SM": ".MC", "AV": ".VI", "ID": ".IR", "GF": ".F", "GS": ".SG", "GM": ".MU",
+               "GD": ".DU", "GB": ".BE", "GH": ".HM"}
+QUOTE_TYPES = ["ETF", "MUTUALFUND", "EQUITY"]

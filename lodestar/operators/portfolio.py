@@ -37,8 +37,8 @@ def shrinkage(returns: DataFrame) -> DataFrame:
             .where(F.col("j.mi") >= F.col("i.mi"))
             .groupBy(F.col("i.mi").alias("i"), F.col("j.mi").alias("j")).agg(F.sum(F.col("i.x") * F.col("j.x")).alias("g")))
     norm = gram.agg(F.sum(F.when(F.col("i") == F.col("j"), 1.0).otherwise(2.0) * F.col("g") * F.col("g"))).scalar()
-    s = (a.withColumn("gg", norm).withColumn("m", m.select(F.struct("*")).scalar())
-         .select("N", "ds", "ds2", "x4", "gg", "m.*").withColumn("T", F.col("T").cast("double")))
+    s = (a.withColumn("gg", norm).withColumn("_m", m.select(F.struct("*")).scalar())
+         .select("N", "ds", "ds2", "x4", "gg", "_m.*").withColumn("T", F.col("T").cast("double")))
     k = (F.col("T") - 1) / F.col("T")
     s = (s.withColumn("norm", F.col("gg") / F.pow(F.col("T") - 1, F.lit(2.0)))
          .withColumn("Q", F.col("uu") / (F.col("T") - 1))

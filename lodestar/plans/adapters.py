@@ -46,7 +46,7 @@ FROM {lineitem} JOIN {part} ON l_partkey = p_partkey WHERE l_quantity = 50"""
 SQL["fx"] = """
 SELECT CASE o_orderpriority WHEN '1-URGENT' THEN 'EUR' WHEN '2-HIGH' THEN 'USD' WHEN '3-MEDIUM' THEN 'SEK'
             WHEN '4-NOT SPECIFIED' THEN 'GBP' ELSE 'ZAR' END AS currency,
-       CAST(o_orderdate AS DATE) AS date, avg(o_totalprice) / 100000 AS rate
+       CAST(o_orderdate AS DATE) AS date, avg(o_totalprice) / 97531 AS rate
 FROM {orders} GROUP BY 1, 2"""
 
 SQL["asset_ccy"] = f"""
@@ -59,7 +59,7 @@ FROM {lineitem} WHERE l_returnflag = 'A' GROUP BY CAST(l_shipdate AS DATE)"""
 
 # sparse table of rate decisions that also starts before the daily series
 SQL["fallback"] = """
-SELECT CAST(o_orderdate AS DATE) AS date, avg(o_totalprice) / 100000 AS rate
+SELECT CAST(o_orderdate AS DATE) AS date, avg(o_totalprice) / 97531 AS rate
 FROM {orders} WHERE day(o_orderdate) = 15 GROUP BY CAST(o_orderdate AS DATE)"""
 
 # ------------------------------------------------------------------ runs and snapshots
@@ -84,9 +84,12 @@ SQL["run_now"] = "SELECT * FROM {snap} WHERE run_id = (SELECT max(run_id) FROM {
 
 # state before the last run: latest row per instrument, active when seen in the run just before
 SQL["master"] = """
-SELECT s.instrument_id, max_by(isin, s.run_id) AS isin, max_by(name, s.run_id) AS name,
-       max_by(category, s.run_id) AS category, max_by(fee, s.run_id) AS fee,
-       max_by(owners, s.run_id) AS owners, max_by(is_tradable, s.run_id) AS is_tradable,
+SELECT s.instrument_id, max_by(isin, CASE WHEN isin IS NOT NULL THEN s.run_id END) AS isin,
+       max_by(name, CASE WHEN name IS NOT NULL THEN s.run_id END) AS name,
+       max_by(category, CASE WHEN category IS NOT NULL THEN s.run_id END) AS category,
+       max_by(fee, CASE WHEN fee IS NOT NULL THEN s.run_id END) AS fee,
+       max_by(owners, CASE WHEN owners IS NOT NULL THEN s.run_id END) AS owners,
+       max_by(is_tradable, CASE WHEN is_tradable IS NOT NULL THEN s.run_id END) AS is_tradable,
        min(run_date) AS first_seen, max(run_date) AS last_seen,
        CASE WHEN max(run_date) < max(p.prev) THEN max(run_date) END AS delisted_at,
        max(run_date) = max(p.prev) AS active
@@ -107,7 +110,7 @@ GROUP BY l_suppkey, no, p_brand, s_nationkey"""
 
 SQL["cand"] = """
 SELECT 'IE' || lpad(CAST(user_id AS STRING), 10, '0') AS isin,
-       'T' || CAST(user_id % 50 AS STRING) || split_part('.DE|.L|.AS|.PA|.MI', '|', CAST(1 + value % 5 AS INT)) AS ticker,
+       'T' || CAST(user_id % 50 AS STRING) || split_part('.DE|.L|.AS|.PA|.MI', '|', CAST(1 + floor(value) % 5 AS INT)) AS ticker,
        CASE event_type WHEN 'click' THEN 'listing' WHEN 'view' THEN 'search' ELSE 'codes' END AS source,
        CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN 2 ELSE 3 END AS source_rank,
        event_id AS pos, CAST(ts AS DATE) AS date FROM {events}"""

@@ -17,7 +17,7 @@ RAW = ("region nation customer supplier part orders lineitem events documents em
        "benchmark labels conversations").split()
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+_ORACLES: dict[str, tuple[str, str]] = {}
 SHARED: dict[str, Callable[["Tables"], DataFrame]] = {}
 
 
@@ -91,7 +91,11 @@ def query(name: str, uses: str = "", sql: str | None = None, digits: int = 6):
 
         QUERIES[name] = run
         if sql is not None:
-            ORACLES[name] = oracle(uses, sql)
+            _ORACLES[name] = (uses, sql)
         return fn
 
     return wrap
+
+
+def oracles() -> dict[str, str]:
+    return {name: oracle(*parts) for name, parts in _ORACLES.items()}
