@@ -20,6 +20,8 @@ def duck(name: str) -> str:
 _BRAND_NO = "CAST(substr(p_brand, 7) AS INT)"
 
 SQL: dict[str, str] = {}
+# tables a user would have stored: several joins of raw tables, then read more than once by a query
+STORED = {"alloc"}
 DUCK: dict[str, str] = {}
 
 # ------------------------------------------------------------------ prices, dividends, rates
@@ -149,7 +151,7 @@ SELECT p_partkey AS instrument_id, split_part('IE|LU|US|NO', '|', p_size % 4 + 1
 FROM {{part}}"""
 
 SQL["fund"] = """
-SELECT s_suppkey AS instrument_id, 'LU' || lpad(CAST(s_suppkey AS STRING), 10, '0') AS isin, s_name AS name,
+SELECT s_suppkey AS instrument_id, 'LU9' || lpad(CAST(s_suppkey AS STRING), 9, '0') AS isin, s_name AS name,
        'Company ' || CAST(s_nationkey AS STRING) AS company,
        split_part('Global Equity Large Cap|Global Emerging Markets Equity|Global Equity Mid/Small Cap|Euro Money Market|Global Fixed Income', '|', s_nationkey % 5 + 1) AS category,
        split_part('Aksjer|Aksjer|Aksjer|Pengemarked|Renter', '|', s_nationkey % 5 + 1) AS asset_class,
@@ -178,7 +180,8 @@ FROM {supplier} JOIN (SELECT l_suppkey, count(*) AS n, min(l_shipdate) AS first_
 # holdings: percent shares per fund, long form (kind reg / sec / ast / top)
 SQL["alloc"] = f"""
 SELECT isin, kind, label, 100 * v / sum(v) OVER (PARTITION BY isin, kind) AS weight
-FROM (SELECT 'LU' || lpad(CAST(l_suppkey AS STRING), 10, '0') AS isin, kind, label, sum(v) AS v
+FROM (SELECT 'LU9' || lpad(CAST(l_suppkey AS STRING), 9, '0') AS isin, kind, label,
+             CASE WHEN kind IN ('reg', 'sec') THEN pow(sum(v), 3) ELSE sum(v) END AS v
       FROM (SELECT l_suppkey, 'sec' AS kind, p_type AS label, l_extendedprice AS v FROM {{lineitem}} JOIN {{part}} ON l_partkey = p_partkey
             UNION ALL SELECT l_suppkey, 'top', CAST({_BRAND_NO} AS STRING), l_extendedprice FROM {{lineitem}} JOIN {{part}} ON l_partkey = p_partkey
             UNION ALL SELECT l_suppkey, 'ast', CASE l_returnflag WHEN 'A' THEN 'Renter' WHEN 'N' THEN 'Aksjer' ELSE 'Kontanter' END, l_extendedprice FROM {{lineitem}}
@@ -186,11 +189,11 @@ FROM (SELECT 'LU' || lpad(CAST(l_suppkey AS STRING), 10, '0') AS isin, kind, lab
                       JOIN {{customer}} ON o_custkey = c_custkey JOIN {{nation}} ON c_nationkey = n_nationkey JOIN {{region}} ON n_regionkey = r_regionkey) l
       GROUP BY l_suppkey, kind, label) s"""
 
+# an order is a basket of funds
 SQL["pf_fund"] = """
 SELECT portfolio_id, isin, v / sum(v) OVER (PARTITION BY portfolio_id) AS w
-FROM (SELECT CAST(c_nationkey AS BIGINT) AS portfolio_id, 'LU' || lpad(CAST(l_suppkey AS STRING), 10, '0') AS isin, sum(l_extendedprice) AS v
-      FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_custkey = c_custkey
-      GROUP BY c_nationkey, l_suppkey) s"""
+FROM (SELECT l_orderkey AS portfolio_id, 'LU9' || lpad(CAST(l_suppkey AS STRING), 9, '0') AS isin, sum(l_extendedprice) AS v
+      FROM {lineitem} GROUP BY l_orderkey, l_suppkey) s"""
 
 SQL["pf_asset"] = """
 SELECT portfolio_id, asset, v / sum(v) OVER (PARTITION BY portfolio_id) AS w

@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lodestar.plans import adapters
+from lodestar.session import durable
 
 RAW = ("region nation customer supplier part orders lineitem events documents embeddings pages "
        "benchmark labels conversations").split()
@@ -36,6 +37,7 @@ class Tables:
             else:
                 sql = adapters.SQL[name]
                 df = self.spark.sql(sql, **{d: getattr(self, d) for d in adapters.deps(sql)})
+                df = durable(df) if name in adapters.STORED else df
             self._cache[name] = df
         return self._cache[name]
 
