@@ -239,28 +239,32 @@ def weighted_cost(weights: DataFrame, products: DataFrame, cheapest: DataFrame)
 def look_through(weights: DataFrame, alloc: DataFrame) -> DataFrame:
     """(portfolio_id, kind, label, share): asset classes, regions and sectors of the equity part, companies, totals.
 
-    Every step is a join on the fund and a sum; a portfolio is never gathered."""
-    sh = shares(alloc)
-    eq = (sh.where(F.col("kind") == "ast").groupBy("isin").agg(F.sum(F.when(F.col("label") == EQUITY, F.col("share")).otherwise(0.0)).alias("eq")))
-    top = alloc.where(F.col("kind") == "top").groupBy("isin").agg(F.sum("weight").alias("top_sum"))
-    known = alloc.select("isin").distinct()
-    parts = (weights.where(F.col("w") > 0).join(known, "isin", "left_semi").join(eq, "isin", "left").join(top, "isin", "left")
-             .withColumn("e", F.col("w") * F.coalesce("eq", F.lit(1.0))))
-    has = sh.where(F.col("kind") == "reg").select("isin").distinct().withColumn("has_reg", F.lit(True))
-    totals = parts.join(has, "isin", "left").groupBy("portfolio_id").agg(
-        F.sum("w").alias("covered"), F.sum(F.when(F.col("has_reg"), F.col("e")).otherwise(0.0)).alias("equity"),
+    One row of sums per fund, one join on the fund, one sum per (portfolio, kind, label); a portfolio's funds
+    are never gathered."""
+    def total(kind: str, cond: Column | None = None) -> Column:
+        hit = (F.col("kind") == kind) & (F.col("weight") > 0)
+        return F.sum(F.when(hit if cond is None else hit & cond, F.col("weight")))
+
+    facts = alloc.groupBy("isin").agg(
+        total("reg").alias("reg_sum"), total("sec").alias("sec_sum"), total("ast").alias("ast_sum"),
+        total("ast", F.col("label") == EQUITY).alias("eq_sum"), F.sum(F.when(F.col("kind") == "top", F.col("weight"))).alias("top_sum"))
+    # all equity when a fund reports no asset classes
+    eq = F.when(F.col("ast_sum").isNull(), 1.0).otherwise(F.coalesce("eq_sum", F.lit(0.0)) / F.col("ast_sum"))
+    parts = weights.where(F.col("w") > 0).join(facts, "isin").withColumn("e", F.col("w") * eq)
+    share = (F.when(F.col("kind") == "top", F.col("w") * F.col("weight") / 100)
+             .when(F.col("weight") <= 0, None).when(F.col("kind") == "ast", F.col("w") * F.col("weight") / F.col("ast_sum"))
+             .when(F.col("kind") == "reg", F.col("e") * F.col("weight") / F.col("reg_sum")).otherwise(F.col("e") * F.col("weight") / F.col("sec_sum")))
+    kind = F.when(F.col("kind") == "top", "company").otherwise(F.col("kind"))
+    rows = (parts.join(alloc, "isin").select("portfolio_id", kind.alias("kind"), "label", share.alias("share")).where(F.col("share").isNotNull())
+            .groupBy("portfolio_id", "kind", "label").agg(F.sum("share").alias("share")))
+    # regions and sectors as shares of their own sum; a portfolio has few labels of a kind left
+    own = F.sum("share").over(W.partitionBy("portfolio_id", "kind"))
+    scaled = rows.withColumn("share", F.when(F.col("kind").isin("reg", "sec") & (own > 0), F.col("share") / own).otherwise(F.col("share")))
+    totals = parts.groupBy("portfolio_id").agg(
+        F.sum("w").alias("covered"), F.sum(F.when(F.col("reg_sum").isNotNull(), F.col("e")).otherwise(0.0)).alias("equity"),
         F.sum(F.col("w") * F.least(F.lit(1.0), F.coalesce("top_sum", F.lit(0.0)) / 100)).alias("top_covered"))
-    weight = F.when(F.col("kind") == "ast", F.col("w")).otherwise(F.col("e"))
-    raw = (parts.select("portfolio_id", "isin", "w", "e").join(sh, "isin").groupBy("portfolio_id", "kind", "label")
-           .agg(F.sum(weight * F.col("share")).alias("share")))
-    sums = raw.groupBy("portfolio_id", "kind").agg(F.sum("share").alias("_sum"))
-    scaled = (raw.join(sums, ["portfolio_id", "kind"])
-              .withColumn("share", F.when(F.col("kind") == "ast", F.col("share")).when(F.col("_sum") > 0, F.col("share") / F.col("_sum")).otherwise(F.col("share")))
-              .drop("_sum"))
-    comp = (parts.join(alloc.where(F.col("kind") == "top"), "isin").groupBy("portfolio_id", F.lit("company").alias("kind"), "label")
-            .agg(F.sum(F.col("w") * F.col("weight") / 100).alias("share")))
-    line = totals.unpivot("portfolio_id", ["covered", "equity", "top_covered"], "label", "share").withColumn("kind", F.lit("total"))
-    return scaled.unionByName(comp).unionByName(line.select("portfolio_id", "kind", "label", "share"))
+    line = totals.unpivot("portfolio_id", ["covered", "equity", "top_covered"], "label", "share")
+    return scaled.unionByName(line.select("portfolio_id", F.lit("total").alias("kind"), "label", "share"))
 
 
 def clean_company(name: Column) -> Column:

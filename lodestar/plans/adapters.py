@@ -21,7 +21,7 @@ _BRAND_NO = "CAST(substr(p_brand, 7) AS INT)"
 
 SQL: dict[str, str] = {}
 # tables a user would have stored: several joins of raw tables, then read more than once by a query
-STORED = {"alloc"}
+STORED = {"alloc", "panel", "snap", "dirty"}
 DUCK: dict[str, str] = {}
 
 # ------------------------------------------------------------------ prices, dividends, rates
@@ -85,19 +85,19 @@ FROM {snap} GROUP BY run_id, run_date"""
 SQL["run_now"] = "SELECT * FROM {snap} WHERE run_id = (SELECT max(run_id) FROM {snap})"
 
 # state before the last run: latest row per instrument, active when seen in the run just before
+SQL["before"] = "SELECT * FROM {snap} WHERE run_id < (SELECT max(run_id) FROM {snap})"
+
 SQL["master"] = """
-SELECT s.instrument_id, max_by(isin, CASE WHEN isin IS NOT NULL THEN s.run_id END) AS isin,
-       max_by(name, CASE WHEN name IS NOT NULL THEN s.run_id END) AS name,
-       max_by(category, CASE WHEN category IS NOT NULL THEN s.run_id END) AS category,
-       max_by(fee, CASE WHEN fee IS NOT NULL THEN s.run_id END) AS fee,
-       max_by(owners, CASE WHEN owners IS NOT NULL THEN s.run_id END) AS owners,
-       max_by(is_tradable, CASE WHEN is_tradable IS NOT NULL THEN s.run_id END) AS is_tradable,
+SELECT instrument_id, max_by(isin, CASE WHEN isin IS NOT NULL THEN run_id END) AS isin,
+       max_by(name, CASE WHEN name IS NOT NULL THEN run_id END) AS name,
+       max_by(category, CASE WHEN category IS NOT NULL THEN run_id END) AS category,
+       max_by(fee, CASE WHEN fee IS NOT NULL THEN run_id END) AS fee,
+       max_by(owners, CASE WHEN owners IS NOT NULL THEN run_id END) AS owners,
+       max_by(is_tradable, CASE WHEN is_tradable IS NOT NULL THEN run_id END) AS is_tradable,
        min(run_date) AS first_seen, max(run_date) AS last_seen,
-       CASE WHEN max(run_date) < max(p.prev) THEN max(run_date) END AS delisted_at,
-       max(run_date) = max(p.prev) AS active
-FROM {snap} s JOIN (SELECT max(run_date) AS prev, max(run_id) AS prev_id FROM {snap}
-                    WHERE run_id < (SELECT max(run_id) FROM {snap})) p ON s.run_id <= p.prev_id
-GROUP BY s.instrument_id"""
+       CASE WHEN max(run_date) < (SELECT max(run_date) FROM {before}) THEN max(run_date) END AS delisted_at,
+       max(run_date) = (SELECT max(run_date) FROM {before}) AS active
+FROM {before} GROUP BY instrument_id"""
 
 # ------------------------------------------------------------------ listings and candidates
 SQL["listing"] = f"""

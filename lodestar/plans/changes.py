@@ -9,7 +9,7 @@ from pyspark.sql import Window as W, functions as F
 from lodestar.operators import changes as ch, checks, incremental as inc, ranking as rk
 from lodestar.params import DEFAULTS
 from lodestar.plans.adapters import DUCK, SQL
-from lodestar.plans.registry import query, shared
+from lodestar.plans.registry import query, shared, stage
 
 NOW = "DATE '2024-01-31'"
 _TXT_FEE = "CASE WHEN {0} = floor({0}) THEN CAST(CAST({0} AS BIGINT) AS VARCHAR) ELSE CAST({0} AS VARCHAR) END"
@@ -156,7 +156,7 @@ SELECT l.run_id, l.instrument_id, l.change, NULL AS field, CASE WHEN l.change =
 UNION ALL SELECT run_id, instrument_id, 'changed', field, old, new FROM {cells} WHERE prev IS NOT NULL AND new IS NOT NULL AND old IS DISTINCT FROM new"""
 
 
-@shared
+@stage
 def log(t):
     return ch.change_log(t.snap, t.runs)
 
@@ -291,7 +291,7 @@ def _(t):
 
 SQL["passes"] = """
 SELECT r.round, s.instrument_id, CAST(floor(s.instrument_id / 20) AS BIGINT) AS page, s.instrument_id % 20 AS pos, s.category
-FROM {snap} s JOIN (SELECT a.run_id, count(*) AS round FROM {runs} a JOIN {runs} b ON b.run_id <= a.run_id GROUP BY a.run_id) r ON r.run_id = s.run_id"""
+FROM {snap} s JOIN (SELECT run_id, CAST(row_number() OVER (ORDER BY run_id) AS BIGINT) AS round FROM {runs}) r ON r.run_id = s.run_id"""
 
 
 @query("page_round_union", "passes", """

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 from lodestar.functions.scalars import gross_return, savings_value
 from lodestar.operators import holdings as ho, reports as rp
 from lodestar.plans.adapters import DUCK, SQL
-from lodestar.plans.registry import query, shared
-from lodestar.session import durable
+from lodestar.plans.registry import query, shared, stage
 
 SQL["pf_cust"] = """
 SELECT portfolio_id, isin, v / sum(v) OVER (PARTITION BY portfolio_id) AS w
@@ -48,7 +47,7 @@ def grid(t):
     return ho.twin_grid(t.alloc)
 
 
-@shared
+@stage
 def twin_rows(t):
     return ho.twins(t.products, t.alloc, t.products, t.grid)
 
@@ -182,11 +181,11 @@ def _(t):
 
 
 # ------------------------------------------------------------------ proxies and suggestions
-@shared
+@stage
 def proxy(t):
     f = t.fund.withColumn("vol", F.coalesce("vol5", "vol3", "vol1")).withColumnRenamed("isin", "id")
     quiet = F.col("asset_class").isin("Renter", "Pengemarked") & (F.col("currency") == "NOK")
-    return durable(ho.proxy_choice(f.where((F.col("kind") == "fond") & ~quiet), f.where(F.col("kind") == "etf"), t.alloc))
+    return ho.proxy_choice(f.where((F.col("kind") == "fond") & ~quiet), f.where(F.col("kind") == "etf"), t.alloc)
 
 
 DUCK["proxy"] = """
@@ -210,7 +209,26 @@ SQL["proxy_ret"] = """
 SELECT f.isin AS asset, m.mi, m.r FROM {fund} f JOIN {late} m ON m.asset = 'Brand#' || CAST(f.instrument_id % 25 + 1 AS STRING) WHERE f.kind = 'etf'"""
 
 
-@query("proxy_history")
+DUCK["proxy_par"] = """
+SELECT f.isin AS id, p.proxy, coalesce(p.k, 1) AS k, coalesce(vol5, vol3, vol1) AS vol,
+       CASE WHEN p.proxy IS NULL AND asset_class IN ('Renter', 'Pengemarked') AND coalesce(vol5, vol3, vol1) > 0.012 THEN 0.5 ELSE 0 END AS corr,
+       CASE WHEN r5 IS NOT NULL THEN 60 WHEN r3 IS NOT NULL THEN 36 ELSE 12 END AS len, coalesce(r5, r3, r1) AS ret, (coalesce(f.cost, 0) - coalesce(c.cost, 0)) / 100 AS drag
+FROM {fund} f LEFT JOIN {proxy} p ON p.id = f.isin LEFT JOIN (SELECT isin, cost FROM {fund}) c ON c.isin = p.proxy WHERE f.kind = 'fond'"""
+DUCK["proxy_base"] = f"""
+SELECT p.id, p.proxy, p.len, p.ret, p.drag, x.mi, lim.b - p.len + 1 AS first, CASE WHEN p.proxy IS NOT NULL THEN x.rf + p.k * (q.r - x.rf) ELSE
+       x.rf + p.vol * sqrt(1 - corr * corr) / sqrt(12) * CASE WHEN s - floor(s) < 0.5 THEN -1 ELSE 1 END + corr * p.vol / 0.15 * coalesce(m.r - x.rf, 0) END AS base
+FROM {{proxy_par}} p CROSS JOIN (SELECT min(mi) AS a, max(mi) AS b FROM {{rfm}}) lim CROSS JOIN (SELECT *, sin((mi - (SELECT min(mi) FROM {{rfm}}) + 1) * 12.9898::DOUBLE) * 43758.5453::DOUBLE AS s FROM {{rfm}}) x
+LEFT JOIN {{proxy_ret}} q ON q.asset = p.proxy AND q.mi = x.mi LEFT JOIN {{mret}} m ON m.asset = 'Brand#1' AND m.mi = x.mi WHERE p.proxy IS NULL OR q.r IS NOT NULL"""
+
+
+@query("proxy_history", "proxy_base", """
+WITH RECURSIVE w AS (SELECT id, list(base) AS bs, pow(1 + max(ret), max(len) / 12.0::DOUBLE) AS want FROM proxy_base WHERE mi >= first GROUP BY id HAVING count(*) = max(len)),
+it AS (SELECT id, bs, want, -0.05::DOUBLE AS lo, 0.05::DOUBLE AS hi, 0.0::DOUBLE AS c, 0 AS i FROM w
+       UNION ALL SELECT id, bs, want, CASE WHEN g < want THEN mid ELSE lo END, CASE WHEN g < want THEN hi ELSE mid END, mid, i + 1
+       FROM (SELECT *, (lo + hi) / 2 AS mid, list_aggregate(list_transform(bs, lambda b: 1 + b + (lo + hi) / 2), 'product') AS g FROM it WHERE i < 60) s),
+c AS (SELECT id, c FROM it WHERE i = 60)
+SELECT b.id, b.mi, R8(CASE WHEN c.id IS NOT NULL AND b.mi >= b.first THEN b.base + c.c ELSE b.base - b.drag / 12 + CASE WHEN b.proxy IS NULL THEN coalesce(c.c, 0) ELSE 0 END END) AS r
+FROM proxy_base b LEFT JOIN c ON c.id = b.id""", digits=8)
 def _(t):
     vol = F.coalesce("vol5", "vol3", "vol1")
     years = F.when(F.col("r5").isNotNull(), 5).when(F.col("r3").isNotNull(), 3).when(F.col("r1").isNotNull(), 1)

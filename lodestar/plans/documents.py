@@ -12,8 +12,8 @@ from lodestar.functions.scalars import annualise
 from lodestar.operators import instruments as ins
 from lodestar.operators.asof import subunit_map_join
 from lodestar.plans.adapters import DUCK, SQL
-from lodestar.plans.registry import query, shared
-from lodestar.session import durable, ensure_checkpoint_dir
+from lodestar.plans.registry import query, shared, stage
+from lodestar.session import ensure_checkpoint_dir, stored
 from lodestar.sources import bars, pages, tables
 
 
@@ -70,7 +70,7 @@ def _(t):
     quote = F.struct(F.array(F.struct(F.col("b.c").alias("close"))).alias("quote"))
     raw = docs.join(div, ["asset", "y"], "left").join(spl, ["asset", "y"], "left").select("asset", F.to_json(F.struct(
         meta.alias("meta"), F.col("b.ts").alias("timestamp"), quote.alias("indicators"), F.struct("dividends", "splits").alias("events")), {"ignoreNullFields": "false"}).alias("json"))
-    p = bars.parse(durable(raw))
+    p = bars.parse(stored(raw))
     return (bars.closes(p).select(F.lit("close").alias("kind"), "asset", "date", F.col("close").alias("value"))
             .union(bars.dividends(p).select(F.lit("dividend"), "asset", "date", "amount"))
             .union(bars.splits(p).select(F.lit("split"), "asset", "date", "ratio")))
@@ -98,9 +98,9 @@ def state_pages(t):
     return t.pages.join(per.withColumn("script", script).select("page_id", "script"), "page_id").select("page_id", F.concat("html", "script").alias("html"))
 
 
-@shared
+@stage
 def page_records(t):
-    return durable(pages.results(t.state_pages))
+    return pages.results(t.state_pages)
 
 
 @query("page_record_extract", "page_items", "SELECT instrument_id, page_id, CAST(1234 AS BIGINT) AS total, name, ticker AS symbol, isin, currency FROM page_items")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lodestar.functions.fixed_values import ASK_COUNTRIES, CODE_SUFFIX, LISTING_SUFFIX
 from lodestar.operators import predicates as pr, ranking as rk, reports as rp
 from lodestar.plans.adapters import DUCK, SQL
-from lodestar.plans.registry import query, shared
+from lodestar.plans.registry import query, shared, stage
 
 _LEV = r"(category = 'Trading Tools' OR regexp_matches(lower(name), 'leverag|\b[2-5]x\b|\(-?[1-5]x\)|short|invers|\bbear\b|\bbull\b'))"
 _HEDGED = r"regexp_matches(replace(lower(name), 'tail hedg', ''), 'hedg|\bhdg\b|\bhgd\b|pfhdg')"
@@ -236,7 +236,7 @@ UNION ALL SELECT isin, 'fond', name, '', cost, asset_class, category, is_index,
        CASE WHEN asset_class IN ('Renter', 'Pengemarked') THEN 'Rentefond' WHEN is_index THEN 'Indeksfond' WHEN asset_class = 'Blandet' THEN 'Kombinasjonsfond' ELSE 'Aktivt fond' END FROM {fund}"""
 
 
-@shared
+@stage
 def products(t):
     return pr.product_view(t.etf, t.fund)
 

@@ -8,14 +8,14 @@ from lodestar.operators import checks, cluster, pairs, portfolio as pf, timeseri
 from lodestar.params import DEFAULTS
 from lodestar.plans import series
 from lodestar.plans.adapters import DUCK, SQL
-from lodestar.plans.registry import query, shared
+from lodestar.plans.registry import query, shared, stage
 from lodestar.plans.series import BENCH, story_sql
-from lodestar.session import durable
+from lodestar.session import stored
 
 # ------------------------------------------------------------------ share classes of each brand
 DUCK["pret"] = series._period_sql("year(date) * 12 + month(date)", "last_day(date)").replace("panel", "{panel}").replace("R8(r)", "r")
 # copies (a, b), close and less close classes, one with error months, one with a short history
-SQL["classes"] = """
+DUCK["classes"] = """
 SELECT p.asset || '-' || k.cls AS asset, p.period, p.r * k.f + CASE WHEN k.cls = 'f' AND p.period % 25 = 3 THEN 0.15 ELSE 0.0 END AS r
 FROM {pret} p JOIN (SELECT 'a' AS cls, CAST(1.0 AS DOUBLE) AS f, 0 AS since UNION ALL SELECT 'b', 1.0, 0 UNION ALL SELECT 'c', 1.012, 0
                     UNION ALL SELECT 'd', 1.031, 0 UNION ALL SELECT 'e', 1.043, 0 UNION ALL SELECT 'f', 1.02, 0
@@ -24,12 +24,12 @@ SQL["class_members"] = """
 SELECT DISTINCT asset, asset AS name, split_part(asset, '-', 1) || CASE WHEN asset LIKE '%-e' THEN ' far' ELSE '' END AS cluster FROM {classes}"""
 
 
-@shared
+@stage
 def pret(t):
-    return durable(ts.period_returns(t.panel, "ME"))
+    return ts.period_returns(t.panel, "ME")
 
 
-@shared
+@stage
 def tep(t):
     return pairs.te_pairs(t.classes)
 
@@ -117,6 +117,18 @@ SQL["asset_cost"] = "SELECT p_brand AS asset, avg(p_size) / 40 AS cost FROM {par
 DUCK["ret60"] = "SELECT * FROM {mret} WHERE mi > (SELECT max(mi) FROM {mret}) - 60"
 
 
+# copies (a, b), close and less close classes, one with error months (f), one with a short history (g)
+CLASSES = {"a": (1.0, 0), "b": (1.0, 0), "c": (1.012, 0), "d": (1.031, 0), "e": (1.043, 0), "f": (1.02, 0), "g": (1.1, 24014)}
+
+
+@stage
+def classes(t):
+    k = F.explode(F.array(*[F.struct(F.lit(c).alias("cls"), F.lit(f).alias("f"), F.lit(s).alias("since")) for c, (f, s) in CLASSES.items()]))
+    e = t.pret.select("*", k.alias("k")).where(F.col("period") > F.col("k.since"))
+    slip = F.when((F.col("k.cls") == "f") & (F.col("period") % 25 == 3), 0.15).otherwise(0.0)
+    return e.select(F.concat_ws("-", "asset", "k.cls").alias("asset"), "period", (F.col("r") * F.col("k.f") + slip).alias("r"))
+
+
 @shared
 def ret60(t):
     return pf.last_months(t.mret, 12 * DEFAULTS.estimation_years)
@@ -127,10 +139,10 @@ def bench60(t):
     return t.ret60.where(F.col("asset") == BENCH).select("mi", "r")
 
 
-@shared
+@stage
 def est(t):
     rf_now = t.rfm.agg((F.pow(1 + F.max_by("rf", "mi"), 12) - 1).alias("rf")).scalar()
-    return durable(pf.estimate(t.ret60, t.bench60, t.asset_cost, rf_now))
+    return pf.estimate(t.ret60, t.bench60, t.asset_cost, rf_now)
 
 
 def _lw(src: str) -> tuple[str, str]:
@@ -259,7 +271,7 @@ def _(t):
 N, STEPS = 5, 20
 
 
-@shared
+@stage
 def scan(t):
     e = t.est.join(t.clusters5, "asset").withColumn("no", F.substring("asset", 7, 9).cast("int"))
     mu = e.groupBy("cluster").agg(
@@ -274,7 +286,7 @@ def scan(t):
     models = mu.join(s, "cluster").select(
         F.col("cluster").cast("long").alias("scan_id"), "rf", F.col("rows.mu").alias("mu"), F.col("rows.hi").alias("hi"),
         F.col("rows.manual").alias("manual"), F.col("m.s").alias("s"))
-    return pf.weight_scan(models, N, STEPS)
+    return pf.weight_scan(stored(models), N, STEPS)
 
 
 _W = ", ".join(f"w{i}" for i in range(1, N + 1))

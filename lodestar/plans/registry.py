@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lodestar.plans import adapters
-from lodestar.session import durable
+from lodestar.session import stored
 
 RAW = ("region nation customer supplier part orders lineitem events documents embeddings pages "
        "benchmark labels conversations").split()
@@ -37,7 +37,7 @@ class Tables:
             else:
                 sql = adapters.SQL[name]
                 df = self.spark.sql(sql, **{d: getattr(self, d) for d in adapters.deps(sql)})
-                df = durable(df) if name in adapters.STORED else df
+                df = stored(df) if name in adapters.STORED else df
             self._cache[name] = df
         return self._cache[name]
 
@@ -79,10 +79,17 @@ def oracle(uses: str, body: str) -> str:
 
 
 def shared(fn: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
+    """Operator output that several queries use, as a lazy plan."""
     SHARED[fn.__name__] = fn
     return fn
 
 
+def stage(fn: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
+    """Operator output that a query reads more than once: written once as a table."""
+    SHARED[fn.__name__] = lambda t: stored(fn(t))
+    return fn
+
+
 def query(name: str, uses: str = "", sql: str | None = None, digits: int = 6):
     """Register a plan; doubles are rounded to ``digits`` so both engines agree on the value."""
 

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 from lodestar.operators import asof, timeseries as ts
 from lodestar.params import DEFAULTS
 from lodestar.plans.adapters import DUCK, SQL
-from lodestar.plans.registry import query, shared
-from lodestar.session import durable
+from lodestar.plans.registry import query, shared, stage
 
 BENCH = "Brand#1"
 
@@ -102,10 +101,10 @@ DUCK["rfm"] = DUCK["rfm"].replace("rate_months", "{rate_months}")
 
 
 # ------------------------------------------------------------------ operator outputs shared by queries
-@shared
+@stage
 def mret(t):
-    # written once: every statistic reads this small table instead of the daily prices
-    return durable(ts.monthly_returns(t.panel))
+    # every statistic reads this small table instead of the daily prices
+    return ts.monthly_returns(t.panel)
 
 
 @shared
@@ -113,7 +112,7 @@ def daily_rate(t):
     return ts.daily_rates(t.policy, t.fallback, t.panel.agg(F.max("date")).scalar())
 
 
-@shared
+@stage
 def rfm(t):
     return ts.rf_monthly(t.mret.select("mi").distinct(), t.daily_rate)
 
