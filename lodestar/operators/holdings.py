@@ -73,7 +73,9 @@ def records(alloc: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ similarity
 
 def _common(a: str, b: str) -> Column:
-    return F.aggregate(F.map_entries(a), F.lit(0.0), lambda s, e: s + F.least(e["value"], F.coalesce(F.try_element_at(b, e["key"]), F.lit(0.0))))
+    zero = F.lit(0.0)
+    both = F.map_zip_with(a, b, lambda _, x, y: F.least(F.coalesce(x, zero), F.coalesce(y, zero)))
+    return F.aggregate(F.map_values(both), zero, lambda s, v: s + v)
 
 
 def _sum(m: str) -> Column:
@@ -99,31 +101,35 @@ def score_pairs(pairs: DataFrame) -> DataFrame:
 PARTS = ("reg", "sec", "ast", "top")
 
 
-def _cells(df: DataFrame, grid: list[tuple[str, str, float]], neighbours: bool) -> DataFrame:
-    """Grid cell of a record: the share of one label per dimension, cut in steps of (1 - least overlap).
+def _cells(rec: DataFrame, grid: list[tuple[str, str, float]], neighbours: bool) -> DataFrame:
+    """(id, _cell): grid cell of a record, the share of one label per dimension cut in steps of (1 - least overlap).
 
     Overlap = 1 - half the total difference, so two shares of any label differ by at most 1 - overlap and
     matching records always lie in the same or a neighbouring cell."""
-    keys = []
+    df, key = rec, F.lit(0).cast("long")
     for i, (kind, label, least) in enumerate(grid):
         share = F.coalesce(F.try_element_at(kind, F.lit(label)), F.lit(0.0))
-        cell = F.floor(share / (1 - least) * (1 - 1e-9)).cast("int")
+        cell = F.floor(share / (1 - least) * (1 - 1e-9)) + 1
         df = df.withColumn(f"_g{i}", F.explode(F.array(cell - 1, cell, cell + 1)) if neighbours else cell)
-        keys.append(f"_g{i}")
-    return df.withColumn("_cell", F.array(*keys)).drop(*keys)
+        key = key * 1000 + F.col(f"_g{i}")
+    return df.select("id", key.alias("_cell"))
 
 
-def similar_within(left: DataFrame, right: DataFrame, group: list[str], grid: list[tuple[str, str, float]]) -> DataFrame:
-    """Scored pairs (id_a, id_b) of records in the same group that can reach the overlaps of ``grid``.
+def similar_within(members: DataFrame, rec: DataFrame, group: list[str], grid: list[tuple[str, str, float]]) -> DataFrame:
+    """Scored pairs (group, id_a, id_b, in both directions) of members that can reach the overlaps of ``grid``.
 
-    Exact for any pair at or above those overlaps; a join on (group, cell), never all pairs of a group.
-    Records that lack a part of the grid can not reach it and take no part."""
-    need = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k, _, _ in grid])
-    l = _cells(left.where(need), grid, True)
-    r = _cells(right.where(need), grid, False)
-    l = l.select(*group, "_cell", *[F.col(c).alias(f"{c}_a") for c in l.columns if c not in (*group, "_cell")])
-    r = r.select(*group, "_cell", *[F.col(c).alias(f"{c}_b") for c in r.columns if c not in (*group, "_cell")])
-    return score_pairs(l.join(r, [*group, "_cell"]).where(F.col("id_a") != F.col("id_b")).drop("_cell"))
+    Exact for any pair at or above those overlaps: a join of ids on (group, cell), never all pairs of a group.
+    A pair of records is scored once however many groups it shares. Records that lack a part of the grid can
+    not reach it and take no part."""
+    full = rec.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k, _, _ in grid]))
+    l = members.join(_cells(full, grid, True), "id").withColumnRenamed("id", "id_a")
+    r = members.join(_cells(full, grid, False), "id").withColumnRenamed("id", "id_b")
+    pairs = l.join(r, [*group, "_cell"]).where(F.col("id_a") < F.col("id_b")).drop("_cell")
+    side = lambda s: full.select(*[F.col(c).alias(f"{c}_{s}") for c in ("id", *PARTS)])
+    scored = score_pairs(pairs.select("id_a", "id_b").distinct().join(side("a"), "id_a").join(side("b"), "id_b"))
+    one = pairs.join(scored, ["id_a", "id_b"])
+    rest = [c for c in one.columns if c not in ("id_a", "id_b")]
+    return one.unionByName(one.select(F.col("id_b").alias("id_a"), F.col("id_a").alias("id_b"), *rest))
 
 
 def widest_labels(alloc: DataFrame, kinds: dict[str, int]) -> list[tuple[str, str]]:
@@ -194,8 +200,9 @@ def rate_twins(products: DataFrame, gap: float = 0.006, ratio: float = 1.3, quie
 def content_twins(products: DataFrame, alloc: DataFrame, grid: list[tuple[str, str, float]], p: Params = DEFAULTS) -> DataFrame:
     """Scored pairs that own nearly the same, in the same class and hedging."""
     rec = records(alloc).withColumnRenamed("isin", "id")
-    own = products.select("asset_class", "hedged", *FACTS).join(rec, "id")
-    return similar_within(own, own, ["asset_class", "hedged"], grid).where(is_twin(p) & fits())
+    scored = similar_within(products.select("asset_class", "hedged", "id"), rec, ["asset_class", "hedged"], grid).where(is_twin(p))
+    a, b = _two_sides(products, [], FACTS)
+    return scored.join(a, "id_a").join(b, "id_b").where(fits())
 
 
 def twins(products: DataFrame, alloc: DataFrame, held: DataFrame, grid: list[tuple[str, str, float]], every: bool = False,
@@ -287,15 +294,15 @@ def overlap_pairs(weights: DataFrame, alloc: DataFrame, least: float = 0.7) -> D
 
     A score that high needs the same overlap of asset classes, which prunes the join inside a portfolio."""
     rec = records(alloc).withColumnRenamed("isin", "id")
-    own = weights.select("portfolio_id", F.col("isin").alias("id")).join(rec, "id")
+    own = weights.select("portfolio_id", F.col("isin").alias("id"))
     grid = [(k, label, least) for k, label in widest_labels(alloc, {"ast": 2})]
-    with_ast = similar_within(own, own, ["portfolio_id"], grid).where(F.col("id_a") < F.col("id_b"))
-    # without asset classes the score is base and top alone: compare on the portfolio with every other fund
-    bare = own.where(F.col("ast").isNull())
-    other = own.select("portfolio_id", *[F.col(c).alias(f"{c}_b") for c in ("id", *PARTS)])
-    rest = bare.select("portfolio_id", *[F.col(c).alias(f"{c}_a") for c in ("id", *PARTS)]).join(other, "portfolio_id").where("id_a <> id_b")
-    rest = score_pairs(rest)
-    both = with_ast.select("portfolio_id", "id_a", "id_b", "reg", "top", "score").unionByName(rest.select("portfolio_id", "id_a", "id_b", "reg", "top", "score"))
+    with_ast = similar_within(own, rec, ["portfolio_id"], grid).where(F.col("id_a") < F.col("id_b"))
+    # without asset classes the score is base and top alone: such a fund is compared with every fund of the portfolio
+    side = lambda s: rec.select(*[F.col(c).alias(f"{c}_{s}") for c in ("id", *PARTS)])
+    bare = own.join(side("a").where(F.col("ast_a").isNull()).withColumn("id", F.col("id_a")), "id").drop("id")
+    rest = score_pairs(bare.join(own.join(side("b").withColumn("id", F.col("id_b")), "id").drop("id"), "portfolio_id").where("id_a <> id_b"))
+    cols = ["portfolio_id", "id_a", "id_b", "reg", "top", "score"]
+    both = with_ast.select(*cols).unionByName(rest.select(*cols))
     return (both.where((F.col("score") >= least) & (F.col("reg").isNotNull() | F.col("top").isNotNull()))
             .groupBy("portfolio_id", F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"))
             .agg(F.max("score").alias("score")))

@@ -157,5 +157,5 @@ def min_jaccard(names: DataFrame, group: str, block: int = BLOCK) -> DataFrame:
     dt = dict(names.dtypes)
     tasks = in_block_pairs(names.select(group, "tokens", F.concat_ws(" ", "tokens").alias("id")), "id", [group], block)
     lows = tasks.groupBy(group, "lo", "hi").applyInPandas(_jaccard_task([group]), f"{group} {dt[group]}, low double")
-    return lows.where(~F.isnan("low")).groupBy(group).agg(F.min("low").alias("min_similarity"))
+    return lows.where(F.col("low").isNotNull() & ~F.isnan("low")).groupBy(group).agg(F.min("low").alias("min_similarity"))
 

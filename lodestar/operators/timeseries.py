@@ -34,8 +34,11 @@ def month_end(mi: Column) -> Column:
 
 # ------------------------------------------------------------------ cleaning
 
-def _median(lo: int, hi: int) -> Column:
-    return F.percentile("close", F.lit(0.5)).over(by_date().rowsBetween(lo, hi))
+def _with_median(df: DataFrame, name: str, lo: int, hi: int) -> DataFrame:
+    """Median of the closes in a row frame (at most 43 values): sorted frame, mean of its middle."""
+    v, n = F.col("_frame"), F.size("_frame")
+    mid = (F.get(v, F.floor((n - 1) / 2).cast("int")) + F.get(v, F.floor(n / 2).cast("int"))) / 2
+    return df.withColumn("_frame", F.sort_array(F.collect_list("close").over(by_date().rowsBetween(lo, hi)))).withColumn(name, mid).drop("_frame")
 
 
 def unit_flip_fix(closes: DataFrame, p: Params = DEFAULTS) -> DataFrame:
@@ -44,8 +47,8 @@ def unit_flip_fix(closes: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     ratio = F.col("close") / F.col("_med")
     fixed = (F.when(ratio.between(80, 125), F.col("close") / 100)
              .when(ratio.between(0.008, 0.0125), F.col("close") * 100).otherwise(F.col("close")))
-    return (closes.where(F.col("close") > 0)
-            .withColumn("_n", F.count(F.lit(1)).over(whole())).withColumn("_med", _median(-n, n))
+    sized = closes.where(F.col("close") > 0).withColumn("_n", F.count(F.lit(1)).over(whole()))
+    return (_with_median(sized, "_med", -n, n)
             .withColumn("close", F.when(F.col("_n") < p.min_clean_obs, F.col("close")).otherwise(fixed))
             .drop("_n", "_med"))
 
@@ -61,9 +64,8 @@ def spike_removal(closes: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     for _ in range(p.clean_passes):
         bad = (F.when(F.col("_n") < p.min_clean_obs, F.lit(False)).when(F.col("_i") == 1, off("_fwd"))
                .when(F.col("_i") == F.col("_n"), off("_back")).otherwise(off("_back") & off("_fwd")))
-        closes = (closes.withColumn("_n", F.count(F.lit(1)).over(whole())).withColumn("_i", F.row_number().over(by_date()))
-                  .withColumn("_back", _median(-n, -1)).withColumn("_fwd", _median(1, n))
-                  .where(~bad).drop("_n", "_i", "_back", "_fwd"))
+        sized = closes.withColumn("_n", F.count(F.lit(1)).over(whole())).withColumn("_i", F.row_number().over(by_date()))
+        closes = _with_median(_with_median(sized, "_back", -n, -1), "_fwd", 1, n).where(~bad).drop("_n", "_i", "_back", "_fwd")
     return closes
 
 
@@ -231,14 +233,15 @@ def performance_stats(returns: DataFrame, bench: DataFrame, rf: DataFrame, p: Pa
     agg = (rows.groupBy("asset", "years").agg(
         F.count(F.lit(1)).alias("n"), F.count("b").alias("nb"), annual("r").alias("ret"), annual("rf").alias("rf"),
         (F.stddev_samp("r") * F.sqrt(F.lit(12.0))).alias("vol"), F.min("dd").alias("mdd"), annual("b").alias("bret"),
-        F.regr_slope(ex, eb).alias("beta"), F.regr_intercept(ex, eb).alias("am"), F.corr(ex, eb).alias("rho"),
+        F.regr_slope(ex, eb).alias("beta"), F.regr_intercept(ex, eb).alias("am"), F.covar_samp(ex, eb).alias("cxy"),
+        (F.var_samp(ex) * F.var_samp(eb)).alias("vxy"),
         (F.stddev_samp(F.col("r") - F.col("b")) * F.sqrt(F.lit(12.0))).alias("te")).where(F.col("n") == n))
     full = F.col("nb") == F.col("n")
     return agg.select(
         "asset", F.col("years").cast("long").alias("years"), "ret", "vol",
         F.when(F.col("vol") > 0, (F.col("ret") - F.col("rf")) / F.col("vol")).alias("sharpe"), "mdd", "rf",
         F.when(full, F.col("beta")).alias("beta"), F.when(full, F.pow(1 + F.col("am"), 12) - 1).alias("alpha"),
-        F.when(full, F.col("rho") * F.col("rho")).alias("r2"), F.when(full, F.col("te")).alias("te"),
+        F.when(full, F.try_divide(F.col("cxy") * F.col("cxy"), F.col("vxy"))).alias("r2"), F.when(full, F.col("te")).alias("te"),
         F.when(full & (F.col("te") > 1e-9), (F.col("ret") - F.col("bret")) / F.col("te")).alias("ir"),
         F.when(full, F.col("ret") - F.col("bret")).alias("excess"))
 
