@@ -47,7 +47,8 @@ def with_dividends(closes: DataFrame, divs: DataFrame) -> DataFrame:
     daily = divs.groupBy("asset", "date").agg(F.sum("amount").alias("amount"))
     rows = (closes.select("asset", "date", "close", F.col("date").alias("trade_date"))
             .unionByName(daily, allowMissingColumns=True))
-    ahead = W.partitionBy("asset").orderBy("date").rangeBetween(W.currentRow, W.unboundedFollowing)
+    # newest first: a growing frame, one pass per asset
+    ahead = W.partitionBy("asset").orderBy(F.col("date").desc()).rangeBetween(W.unboundedPreceding, W.currentRow)
     return (rows.withColumn("trade_date", F.min("trade_date").over(ahead)).where(F.col("trade_date").isNotNull())
             .groupBy("asset", F.col("trade_date").alias("date"))
             .agg(F.max("close").alias("close"), F.sum("amount").alias("amount")))

@@ -65,9 +65,9 @@ def change_log(snaps: DataFrame, runs: DataFrame) -> DataFrame:
 
     An instrument is gone at the first full run after it was last seen, and has reappeared when it is seen
     again after that. Windows are per instrument over its runs; the run table has one row per run."""
-    by_run = W.orderBy("run_id")                                          # run table: one row per run
+    later = W.orderBy(F.col("run_id").desc()).rowsBetween(W.unboundedPreceding, -1)      # run table: one row per run
     full = F.when(~F.col("partial"), F.col("run_id"))
-    calendar = runs.select("run_id", F.min(full).over(by_run.rowsBetween(1, W.unboundedFollowing)).alias("next_full"))
+    calendar = runs.select("run_id", F.min(full).over(later).alias("next_full"))
     fields = tracked_fields(snaps)
     w = W.partitionBy("instrument_id").orderBy("run_id")
     before = w.rowsBetween(W.unboundedPreceding, -1)

@@ -83,7 +83,8 @@ def jump_trim(closes: DataFrame, p: Params = DEFAULTS) -> DataFrame:
 def total_return_index(closes: DataFrame, divs: DataFrame) -> DataFrame:
     """Close plus reinvested dividends, at the level of the close on the last day."""
     g = F.ln((F.col("close") + F.coalesce("amount", F.lit(0.0))) / F.lag("close").over(by_date()))
-    later = F.coalesce(F.sum("_g").over(by_date().rowsBetween(1, W.unboundedFollowing)), F.lit(0.0))
+    newest_first = W.partitionBy("asset").orderBy(F.col("date").desc()).rowsBetween(W.unboundedPreceding, -1)
+    later = F.coalesce(F.sum("_g").over(newest_first), F.lit(0.0))
     last = F.last("close").over(by_date().rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
     return (with_dividends(closes, divs).withColumn("_g", g)
             .withColumn("tr", last * F.exp(-later)).drop("_g", "amount"))
