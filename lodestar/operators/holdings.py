@@ -178,6 +178,19 @@ def same_index(products: DataFrame) -> DataFrame:
     return a.join(b, ["_c", "asset_class", "hedged"]).where(fits()).select("id_a", "id_b")
 
 
+def best_same_index(products: DataFrame) -> DataFrame:
+    """Per product the first twin on its own index: a list shows one instrument per index, so two leaders per
+    (cluster, class, hedging) are enough, one to show and one for the leader itself. Linear in the cluster."""
+    keys = ["cluster", "asset_class", "hedged", "needs_ask"]
+    ok = products.where(F.col("cluster").isNotNull() & ~F.col("leveraged") & F.col("tradable") & F.col("cost").isNotNull())
+    lists = ok.withColumn("needs_ask", F.explode(F.when(F.col("ask"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
+    order = F.struct("cost", (-F.coalesce("owners", F.lit(0))).alias("o"), "id")
+    first = (lists.withColumn("ord", order).withColumn("_i", F.row_number().over(W.partitionBy(*keys).orderBy("ord")))
+             .where(F.col("_i") <= 2).select(*keys, "ord", F.col("id").alias("id_b")))
+    own = products.where(F.col("cluster").isNotNull()).select("cluster", "asset_class", "hedged", F.col("ask").alias("needs_ask"), F.col("id").alias("id_a"))
+    return own.join(first, keys).where(F.col("id_a") != F.col("id_b")).groupBy("id_a").agg(F.min_by("id_b", "ord").alias("id_b"))
+
+
 def rate_twins(products: DataFrame, gap: float = 0.006, ratio: float = 1.3, quiet: float = 0.01) -> DataFrame:
     """Interest products of one category and currency with nearly the same gross return and swings.
 
@@ -212,7 +225,7 @@ def twins(products: DataFrame, alloc: DataFrame, held: DataFrame, grid: list[tup
     One ETF per index; only cheaper ones unless ``every``. ``place`` is the order of the list."""
     h = held.select(F.col("id").alias("id_a"))
     scored = content_twins(products, alloc, grid, p)
-    rules = [same_index(products).select("id_a", "id_b", F.lit(1.0).alias("score"), F.lit(0).alias("rule")),
+    rules = [best_same_index(products).select("id_a", "id_b", F.lit(1.0).alias("score"), F.lit(0).alias("rule")),
              scored.select("id_a", "id_b", "score", F.lit(1).alias("rule")),
              rate_twins(products).select("id_a", "id_b", F.lit(0.8).alias("score"), F.lit(2).alias("rule"))]
     best = (reduce(DataFrame.unionByName, rules).join(h, "id_a", "left_semi").groupBy("id_a", "id_b")

@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from lodestar.operators.portfolio import common_months
 from lodestar.params import DEFAULTS, Params
 
 BLOCK = 512
@@ -117,9 +118,7 @@ def _cov_task(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def covariance_pairs(returns: DataFrame) -> DataFrame:
     """Sample covariance (a <= b) over months where every asset has a return; also sd_a * sd_b."""
-    n = returns.agg(F.count_distinct("asset")).scalar()
-    common = returns.groupBy("mi").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") == n).select("mi")
-    ordered = returns.join(common, "mi")
+    ordered = common_months(returns)
     vec = ordered.groupBy("asset").agg(F.array_sort(F.collect_list(F.struct("mi", "r"))).alias("s")).select(
         "asset", F.transform("s", lambda x: x["r"]).alias("v"))
     return (in_block_pairs(vec, "asset", []).groupBy("lo", "hi")

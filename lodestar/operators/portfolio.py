@@ -18,6 +18,13 @@ def last_months(returns: DataFrame, n: int) -> DataFrame:
     return returns.where(F.col("mi") > returns.agg(F.max("mi")).scalar() - n)
 
 
+def common_months(returns: DataFrame) -> DataFrame:
+    """Months in which every asset has a return: what covariances are estimated on."""
+    n = returns.agg(F.count_distinct("asset")).scalar()
+    whole = returns.groupBy("mi").agg(F.count("r").alias("_n")).where(F.col("_n") == n).select("mi")
+    return returns.join(whole, "mi", "left_semi").select(*returns.columns)
+
+
 def shrinkage(returns: DataFrame) -> DataFrame:
     """One row (n_assets, n_months, rbar, delta): Ledoit-Wolf shrinkage towards constant correlation.
 

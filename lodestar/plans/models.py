@@ -114,7 +114,9 @@ def _(t):
 
 # ------------------------------------------------------------------ covariance and expected return
 SQL["asset_cost"] = "SELECT p_brand AS asset, avg(p_size) / 40 AS cost FROM {part} GROUP BY p_brand"
-DUCK["ret60"] = "SELECT * FROM {mret} WHERE mi > (SELECT max(mi) FROM {mret}) - 60"
+DUCK["ret60"] = """
+SELECT * FROM {mret} WHERE mi IN (SELECT mi FROM {mret} WHERE mi > (SELECT max(mi) FROM {mret}) - 60
+                                  GROUP BY mi HAVING count(*) = (SELECT count(DISTINCT asset) FROM {mret} WHERE mi > (SELECT max(mi) FROM {mret}) - 60))"""
 
 
 # copies (a, b), close and less close classes, one with error months (f), one with a short history (g)
@@ -129,9 +131,9 @@ def classes(t):
     return e.select(F.concat_ws("-", "asset", "k.cls").alias("asset"), "period", (F.col("r") * F.col("k.f") + slip).alias("r"))
 
 
-@shared
+@stage
 def ret60(t):
-    return pf.last_months(t.mret, 12 * DEFAULTS.estimation_years)
+    return pf.common_months(pf.last_months(t.mret, 12 * DEFAULTS.estimation_years))
 
 
 @shared
@@ -183,7 +185,7 @@ def _(t):
     return pairs.covariance_pairs(t.ret60).select("a", "b", "cov")
 
 
-@query("shrinkage", "lw_u", "SELECT CAST(25 AS BIGINT) AS n_assets, CAST(60 AS BIGINT) AS n_months, R6(rbar) AS rbar, R6(delta) AS delta FROM lw_u")
+@query("shrinkage", "ret60 lw_u", "SELECT (SELECT count(DISTINCT asset) FROM ret60) AS n_assets, (SELECT count(DISTINCT mi) FROM ret60) AS n_months, R6(rbar) AS rbar, R6(delta) AS delta FROM lw_u")
 def _(t):
     return pf.shrinkage(t.ret60)
 
@@ -254,7 +256,7 @@ WITH RECURSIVE months AS (SELECT DISTINCT mi FROM mret), lim AS (SELECT min(mi)
 rules AS (SELECT unnest(['monthly', 'quarterly', 'annual', 'none']) AS rule),
 due AS (SELECT rule, mi, mi < b AND CASE rule WHEN 'monthly' THEN true WHEN 'quarterly' THEN (mi % 12 + 1) % 3 = 0 WHEN 'annual' THEN mi % 12 = 11 ELSE false END AS due FROM rules, months, lim),
 seg AS (SELECT *, coalesce(sum(CAST(due AS INT)) OVER (PARTITION BY rule ORDER BY mi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seg FROM due),
-g AS (SELECT m.asset, s.rule, s.seg, product(1 + r) AS g FROM seg s JOIN mret m ON m.mi = s.mi GROUP BY 1, 2, 3),
+g AS (SELECT a.asset, s.rule, s.seg, product(1 + coalesce(m.r, 0)) AS g FROM seg s CROSS JOIN (SELECT DISTINCT asset FROM mret) a LEFT JOIN mret m ON m.mi = s.mi AND m.asset = a.asset GROUP BY 1, 2, 3),
 ends AS (SELECT rule, seg, bool_or(due) AS due FROM seg GROUP BY 1, 2),
 v AS (SELECT p.portfolio_id, g.rule, g.seg, sum(p.w * g.g) AS v FROM pf_asset p JOIN g USING (asset) GROUP BY 1, 2, 3),
 tr AS (SELECT p.portfolio_id, g.rule, g.seg, max(v.v) AS v, sum(abs(p.w - p.w * g.g / v.v)) AS tr FROM pf_asset p JOIN g USING (asset)

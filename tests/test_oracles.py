@@ -1,4 +1,4 @@
-"""Registered plans against their SQL on the smallest tables. LODESTAR_ALL=1 runs every query."""
+"""Registered plans against their SQL on the driver tables. LODESTAR_ALL=1 runs every query."""
 
 import os
 import sys
@@ -9,7 +9,7 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(
 import __spark_entry__ as entry_point
 from check_oracle import compare, connect
 
-SF = os.environ.get("SF_DIR", "/root/testdata/sf0.001")
+SF = os.environ.get("SF_DIR", "/root/testdata/sf0.01")
 CORE = ["spike_removal", "total_return_index", "asof_backward", "monthly_returns", "performance_stats", "risk_story", "te_edges", "estimate_mu_beta",
         "portfolio_perf", "calendar_rebalance_returns", "change_log", "master_merge", "representatives", "etf_filter", "content_similarity",
         "look_through", "overlap_pairs", "classify_region", "normalise_rows", "csv_export"]
