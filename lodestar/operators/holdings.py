@@ -353,11 +353,13 @@ def proxy_choice(funds: DataFrame, etfs: DataFrame, alloc: DataFrame, near: floa
     pick = (sim.join(best, "id_a").where(F.col("score") >= F.col("top_score") - near).groupBy("id_a")
             .agg(F.max_by(F.struct("id_b", "vol_b", "score"), F.struct("n_months_b", "score", "id_b")).alias("s")).where(F.col("s.score") >= floor)
             .select(F.col("id_a").alias("id"), F.col("s.id_b").alias("proxy"), F.col("s.vol_b").alias("proxy_vol"), F.col("s.score").alias("sim")))
-    gap = F.abs(F.ln(F.col("vol_b") / F.col("vol")))
-    same = (funds.join(pick, "id", "left_anti").select("id", "category", "hedged", "vol")
-            .join(etfs.select("category", "hedged", F.col("id").alias("id_b"), F.col("vol").alias("vol_b")), ["category", "hedged"])
-            .groupBy("id").agg(F.min_by(F.struct("id_b", "vol_b"), F.struct(F.coalesce(gap, F.lit(5.0)).alias("g"), "id_b")).alias("s"))
-            .select("id", F.col("s.id_b").alias("proxy"), F.col("s.vol_b").alias("proxy_vol"), F.lit(0.0).alias("sim")))
+    keys = ["category", "hedged"]
+    left = funds.join(pick, "id", "left_anti").select(*keys, F.col("id").alias("id_a"), F.col("vol").alias("vol_a"))
+    right = etfs.select(*keys, F.col("id").alias("id_b"), F.col("vol").alias("vol_b"))
+    gap = F.abs(F.ln(F.col("vol_b") / F.col("vol_a")))
+    same = (_salted(left, right, keys).groupBy("id_a")
+            .agg(F.min_by(F.struct("id_b", "vol_b"), F.struct(F.coalesce(gap, F.lit(5.0)).alias("g"), "id_b")).alias("s"))
+            .select(F.col("id_a").alias("id"), F.col("s.id_b").alias("proxy"), F.col("s.vol_b").alias("proxy_vol"), F.lit(0.0).alias("sim")))
     out = funds.select("id", "vol").join(pick.unionByName(same), "id", "left")
     k = F.when((F.col("sim") >= 0.85) | F.col("vol").isNull() | F.col("proxy_vol").isNull() | (F.col("proxy_vol") <= 0), 1.0).otherwise(
         F.greatest(F.lit(0.5), F.least(F.lit(1.8), F.col("vol") / F.col("proxy_vol"))))
