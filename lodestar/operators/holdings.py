@@ -308,7 +308,7 @@ def overlap_pairs(weights: DataFrame, alloc: DataFrame, least: float = 0.7) -> D
     A score that high needs the same overlap of asset classes, which prunes the join inside a portfolio."""
     rec = records(alloc).withColumnRenamed("isin", "id")
     own = weights.select("portfolio_id", F.col("isin").alias("id"))
-    grid = [(k, label, least) for k, label in widest_labels(alloc, {"ast": 2})]
+    grid = [(k, label, least) for k, label in widest_labels(alloc, {"ast": 1})]
     with_ast = similar_within(own, rec, ["portfolio_id"], grid).where(F.col("id_a") < F.col("id_b"))
     # without asset classes the score is base and top alone: such a fund is compared with every fund of the portfolio
     side = lambda s: rec.select(*[F.col(c).alias(f"{c}_{s}") for c in ("id", *PARTS)])
