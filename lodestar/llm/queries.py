@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from lodestar.llm import rules
+from lodestar.llm import mixing, rules, secrets, sharding
 
 QUERIES = {
+    "op7_secret_scan": secrets.op7,
+    "op8_source_mix": mixing.op8,
+    "op9_shards": sharding.op9,
     "op10_quality_rules": rules.op10,
 }
 
 #: Queries that SQL can express too.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_source_mix": mixing.ORACLE,
+}
