@@ -4,10 +4,26 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the package to the executors, once per application: tasks that call its functions need no installation there."""
+    sc = spark.sparkContext
+    if getattr(sc, "_lodestar_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    path = Path(tempfile.mkdtemp(prefix="lodestar-ship-")) / "lodestar_package.zip"     # read by the driver only, Spark sends it on
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f"{root.name}/{f.relative_to(root)}")
+    sc.addPyFile(str(path))
+    sc._lodestar_shipped = True
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder named in ``spark.checkpoint.dir``; pick one only in local mode."""
     sc = spark.sparkContext
