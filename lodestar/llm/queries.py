@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from lodestar.llm import mixing, rules, secrets, sharding
+from lodestar.llm import language, mixing, quality, rules, secrets, sharding
 
 QUERIES = {
+    "op1_language_id": language.op1,
+    "op3_quality_classifier": quality.op3,
     "op7_secret_scan": secrets.op7,
     "op8_source_mix": mixing.op8,
     "op9_shards": sharding.op9,

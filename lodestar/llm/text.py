@@ -12,6 +12,9 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+
+from lodestar.session import ship
 
 #: Text bytes handled at once.
 SLICE = 2 << 20
@@ -24,6 +27,12 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 _POWERS: list[np.ndarray] = []
 
 
+def map_arrow(df: DataFrame, fn, fields: str) -> DataFrame:
+    """``mapInArrow`` whose functions may live in this package on any executor."""
+    ship(df.sparkSession)
+    return df.mapInArrow(fn, fields)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Bijective 64-bit finaliser."""
     x = x ^ (x >> np.uint64(30))
