@@ -20,6 +20,9 @@ from lodestar.session import ship
 SLICE = 2 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: White space and ASCII punctuation.
+MARKS = _SPACE.copy()
+MARKS[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15
@@ -92,13 +95,14 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = S
             i = j
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> Words:
+def words(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) -> Words:
+    """``space``: by byte, what separates words."""
     data = _LOWER[data]
     n = len(data)
     if n == 0:
         none = np.zeros(0, np.int64)
         return Words(np.zeros(0, np.uint64), none, none, np.zeros(len(offsets), np.int64), data, offsets)
-    solid = ~_SPACE[data]
+    solid = ~space[data]
     edge = np.zeros(n + 1, bool)                     # a text begins here
     edge[offsets] = True
     first = solid.copy()
