@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from lodestar.llm import decontaminate, language, lines, mixing, quality, rules, secrets, sharding
+from lodestar.llm import decontaminate, language, lines, mixing, quality, rules, secrets, setjoin, sharding
 
 QUERIES = {
     "op1_language_id": language.op1,
     "op2_decontaminate": decontaminate.op2,
     "op3_quality_classifier": quality.op3,
     "op5_line_dedup": lines.op5,
+    "op6_jaccard_join": setjoin.op6,
     "op7_secret_scan": secrets.op7,
     "op8_source_mix": mixing.op8,
     "op9_shards": sharding.op9,
