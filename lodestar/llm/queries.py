@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from lodestar.llm import decontaminate, language, lines, mixing, quality, rules, secrets, setjoin, sharding
+from lodestar.llm import decontaminate, language, lines, mixing, quality, recurrent, rules, secrets, setjoin, sharding
 
 QUERIES = {
     "op1_language_id": language.op1,
     "op2_decontaminate": decontaminate.op2,
     "op3_quality_classifier": quality.op3,
+    "op4_recurrent_lm": recurrent.op4,
     "op5_line_dedup": lines.op5,
     "op6_jaccard_join": setjoin.op6,
     "op7_secret_scan": secrets.op7,
