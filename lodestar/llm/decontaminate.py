@@ -11,7 +11,7 @@ n - 1 - 2d of its neighbouring word pairs. Two fixed-size bit tables of the benc
 pairs by item size) test that.
 
 Items without a word are ignored; null and empty texts have no window; no item means no leak. Texts with equal doc_id and
-text share one key, rows with equal doc_id and other texts are told apart. Columns of other names stay with ``remove_leaks``.
+text share one key, rows with equal doc_id and other texts are told apart. All columns stay with ``remove_leaks``.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from lodestar.llm.rows import packed, unpacked
 from lodestar.llm.text import MARKS, map_arrow, mix, slices, words
 from lodestar.session import stored
 
@@ -226,7 +227,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows without any leak, with the columns they came with."""
     keys = stored(find_leaks(docs, benchmark, **options).select(F.col("doc_key").alias("_leaked")).distinct())
-    return docs.join(keys, F.xxhash64(docs["doc_id"], docs["text"]) == F.col("_leaked"), "left_anti")
+    rows = packed(docs, _key=F.xxhash64("doc_id", "text"))
+    return unpacked(rows.join(keys, F.col("_key") == F.col("_leaked"), "left_anti"), docs)
 
 
 def op2(spark, sf_dir: str) -> DataFrame:

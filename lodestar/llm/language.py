@@ -8,7 +8,7 @@ The filters are fitted on a bounded sample of labelled rows (``Fit.rows`` per la
 text); an n-gram enters the filter of a language if it is frequent there and typical of it. Every row's whole text is scored.
 
 A null text, a text without a letter, and any text when no row is labelled get ``und`` with score 0. Equal texts get equal
-results; columns of other names stay with ``identify``.
+results; columns of other names stay with ``identify``, its own names replace theirs.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from lodestar.llm.rows import rest
 from lodestar.llm.text import map_arrow, mix, slices
 
 UNKNOWN = "und"
@@ -154,7 +155,7 @@ def _has_letter(data: np.ndarray, offsets: np.ndarray) -> list[bool]:
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Columns of ``docs`` but the text, with ``lang_pred`` and ``score``."""
-    others = [c for c in docs.columns if c != text]
+    others = rest(docs, text, "lang_pred", "score")
     shipped = docs.sparkSession.sparkContext.broadcast(model)     # bounded by Fit.bits x 8 bytes for every 64 languages
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,7 +7,7 @@ joined by their content; all but the first (by doc_id, text hash, line) are late
 line both ways against the document of the first occurrence, and the later run is deleted.
 
 A null text stays null, an empty one empty. Rows with equal doc_id and text count as one document and get equal results. An
-empty table gives an empty result. Columns of other names stay with ``dedup_lines``.
+empty table gives an empty result. Columns of other names stay with ``dedup_lines``, its own names replace theirs.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from lodestar.llm.rows import unpacked
 from lodestar.llm.text import map_arrow, mix, slices, words
 from lodestar.session import stored
 
@@ -133,14 +134,16 @@ def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", r
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", repeat: Repeat = Repeat()) -> DataFrame:
-    """All rows and columns; the text without later repeated runs, with ``removed_lines removed_words removed_runs`` (structs of an operator's own)."""
+    """All rows and columns; the text without later repeated runs, with ``removed_lines removed_words removed_runs``."""
     gone = stored(repeated_runs(docs, doc_id, text, repeat)).select(F.col("doc_key").alias("_key"), F.col("lines").alias("_lines"), F.col("runs").alias("_runs"), F.col("words").alias("_words"))
-    out = docs.join(gone, F.xxhash64(docs[doc_id], docs[text]) == F.col("_key"), "left")
-    kept = F.filter(F.split(F.col(text), "\n"), lambda x, i: ~F.array_contains("_lines", i))
-    out = out.withColumn(text, F.when(F.col("_lines").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n")))
+    others = docs.drop(text)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in others.columns]).alias("_row"), F.col(text).alias("_text"), F.xxhash64(doc_id, text).alias("_of"))
+    out = rows.join(gone, F.col("_of") == F.col("_key"), "left")
+    kept = F.filter(F.split("_text", "\n"), lambda x, i: ~F.array_contains("_lines", i))
+    out = out.withColumn(text, F.when(F.col("_lines").isNull(), F.col("_text")).otherwise(F.array_join(kept, "\n")))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     out = out.withColumns({"removed_lines": F.coalesce("_lines", F.array().cast("array<int>")), "removed_words": zero(F.col("_words")), "removed_runs": zero(F.col("_runs"))})
-    return out.drop("_key", "_lines", "_runs", "_words")
+    return unpacked(out, others, text, "removed_lines", "removed_words", "removed_runs")
 
 
 def op5(spark, sf_dir: str) -> DataFrame:

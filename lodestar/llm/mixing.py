@@ -7,13 +7,15 @@ random order by a sort on a hash of (seed, doc_id, copy).
 
 A null source is a source of its own. Sizes count 8 bytes per row besides the text, so sources of empty texts have a rate.
 Rows with equal doc_id draw alike. A source without a target gets no copies; an empty table gives an empty result. Columns
-of other names stay with ``mix``.
+of other names stay with ``mix``, its own names replace theirs; ``replicate`` keeps all.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from lodestar.llm.rows import packed, unpacked
+
 SEED = "mix-1"
 STEP = 8.0
 LAST = 48       # no double lies above the distribution function at 48 for means up to 8
@@ -54,14 +56,21 @@ def mix(docs: DataFrame, targets: dict[str | None, float] | None = None, budget:
         text: str = "text", seed: str = SEED, shuffle: bool = True) -> DataFrame:
     """The rows, each as often as drawn, in random order, with ``copy`` (from 1), ``mix_rate`` and ``mix_order``."""
     r = rates(docs, targets, budget, source, text).select(F.col("_source"), F.col("rate").alias("mix_rate"), F.col("terms").alias("_terms"), F.col("below").alias("_below"))
-    key = F.coalesce(F.col(doc_id).cast("string"), F.lit("null"))
+    rows = packed(docs, _key=F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), _of=F.col(source))
+    key = F.col("_key")
     draws = F.transform(F.sequence(F.lit(1), F.col("_terms")), lambda j: _uniform(F.lit(seed), key, j.cast("string")))
     count = F.aggregate(draws, F.lit(0), lambda a, u: a + F.size(F.filter("_below", lambda c: c <= u)))
-    out = docs.join(r, F.col(source).eqNullSafe(F.col("_source"))).withColumn("_count", count).where(F.col("_count") > 0)
+    out = rows.join(r, F.col("_of").eqNullSafe(F.col("_source"))).withColumn("_count", count).where(F.col("_count") > 0)
     out = out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_count"))))
     out = out.withColumn("mix_order", F.md5(F.concat_ws("|", F.lit(seed + "-order"), key, F.col("copy").cast("string"))))
-    out = out.drop("_source", "_terms", "_below", "_count")
-    return out.orderBy("mix_order") if shuffle else out
+    out = out.select("_row", "copy", "mix_rate", "mix_order")
+    return unpacked(out.orderBy("mix_order") if shuffle else out, docs, "copy", "mix_rate", "mix_order")
+
+
+def replicate(docs: DataFrame, **options) -> DataFrame:
+    """The mix with the columns it came with, in random order."""
+    bare = packed(docs, doc_id=F.col("doc_id"), source=F.col("source"), text=F.col("text"))
+    return unpacked(mix(bare, **options), docs)
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

@@ -8,7 +8,8 @@ Means and covariances come from sums over all labelled rows: tasks add up, the d
 
 A null or empty text has the statistics of no words and gets a score too. A label without a document is ignored; a document
 with several labels counts once for each. With fewer than two labelled classes the score is the share of label 1 (0.5 if
-there is no label at all). Columns of other names stay with ``score_quality``.
+there is no label at all). Columns of other names stay with ``score_quality``, its
+own names replace theirs.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from lodestar.llm.language import fold
+from lodestar.llm.rows import rest
 from lodestar.llm.text import map_arrow, slices, words
 from lodestar.session import stored
 
@@ -120,7 +122,7 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """Columns of ``docs`` but the text, with ``stats`` (array of D doubles)."""
-    others = [c for c in docs.columns if c != text]
+    others = rest(docs, text, "stats")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in slices(batches, text):
@@ -185,7 +187,7 @@ def score_rows(model: Model, stats: np.ndarray, shrink: Shrink = Shrink()) -> np
 
 def score_quality(rows: DataFrame, model: Model) -> DataFrame:
     """Columns of ``rows`` but ``stats``, with ``score``."""
-    others = [c for c in rows.columns if c != "stats"]
+    others = rest(rows, "stats", "score")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

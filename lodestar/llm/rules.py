@@ -6,7 +6,8 @@ Jensen-Shannon's, in [0, 1]; a text is kept if for some language both distances
 counts over all documents with a language.
 
 Empty cases: a null or empty text has no word and fails; without any reference (no row with a language) only the base rules
-hold; rows are independent, so ties and repeated rows give repeated results; extra columns stay untouched in ``filter_rules``.
+hold; rows are independent, so ties and repeated rows give repeated results; extra columns stay, but for those with the names of
+the operator's own columns, which ``judge`` replaces (``filter_rules`` keeps all).
 """
 
 from __future__ import annotations
@@ -14,12 +15,17 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
+
+from lodestar.llm.rows import packed, settled, unpacked
 
 #: Character classes as the inside of a regular expression's brackets.
 SPACE, SYMBOLS, UPPER, DIGITS, STOPS = r"\x20\x09-\x0D", r"#*$%&|<>", "A-Z", "0-9", r".,;:!?'\"()\-"
 
 
+OWN = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance", "kept")
+
+
 @dataclass(frozen=True)
 class Limits:
     min_words: int = 50
@@ -118,7 +124,6 @@ def learn_references(docs: DataFrame, text: str = "text", lang: str = "lang", li
         return References()
     word = labelled.select("lang", F.explode(word_array(F.col("text"))).alias("w"))
     word = word.groupBy("lang", F.when(F.length("w") <= limits.common_length, F.col("w")).alias("w")).agg(F.count(F.lit(1)).alias("n"))
-    from pyspark.sql import Window as W
     top = (word.where("w IS NOT NULL").withColumn("place", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "w")))
            .where(F.col("place") <= limits.common).select("w").distinct())
     totals = {r[0]: r[1] for r in word.groupBy("lang").agg(F.sum("n")).collect()}
@@ -183,22 +188,27 @@ def add_distances(out: DataFrame, refs: References, text: str = "text", limits:
 def judge(docs: DataFrame, text: str = "text", lang: str = "lang", limits: Limits = Limits(), refs: References | None = None) -> DataFrame:
     """All rows and columns, with the base columns, ``class_distance word_distance`` of the nearest language and ``kept``."""
     refs = learn_references(docs, text, lang, limits) if refs is None else refs
+    return unpacked(_judged(packed(docs, text=F.col(text)), refs, limits), docs, *OWN)
+
+
+def _judged(docs: DataFrame, refs: References, limits: Limits) -> DataFrame:
+    text = "text"
     out = base_columns(docs, text, limits)
     if not refs.languages:
-        return out.withColumns({"class_distance": F.lit(None).cast("double"), "word_distance": F.lit(None).cast("double"), "kept": ~F.col("base_failed")}).drop("_words", "_hashes", "_chars", "_counts")
+        return out.withColumns({"class_distance": F.lit(None).cast("double"), "word_distance": F.lit(None).cast("double"), "kept": ~F.col("base_failed")})
     out = add_distances(out, refs, text, limits)
     worst = F.zip_with("class_distances", "word_distances", lambda a, b: F.struct(F.greatest(a / limits.max_class, b / limits.max_word).alias("x"), a.alias("a"), b.alias("b")))
     out = out.withColumn("_near", F.array_min(worst))
     by_class = (F.col("_chars") < limits.min_chars) | (F.col("_near.a") <= limits.max_class)
     by_word = (F.col("n_words") < limits.min_compared_words) | (F.col("_near.b") <= limits.max_word)
     out = out.withColumns({"class_distance": F.col("_near.a"), "word_distance": F.col("_near.b"), "kept": ~F.col("base_failed") & by_class & by_word})
-    return out.drop("_words", "_hashes", "_chars", "_counts", "_classes", "_known", "_first", "_runs", "_p", "_near", "class_distances", "word_distances")
+    return out
 
 
 def filter_rules(docs: DataFrame, **options) -> DataFrame:
-    """The kept rows, with the columns they came with. Columns whose names clash with the operator's own are safe: it sees only text and lang."""
-    bare = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("text"), F.col("lang"))
-    return judge(bare, **options).where("kept").select("_row.*")
+    """The kept rows, with the columns they came with."""
+    bare = packed(docs, text=F.col(options.pop("text", "text")), lang=F.col(options.pop("lang", "lang")))
+    return unpacked(judge(bare, **options).withColumn("_kept", settled(F.col("kept"))).where("_kept"), docs)
 
 
 def js_distance(p: list[float], q: list[float]) -> float:

@@ -6,7 +6,7 @@ ordinary identifiers. Both models count pairs of neighbouring characters: the fi
 prior: a random string may hold any character), the second in ordinary runs of a bounded sample of documents.
 
 Positions are code points, ends exclusive. A null or empty text has no span; a table without base spans or identifiers still
-gives both models their priors; rows are independent, so ties and repeated rows repeat; other columns stay with ``find_secrets``.
+gives both models their priors; rows are independent, so ties and repeated rows repeat; other columns stay with ``find_secrets``, its own names replace theirs.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from lodestar.llm.rows import packed, settled, unpacked
+
 # The base patterns.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -104,7 +106,7 @@ def _log_probabilities(counts: dict[int, int], prior: float) -> list[float]:
 def learn_ratio(docs: DataFrame, text: str = "text", scan: Scan = Scan()) -> list[float]:
     """Log-likelihood ratio of each pair of characters, random against ordinary."""
     t = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
-    spans = base_spans(t).where(F.size("_base") > 0)
+    spans = base_spans(t).withColumn("_some", settled(F.size("_base") > 0)).where("_some")
     random = spans.select(F.explode("_base").alias("s")).select(F.col("s.value").alias("value"))
     n = docs.count()
     keep = max(1, -(-n // scan.fit_docs))
@@ -126,6 +128,11 @@ def ratio_of(value: Column, table: list[float]) -> Column:
 def find_secrets(docs: DataFrame, text: str = "text", scan: Scan = Scan(), table: list[float] | None = None) -> DataFrame:
     """All rows and columns, with ``base`` and ``secrets``: arrays of struct(kind, start, end), ordered by start, then kind."""
     table = learn_ratio(docs, text, scan) if table is None else table
+    return unpacked(_found(packed(docs, text=F.col(text)), scan, table), docs, "base", "secrets")
+
+
+def _found(docs: DataFrame, scan: Scan, table: list[float]) -> DataFrame:
+    text = "text"
     t = F.coalesce(F.col(text), F.lit(""))
     run = f"{RUN}{{{scan.min_length},}}"
     out = _scan(base_spans(docs, text), t, run, t.rlike(run), "_runs")
@@ -133,7 +140,7 @@ def find_secrets(docs: DataFrame, text: str = "text", scan: Scan = Scan(), table
     added = F.filter("_runs", lambda s: clear(s) & (ratio_of(s["value"], table) >= scan.min_ratio))
     named = lambda spans: F.transform(spans, lambda s: F.struct(F.element_at(F.array(*map(F.lit, KINDS)), s["kind"] + 1).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     out = out.withColumn("_all", F.sort_array(F.concat("_base", _tagged(added, 3))))
-    return out.withColumns({"base": named(F.col("_base")), "secrets": named(F.col("_all"))}).drop("_base", "_runs", "_all")
+    return out.withColumns({"base": named(F.col("_base")), "secrets": named(F.col("_all"))})
 
 
 def joined(spans: Column) -> Column:

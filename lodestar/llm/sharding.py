@@ -6,7 +6,8 @@ changed weight moves rows only into or out of the changed subtree. A shard added
 move only into it (law ``key``: doc_id and the tree decide, nothing else).
 
 Rows with equal doc_id go to one shard; a null doc_id is hashed as the word ``null``; a null text has no bytes. An empty
-table gives an empty result. Only doc_id and text are read; columns of other names stay with ``assign``.
+table gives an empty result. Only doc_id and text are read; columns of other names stay with ``assign``, its own name
+replaces theirs.
 """
 
 from __future__ import annotations
