@@ -6,8 +6,8 @@ bit of (j, word) says so; sequences at a small edit distance emit the same words
 gives ``samples`` keys from ``bits`` sampled steps each; a window and an item with an equal key are a candidate, and the exact edit distance
 decides: an item leaks where some part of the text is within ``max_edits`` of its words.
 
-Windows that cannot qualify are left out first, without loss: an item of n words within d edits of a text keeps at least
-n - 1 - 2d of its neighbouring word pairs. Two fixed-size bit tables of the benchmark's pairs and words (all, and
+Windows that cannot qualify are left out first, without loss: an item within d edits of a text keeps all but 2d of its
+different neighbouring word pairs. Two fixed-size bit tables of the benchmark's pairs and words (all, and
 pairs by item size) test that.
 
 Items without a word are ignored; null and empty texts have no window; no item means no leak. Texts with equal doc_id and
@@ -83,20 +83,21 @@ def distances(items: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def item_words(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
-    """``item_id``, ``n`` and ``item`` (word hashes as bytes) of the items with words."""
+    """``item_id``, ``n``, ``pairs`` (different neighbouring pairs) and ``item`` (word hashes as bytes) of the items with words."""
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in slices(batches):
             w = words(data, offsets, MARKS)
             n = np.diff(w.of)
             blobs = [w.hash[a:b].tobytes() for a, b in zip(w.of[:-1], w.of[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("item_id"), pa.array(n), pa.array(blobs, pa.binary())], ["item_id", "n", "item"])
+            pairs = [len(np.unique(_pairs(w.hash[a:b]))) for a, b in zip(w.of[:-1], w.of[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("item_id"), pa.array(n), pa.array(pairs, pa.int64()), pa.array(blobs, pa.binary())], ["item_id", "n", "pairs", "item"])
 
     kind = benchmark.schema[item_id].dataType.simpleString()
-    return map_arrow(benchmark.select(F.col(item_id).alias("item_id"), F.col(text).alias("text")), each, f"item_id {kind}, n long, item binary").where("n > 0")
+    return map_arrow(benchmark.select(F.col(item_id).alias("item_id"), F.col(text).alias("text")), each, f"item_id {kind}, n long, pairs long, item binary").where("n > 0")
 
 
-def _tables(items: DataFrame, leak: Leak) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bit tables of all pairs and of (pair, size), and the item sizes. The driver gets at most two tables of ``leak.table`` bits."""
+def _tables(items: DataFrame, leak: Leak) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bit tables of all pairs and of (pair, size), the item sizes and the fewest pairs of an item of each. The driver gets at most two tables of ``leak.table`` bits."""
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for n, blob in zip(batch.column("n").to_pylist(), batch.column("item").to_pylist(), strict=True):
@@ -109,8 +110,8 @@ def _tables(items: DataFrame, leak: Leak) -> tuple[np.ndarray, np.ndarray, np.nd
     got = map_arrow(items, each, "kind int, w long, m long").groupBy("kind", "w").agg(F.bit_or("m").alias("m")).toPandas()
     tables = np.zeros((2, leak.table // 64), np.uint64)
     tables[got["kind"].to_numpy(np.int64), got["w"].to_numpy(np.int64)] = got["m"].to_numpy(np.int64).view(np.uint64)
-    sizes = np.array(sorted(r["n"] for r in items.select("n").distinct().collect()), np.int64)
-    return tables[0], tables[1], sizes
+    sizes = np.array(sorted((r["n"], r["p"]) for r in items.groupBy("n").agg(F.min("pairs").alias("p")).collect()), np.int64).reshape(-1, 2)
+    return tables[0], tables[1], sizes[:, 0], sizes[:, 1]
 
 
 def _in(table: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -118,7 +119,18 @@ def _in(table: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (table[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
-def _survivors(h: np.ndarray, of: np.ndarray, known: np.ndarray, by_size: np.ndarray, sizes: np.ndarray, leak: Leak) -> Iterator[tuple[int, np.ndarray]]:
+def _different(pair: np.ndarray, hit: np.ndarray, by_size: np.ndarray, start: np.ndarray, last: np.ndarray, n: int, reach: int) -> np.ndarray:
+    """Different pairs of items of size n in the window of each start."""
+    grid = start[:, None] + np.arange(reach)
+    inside = grid < last[:, None]
+    grid = np.minimum(grid, len(pair) - 1)
+    value = np.where(inside & hit[grid], pair[grid], np.uint64(0))
+    value[~_in(by_size, mix(value ^ np.uint64(n)))] = 0
+    value.sort(1)
+    return (value[:, 0] != 0) + ((value[:, 1:] != value[:, :-1]) & (value[:, 1:] != 0)).sum(1)
+
+
+def _survivors(h: np.ndarray, of: np.ndarray, known: np.ndarray, by_size: np.ndarray, sizes: np.ndarray, fewest: np.ndarray, leak: Leak) -> Iterator[tuple[int, np.ndarray]]:
     """(size, starts) of the windows that may hold an item of that size."""
     if not len(h) or not len(sizes):
         return
@@ -133,26 +145,19 @@ def _survivors(h: np.ndarray, of: np.ndarray, known: np.ndarray, by_size: np.nda
     last = of[1:][doc]
     begins = _in(known, mix(h))
     start = np.flatnonzero(begins)                 # a best match can be taken to begin with a word of the item
-    all_least = sizes - 1 - 2 * _allowed(sizes, leak)
+    all_least = fewest - 2 * _allowed(sizes, leak)
     if all_least.min() > 0:                        # what any size needs, before each size is tried
         reach = int((sizes + _allowed(sizes, leak)).max())
         start = start[sums[np.minimum(start + reach - 1, len(h))] - sums[start] >= all_least.min()]
-    for n, d in zip(sizes, _allowed(sizes, leak), strict=True):
-        least = n - 1 - 2 * d
+    for n, d, least in zip(sizes, _allowed(sizes, leak), all_least, strict=True):
         if least <= 0:
             some = start
         else:
             some = start[sums[np.minimum(start + n + d - 1, len(h))] - sums[start] >= least]
         some = some[some + n - d <= last[some]]
         if least > 0 and len(some):
-            near = _in(by_size, mix(pair ^ np.uint64(n))) & hit if len(some) * (n + d) > len(h) else None
-            if near is None:
-                grid = np.minimum(some[:, None] + np.arange(n + d - 1), len(h) - 1)
-                got = (_in(by_size, mix(pair[grid] ^ np.uint64(n))) & hit[grid] & (grid < last[some][:, None])).sum(1)
-            else:
-                own = np.concatenate([[0], np.cumsum(near)])
-                got = own[np.minimum(some + n + d - 1, last[some])] - own[some]
-            some = some[got >= least]
+            parts = [some[k:k + 20_000] for k in range(0, len(some), 20_000)]
+            some = np.concatenate([p[_different(pair, hit, by_size, p, last[p], int(n), int(n + d - 1)) >= least] for p in parts])
         if len(some):
             yield int(n), some
 
@@ -161,16 +166,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
     """``doc_id``, ``doc_key`` (hash of id and text), ``item_id``, ``start`` and ``length`` (words), ``distance``, ``item_words``:
     the nearest place of each item that leaks into a text."""
     items = stored(item_words(benchmark))
-    known, by_size, sizes = _tables(items, leak)
-    shipped = docs.sparkSession.sparkContext.broadcast((known, by_size, sizes))     # 2 x leak.table bits
+    tables = _tables(items, leak)
+    shipped = docs.sparkSession.sparkContext.broadcast(tables)     # 2 x leak.table bits
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, by_size, sizes = shipped.value
         task = TaskContext.get()
         serial = (task.partitionId() if task else 0) << 40
         for batch, data, offsets in slices(batches):
             w = words(data, offsets, MARKS)
-            for n, at in _survivors(w.hash, w.of, known, by_size, sizes, leak):
+            for n, at in _survivors(w.hash, w.of, *shipped.value, leak):
                 doc = np.searchsorted(w.of, at, "right") - 1
                 reach = int(n + _allowed(n, leak))
                 for k in range(0, len(at), 50_000):
