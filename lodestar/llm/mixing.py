@@ -83,10 +83,11 @@ WITH s AS (SELECT source, sum(coalesce(strlen(text), 0) + 8) AS size FROM docume
 r AS (SELECT source, 1.0::DOUBLE * (1.0::DOUBLE / (SELECT count(*) FROM s)) * (SELECT sum(size) FROM s)::DOUBLE / size AS rate FROM s),
 m AS (SELECT source, rate, greatest(1, ceil(rate / {STEP}))::INT AS terms, rate / greatest(1, ceil(rate / {STEP})) AS mean FROM r),
 p AS (SELECT source, k, sum(exp(-mean) * pow(mean, k) / gamma(k + 1)) OVER (PARTITION BY source ORDER BY k) AS c FROM m, range(0, {LAST + 1}) t(k)),
-d AS (SELECT doc_id, documents.source, rate, coalesce(doc_id::VARCHAR, 'null') AS key, unnest(range(1, terms + 1)) AS j
-      FROM documents JOIN m ON documents.source IS NOT DISTINCT FROM m.source),
+i AS (SELECT doc_id, source, row_number() OVER () AS place FROM documents),
+d AS (SELECT place, doc_id, i.source, rate, coalesce(doc_id::VARCHAR, 'null') AS key, unnest(range(1, terms + 1)) AS j
+      FROM i JOIN m ON i.source IS NOT DISTINCT FROM m.source),
 u AS (SELECT *, (('0x' || substr(md5('{SEED}|' || key || '|' || j), 1, 13))::BIGINT + 0.5) / {float(1 << 52)} AS u FROM d),
-n AS (SELECT doc_id, u.source, rate, key, count(*) AS n FROM u JOIN p ON u.source IS NOT DISTINCT FROM p.source AND p.c <= u.u GROUP BY ALL),
+n AS (SELECT place, doc_id, u.source, rate, key, count(*) AS n FROM u JOIN p ON u.source IS NOT DISTINCT FROM p.source AND p.c <= u.u GROUP BY ALL),
 e AS (SELECT doc_id, source, key, rate, unnest(range(1, n + 1)) AS copy FROM n)
 SELECT doc_id, source, copy::INT AS copy, round(rate, 6) AS mix_rate, md5('{SEED}-order|' || key || '|' || copy) AS mix_order FROM e
 """

@@ -3,7 +3,7 @@
 Base patterns find assignments of secrets, access keys and hexadecimal strings. The method adds ``random`` spans: maximal
 runs of ``[A-Za-z0-9+/_=-]`` that overlap no base span and that a Markov model of random strings explains better than one of
 ordinary identifiers. Both models count pairs of neighbouring characters: the first in the values of base spans (plus an even
-prior: a random string may hold any character), the second in ordinary runs of a bounded sample of documents.
+prior: a random string may hold any character), the second in runs shaped as words of a bounded sample of documents, outside base spans.
 
 Positions are code points, ends exclusive. A null or empty text has no span; a table without base spans or identifiers still
 gives both models their priors; rows are independent, so ties and repeated rows repeat; other columns stay with ``find_secrets``, its own names replace theirs.
@@ -26,6 +26,8 @@ WORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
 #: A run of 16+ is a maximal run of ``HEX`` that is long enough; likewise for access keys.
 LONG_HEX, LONG_ACCESS = r"[0-9a-f]{16,}", r"AKIA[A-Z0-9]{14,}"
 RUN = r"[A-Za-z0-9+/_=-]"
+#: Runs that may teach what is ordinary: words in lower, upper or title case, joined or not.
+ORDINARY = r"^(?:(?:[A-Z]?[a-z]{2,}[_-]?)+|(?:[A-Z]{2,}[_-]?)+)$"
 KINDS = ("assign", "access", "hex", "random")
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 SIZE = len(ALPHABET) + 1
@@ -113,7 +115,7 @@ def learn_ratio(docs: DataFrame, text: str = "text", scan: Scan = Scan()) -> lis
     some = t.where(F.pmod(F.xxhash64("text"), F.lit(keep)) == 0).distinct()
     run = f"{RUN}{{{scan.min_identifier},}}"
     runs = base_spans(some).select("_base", F.explode(F.regexp_extract_all("text", F.lit(run), F.lit(0))).alias("value"))
-    ordinary = runs.where(~F.exists("_base", lambda s: F.contains(s["value"], F.col("value")) | F.contains(F.col("value"), s["value"]))).select("value")
+    ordinary = runs.where(F.col("value").rlike(ORDINARY) & ~F.exists("_base", lambda s: F.contains(s["value"], F.col("value")) | F.contains(F.col("value"), s["value"]))).select("value")
     up, down = _log_probabilities(_pair_counts(random), 2.0), _log_probabilities(_pair_counts(ordinary), 0.1)
     return [a - b for a, b in zip(up, down, strict=True)]
 
