@@ -144,12 +144,12 @@ def mapping_invalidate(mappings: DataFrame, failures: DataFrame) -> DataFrame:
             .drop("new_error").withColumn("valid", F.col("chosen") & F.col("ok")))
 
 
-def page_round_union(rows: DataFrame, total: Column, max_rounds: int = 3) -> DataFrame:
+def page_round_union(rows: DataFrame, total: Column) -> DataFrame:
     """Union of repeated list passes, first-seen record per id; later passes count only while ids are missing."""
     rest = [c for c in rows.columns if c not in ("instrument_id",)]
-    first = (rows.where(F.col("round") <= max_rounds).groupBy("instrument_id")
+    first = (rows.groupBy("instrument_id")
              .agg(F.min_by(F.struct(*rest), F.struct("round", "page", "pos")).alias("_row")).select("instrument_id", "_row.*"))
-    per = first.groupBy("round").agg(F.count(F.lit(1)).alias("n"))            # at most max_rounds rows
+    per = first.groupBy("round").agg(F.count(F.lit(1)).alias("n"))            # one row per round
     seen = per.withColumn("seen", F.sum("n").over(W.orderBy("round").rowsBetween(W.unboundedPreceding, 0)))
     stop = seen.withColumn("total", total).agg(F.min(F.when(F.col("seen") >= F.col("total"), F.col("round")))).scalar()
-    return first.where(F.col("round") <= F.coalesce(stop, F.lit(max_rounds)))
+    return first.where(stop.isNull() | (F.col("round") <= stop))

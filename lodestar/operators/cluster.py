@@ -56,7 +56,10 @@ def te_clusters(returns: DataFrame, instruments: DataFrame, thresholds: tuple[fl
     first = copies.groupBy("key").agg(F.min("asset").alias("first"))
     lead = durable(copies.join(first, "key").select("asset", "first"))
     distinct = returns.join(lead.where(F.col("asset") == F.col("first")).select("asset"), "asset", "left_semi")
-    labels = complete_linkage(te_edges(te_pairs(distinct, p=p), p), thresholds)
+    # pairs up to the largest threshold; only those under the prefilter are refined
+    pairs = te_pairs(distinct, max_te=max(p.robust_prefilter_te, *thresholds), p=p)
+    pairs = pairs.withColumn("robust", F.when(F.col("te") < p.robust_prefilter_te, F.col("robust")))
+    labels = complete_linkage(te_edges(pairs, p), thresholds)
     t = F.explode(F.array(*[F.lit(float(x)) for x in thresholds])).alias("threshold")
     every = instruments.select("asset").join(lead, "asset", "left").select("asset", F.coalesce("first", "asset").alias("node"), t)
     return (every.join(labels, ["threshold", "node"], "left")

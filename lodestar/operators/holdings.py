@@ -121,7 +121,7 @@ def similar_within(members: DataFrame, rec: DataFrame, group: list[str], grid: l
     Exact for any pair at or above those overlaps: a join of ids on (group, cell), never all pairs of a group.
     A pair of records is scored once however many groups it shares. Records that lack a part of the grid can
     not reach it and take no part."""
-    full = rec.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k, _, _ in grid]))
+    full = rec.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k, _, _ in grid], F.lit(True)))
     l = members.join(_cells(full, grid, True), "id").withColumnRenamed("id", "id_a")
     r = members.join(_cells(full, grid, False), "id").withColumnRenamed("id", "id_b")
     pairs = l.join(r, [*group, "_cell"]).where(F.col("id_a") < F.col("id_b")).drop("_cell")
@@ -273,7 +273,7 @@ def look_through(weights: DataFrame, alloc: DataFrame) -> DataFrame:
     parts = weights.where(F.col("w") > 0).join(facts, "isin").withColumn("e", F.col("w") * eq)
     share = (F.when(F.col("kind") == "top", F.col("w") * F.col("weight") / 100)
              .when(F.col("weight") <= 0, None).when(F.col("kind") == "ast", F.col("w") * F.col("weight") / F.col("ast_sum"))
-             .when(F.col("kind") == "reg", F.col("e") * F.col("weight") / F.col("reg_sum")).otherwise(F.col("e") * F.col("weight") / F.col("sec_sum")))
+             .when(F.col("e") <= 0, None).when(F.col("kind") == "reg", F.col("e") * F.col("weight") / F.col("reg_sum")).otherwise(F.col("e") * F.col("weight") / F.col("sec_sum")))
     kind = F.when(F.col("kind") == "top", "company").otherwise(F.col("kind"))
     rows = (parts.join(alloc, "isin").select("portfolio_id", kind.alias("kind"), "label", share.alias("share")).where(F.col("share").isNotNull())
             .groupBy("portfolio_id", "kind", "label").agg(F.sum("share").alias("share")))

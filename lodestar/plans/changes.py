@@ -295,9 +295,9 @@ FROM {snap} s JOIN (SELECT run_id, CAST(row_number() OVER (ORDER BY run_id) AS B
 
 
 @query("page_round_union", "passes", """
-WITH f AS (SELECT *, row_number() OVER (PARTITION BY instrument_id ORDER BY round, page, pos) AS rn FROM passes WHERE round <= 3),
+WITH f AS (SELECT *, row_number() OVER (PARTITION BY instrument_id ORDER BY round, page, pos) AS rn FROM passes),
 c AS (SELECT round, count(*) AS n FROM f WHERE rn = 1 GROUP BY round),
 s AS (SELECT min(round) AS stop FROM (SELECT round, sum(n) OVER (ORDER BY round) AS seen FROM c) x WHERE seen >= (SELECT floor(0.97 * count(DISTINCT instrument_id)) FROM passes))
-SELECT instrument_id, round, page, pos, category FROM f WHERE rn = 1 AND round <= coalesce((SELECT stop FROM s), 3)""")
+SELECT instrument_id, round, page, pos, category FROM f WHERE rn = 1 AND round <= coalesce((SELECT stop FROM s), round)""")
 def _(t):
     return ch.page_round_union(t.passes, F.floor(t.passes.agg(F.count_distinct("instrument_id") * 0.97).scalar()))

@@ -45,6 +45,12 @@ def test_pages(spark, escaped):
     assert out[1].name == 'ETF "1"' and out[5].name == "Old" and out[5].domicile == "LU" and out[5].fee is None and out[1].ask_eligible
 
 
+def test_flatten_keeps_what_is_nested_deeper(spark):
+    df = spark.createDataFrame([(1, '{"a":{"b":{"c":{"d":{"e":{"f":1}}}}},"z":2}')], "id int, record string")
+    assert {r.path: r.value for r in pages.flatten(df, "id").collect()} == {"a.b.c.d.e": '{"f":1}', "z": "2"}
+    assert {r.path: r.value for r in pages.flatten(df, "id", depth=5).collect()} == {"a.b.c.d.e.f": "1", "z": "2"}
+
+
 def test_flatten(spark):
     doc = {"a": {"b": {"value": 3, "unit": "%"}, "c": [1, {"x": 2}]}, "d": None, "e": {"value": {"z": 1}}}
     df = spark.createDataFrame([(1, json.dumps(doc))], "id long, record string")
