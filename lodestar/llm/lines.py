@@ -138,7 +138,8 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rep
     gone = stored(repeated_runs(docs, doc_id, text, repeat)).select(F.col("doc_key").alias("_key"), F.col("lines").alias("_lines"), F.col("runs").alias("_runs"), F.col("words").alias("_words"))
     others = docs.drop(text)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in others.columns]).alias("_row"), F.col(text).alias("_text"), F.xxhash64(doc_id, text).alias("_of"))
-    out = rows.join(gone, F.col("_of") == F.col("_key"), "left")
+    # the runs grow with the texts: the same shuffled join at every size, no broadcast of them
+    out = rows.join(gone.hint("merge"), F.col("_of") == F.col("_key"), "left")
     kept = F.filter(F.split("_text", "\n"), lambda x, i: ~F.array_contains("_lines", i))
     out = out.withColumn(text, F.when(F.col("_lines").isNull(), F.col("_text")).otherwise(F.array_join(kept, "\n")))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
