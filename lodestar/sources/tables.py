@@ -41,6 +41,13 @@ def read_store(spark: SparkSession, root: str, since_year: int | None = None) ->
     return df if since_year is None else df.where(F.col("year") >= since_year)
 
 
+def drop_years(spark: SparkSession, root: str, years: list[int]) -> None:
+    """Delete the partitions of years without rows, in whatever file system the store is."""
+    for y in years:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/close/year={y}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 # ------------------------------------------------------------------ exports
 
 def clean_floats(df: DataFrame) -> DataFrame:

@@ -11,17 +11,34 @@ from pyspark.sql.streaming import StreamingQuery
 
 from lodestar.operators.incremental import changed_partitions, refetch_cuts, upsert
 from lodestar.session import stored
-from lodestar.sources.tables import read_store, write_store
+from lodestar.sources.tables import drop_years, read_store, write_store
 
 SCHEMA = "asset string, date date, close double, is_full boolean"
 
 
+def touched_years(store: DataFrame, fetched: DataFrame, cuts: DataFrame) -> list[int]:
+    """Years a batch can change: those of its own rows, those at or after an asset's cut, and for a full refetch all that
+    hold the asset. The calendar bounds the list; without a full refetch only partitions from the first cut on are read."""
+    first = cuts.agg(F.min(F.year("cut")).alias("y"), F.max("is_full").alias("full")).first()
+    if first["y"] is None:
+        return []
+    near = store if first["full"] else store.where(F.col("year") >= first["y"])
+    hit = near.join(cuts, "asset").where(F.col("is_full") | (F.col("year") >= F.year("cut"))).select("year")
+    return sorted(r["year"] for r in hit.union(fetched.select(F.year("date"))).distinct().collect())
+
+
 def apply_batch(spark: SparkSession, root: str, fetched: DataFrame) -> None:
-    """Merge one batch into the store; only the years whose content changed are rewritten."""
-    old = read_store(spark, root)
-    new = stored(upsert(old.drop("year"), fetched, refetch_cuts(fetched)).withColumn("year", F.year("date")))
-    years = stored(changed_partitions(old, new).where(F.col("status") != "gone"))
-    write_store(new.drop("year"), root, years)
+    """Merge one batch into the store: only years it can change are read, only those that change are written, and years
+    that end empty are deleted. A repeated batch changes nothing."""
+    cuts = stored(refetch_cuts(fetched))
+    years = touched_years(read_store(spark, root), fetched, cuts)
+    if not years:
+        return
+    old = read_store(spark, root).where(F.col("year").isin(years))
+    new = stored(upsert(old.drop("year"), fetched, cuts).withColumn("year", F.year("date")))
+    changed = stored(changed_partitions(old, new))
+    write_store(new.drop("year"), root, changed.where(F.col("status") != "gone"))
+    drop_years(spark, root, [r["year"] for r in changed.where(F.col("status") == "gone").collect()])
 
 
 def run_available(spark: SparkSession, drop_folder: str, root: str, checkpoint: str) -> StreamingQuery:
