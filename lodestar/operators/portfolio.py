@@ -7,6 +7,8 @@ linear in (assets x months); no pair of assets is ever formed.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from lodestar.params import DEFAULTS, Params
@@ -25,27 +27,30 @@ def common_months(returns: DataFrame) -> DataFrame:
     return returns.join(whole, "mi", "left_semi").select(*returns.columns)
 
 
-def shrinkage(returns: DataFrame) -> DataFrame:
-    """One row (n_assets, n_months, rbar, delta): Ledoit-Wolf shrinkage towards constant correlation.
+def shrinkage(returns: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """One row (n_assets, n_months, rbar, delta) per selection ``by``: Ledoit-Wolf shrinkage towards constant correlation.
 
-    ``returns`` must hold every month for every asset. The squared norm of the covariance matrix comes from
+    ``returns`` must hold every month of a selection for each of its assets. The squared norm of the covariance matrix comes from
     the month x month products (a fixed window, 60 x 60), so nothing grows with the square of the assets."""
-    per = W.partitionBy("asset")
+    per = W.partitionBy(*by, "asset")
     x = (returns.withColumn("x", F.col("r") - F.avg("r").over(per)).withColumn("sd", F.stddev_samp("r").over(per)))
-    by_month = x.groupBy("mi").agg(
+    by_month = x.groupBy(*by, "mi").agg(
         F.sum(F.col("x") * F.col("x")).alias("q"), F.sum(F.col("x") / F.col("sd")).alias("z"),
         F.sum(F.col("x") * F.col("sd")).alias("u"), F.sum(F.pow("x", F.lit(3.0)) / F.col("sd")).alias("c"))
-    m = by_month.agg(F.count(F.lit(1)).alias("T"), F.sum(F.col("q") * F.col("q")).alias("qq"), F.sum(F.col("z") * F.col("z")).alias("zz"),
+    m = by_month.groupBy(*by).agg(F.count(F.lit(1)).alias("T"), F.sum(F.col("q") * F.col("q")).alias("qq"), F.sum(F.col("z") * F.col("z")).alias("zz"),
                      F.sum(F.col("u") * F.col("u")).alias("uu"), F.sum(F.col("c") * F.col("u")).alias("cu"))
-    a = (x.groupBy("asset").agg((F.max("sd") * F.max("sd")).alias("s"), F.sum(F.pow("x", F.lit(4.0))).alias("x4"))
-         .agg(F.count(F.lit(1)).alias("N"), F.sum("s").alias("ds"), F.sum(F.col("s") * F.col("s")).alias("ds2"), F.sum("x4").alias("x4")))
-    row = x.groupBy("asset").agg(F.array_sort(F.collect_list(F.struct("mi", "x"))).alias("v"))
-    gram = (row.select("v", F.explode("v").alias("i")).select("i", F.explode("v").alias("j"))
+    a = (x.groupBy(*by, "asset").agg((F.max("sd") * F.max("sd")).alias("s"), F.sum(F.pow("x", F.lit(4.0))).alias("x4"))
+         .groupBy(*by).agg(F.count(F.lit(1)).alias("N"), F.sum("s").alias("ds"), F.sum(F.col("s") * F.col("s")).alias("ds2"), F.sum("x4").alias("x4")))
+    row = x.groupBy(*by, "asset").agg(F.array_sort(F.collect_list(F.struct("mi", "x"))).alias("v"))
+    gram = (row.select(*by, "v", F.explode("v").alias("i")).select(*by, "i", F.explode("v").alias("j"))
             .where(F.col("j.mi") >= F.col("i.mi"))
-            .groupBy(F.col("i.mi").alias("i"), F.col("j.mi").alias("j")).agg(F.sum(F.col("i.x") * F.col("j.x")).alias("g")))
-    norm = gram.agg(F.sum(F.when(F.col("i") == F.col("j"), 1.0).otherwise(2.0) * F.col("g") * F.col("g"))).scalar()
-    s = (a.withColumn("gg", norm).withColumn("_m", m.select(F.struct("*")).scalar())
-         .select("N", "ds", "ds2", "x4", "gg", "_m.*").withColumn("T", F.col("T").cast("double")))
+            .groupBy(*by, F.col("i.mi").alias("i"), F.col("j.mi").alias("j")).agg(F.sum(F.col("i.x") * F.col("j.x")).alias("g")))
+    norm = gram.groupBy(*by).agg(F.sum(F.when(F.col("i") == F.col("j"), 1.0).otherwise(2.0) * F.col("g") * F.col("g")).alias("gg"))
+    if by:
+        s = a.join(m, list(by)).join(norm, list(by))
+    else:
+        s = a.withColumn("gg", norm.scalar()).withColumn("_m", m.select(F.struct("*")).scalar()).select("N", "ds", "ds2", "x4", "gg", "_m.*")
+    s = s.withColumn("T", F.col("T").cast("double"))
     k = (F.col("T") - 1) / F.col("T")
     s = (s.withColumn("norm", F.col("gg") / F.pow(F.col("T") - 1, F.lit(2.0)))
          .withColumn("Q", F.col("uu") / (F.col("T") - 1))
@@ -58,7 +63,7 @@ def shrinkage(returns: DataFrame) -> DataFrame:
                      + F.col("rbar") * F.col("rbar") * (F.col("ds") * F.col("ds") - F.col("ds2"))))
     raw = F.when(F.col("gamma") > 0, (F.col("pi") - F.col("rho")) / F.col("gamma")).otherwise(0.0) / F.col("T")
     delta = F.when(F.col("N") == 1, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)))
-    return s.select(F.col("N").alias("n_assets"), F.col("T").cast("long").alias("n_months"),
+    return s.select(*by, F.col("N").alias("n_assets"), F.col("T").cast("long").alias("n_months"),
                     F.coalesce("rbar", F.lit(0.0)).alias("rbar"), delta.alias("delta"))
 
 
@@ -69,27 +74,45 @@ def shrunk_covariance(pairs: DataFrame, scalars: DataFrame) -> DataFrame:
     return (pairs.withColumn("s", s).select("a", "b", "cov", F.when(F.col("a") == F.col("b"), F.col("cov")).otherwise(shrunk).alias("shrunk")))
 
 
-def estimate(returns: DataFrame, bench: DataFrame, costs: DataFrame, rf_now: Column, p: Params = DEFAULTS) -> DataFrame:
+def estimate(returns: DataFrame, bench: DataFrame, costs: DataFrame, rf_now: Column, p: Params = DEFAULTS, by: Sequence[str] = ()) -> DataFrame:
     """Per asset: sd (monthly), beta from the shrunk covariance, yearly historical mean and expected return.
 
-    The benchmark is one more series in the shrinkage, as in the estimate for a single selection."""
-    everything = returns.select("asset", "mi", "r").unionByName(bench.select(F.lit("\u0000benchmark").alias("asset"), "mi", "r"))
-    s = shrinkage(everything).select(F.struct("rbar", "delta")).scalar()
-    per = (returns.join(bench.select("mi", F.col("r").alias("b")), "mi").groupBy("asset")
+    The benchmark is one more series in the shrinkage. With ``by`` each selection has its own months and its own shrinkage."""
+    months = returns.select(*by, "mi").distinct().join(bench.select("mi", "r"), "mi") if by else bench
+    everything = returns.select(*by, "asset", "mi", "r").unionByName(months.select(*by, F.lit("\u0000benchmark").alias("asset"), "mi", "r"))
+    scalars = shrinkage(everything, by).select(*by, F.struct("rbar", "delta").alias("s"))
+    per = (returns.join(bench.select("mi", F.col("r").alias("b")), "mi").groupBy(*by, "asset")
            .agg(F.stddev_samp("r").alias("sd"), F.covar_samp("r", "b").alias("cib"), F.stddev_samp("b").alias("sb"),
                 (F.avg("r") * 12).alias("hist")))
     shr = F.col("s.delta") * F.col("s.rbar") * F.col("sd") * F.col("sb") + (1 - F.col("s.delta")) * F.col("cib")
     h = p.history_weight
-    return (per.withColumn("s", s).withColumn("beta", F.try_divide(shr, F.col("sb") * F.col("sb")))
+    per = per.join(scalars, list(by)) if by else per.withColumn("s", scalars.scalar())
+    return (per.withColumn("beta", F.try_divide(shr, F.col("sb") * F.col("sb")))
             .join(costs, "asset", "left").withColumn("rf", rf_now)
             .withColumn("mu", (1 - h) * (F.col("rf") + F.coalesce("beta", F.lit(1.0)) * p.market_risk_premium
                                          - F.coalesce("cost", F.lit(0.0)) / 100) + h * F.col("hist"))
-            .select("asset", "sd", "beta", "hist", "mu", "rf", "s.rbar", "s.delta"))
+            .select(*by, "asset", "sd", "beta", "hist", "mu", "rf", "s.rbar", "s.delta"))
+
+
+def _on(table: DataFrame) -> list[str]:
+    """A table of returns or estimates holds for all portfolios, or has rows of its own for each."""
+    return [c for c in ("portfolio_id", "asset") if c in table.columns]
+
+
+def selection_returns(weights: DataFrame, returns: DataFrame, bench: DataFrame, p: Params = DEFAULTS) -> DataFrame:
+    """(portfolio_id, asset, mi, r): the returns of a portfolio's own holdings over its own window, which is the estimation
+    years' part of its unbroken months (``portfolio_mix``), 12 at least. Other portfolios' holdings play no part."""
+    first = returns.agg(F.max("mi")).scalar() - 12 * p.estimation_years
+    window = portfolio_mix(weights, returns).select("portfolio_id", "mi").where(F.col("mi") > first).join(bench.select("mi"), "mi", "left_semi")
+    long_enough = window.groupBy("portfolio_id").count().where("count >= 12")
+    window = window.join(long_enough, "portfolio_id", "left_semi")
+    return (weights.select("portfolio_id", "asset").join(returns.select("asset", "mi", "r"), "asset")
+            .join(window, ["portfolio_id", "mi"], "left_semi").select("portfolio_id", "asset", "mi", "r"))
 
 
 def mix_returns(weights: DataFrame, returns: DataFrame) -> DataFrame:
     """Fixed-weight return per portfolio and month."""
-    return (weights.join(returns, "asset").groupBy("portfolio_id", "mi")
+    return (weights.join(returns, _on(returns)).groupBy("portfolio_id", "mi")
             .agg(F.sum(F.col("w") * F.col("r")).alias("r"), F.count(F.lit(1)).alias("n")))
 
 
@@ -102,7 +125,7 @@ def _target_part(w: Column, sd: Column) -> Column:
 def portfolio_perf(weights: DataFrame, returns: DataFrame, est: DataFrame) -> DataFrame:
     """Expected return, volatility and Sharpe per weight vector under the shrunk covariance."""
     mix = mix_returns(weights, returns).groupBy("portfolio_id").agg(F.var_samp("r").alias("v"))
-    sums = (weights.join(est, "asset").groupBy("portfolio_id")
+    sums = (weights.join(est, _on(est)).groupBy("portfolio_id")
             .agg(F.sum(F.col("w") * F.col("mu")).alias("ret"), _target_part(F.col("w"), F.col("sd")).alias("target"),
                  F.first("delta").alias("delta"), F.first("rf").alias("rf")))
     var = 12 * (F.col("delta") * F.col("target") + (1 - F.col("delta")) * F.col("v"))
@@ -113,12 +136,12 @@ def portfolio_perf(weights: DataFrame, returns: DataFrame, est: DataFrame) -> Da
 def risk_contribution(weights: DataFrame, returns: DataFrame, est: DataFrame) -> DataFrame:
     """Share of a portfolio's variance per holding, and how far it lies over the holding's weight."""
     mix = mix_returns(weights, returns).select("portfolio_id", "mi", F.col("r").alias("m"))
-    cov = (weights.join(returns, "asset").join(mix, ["portfolio_id", "mi"]).groupBy("portfolio_id", "asset")
+    cov = (weights.join(returns, _on(returns)).join(mix, ["portfolio_id", "mi"]).groupBy("portfolio_id", "asset")
            .agg(F.max("w").alias("w"), F.covar_samp("r", "m").alias("c")))
-    ws = weights.join(est.select("asset", "sd"), "asset").groupBy("portfolio_id").agg(F.sum(F.col("w") * F.col("sd")).alias("ws"))
+    ws = weights.join(est.select(*_on(est), "sd"), _on(est)).groupBy("portfolio_id").agg(F.sum(F.col("w") * F.col("sd")).alias("ws"))
     sw = (1 - F.col("delta")) * F.col("c") + F.col("delta") * (
         F.col("rbar") * F.col("sd") * (F.col("ws") - F.col("w") * F.col("sd")) + F.col("sd") * F.col("sd") * F.col("w"))
-    part = (cov.join(est.select("asset", "sd", "rbar", "delta"), "asset").join(ws, "portfolio_id")
+    part = (cov.join(est.select(*_on(est), "sd", "rbar", "delta"), _on(est)).join(ws, "portfolio_id")
             .select("portfolio_id", "asset", "w", (F.col("w") * sw).alias("part")))
     total = part.groupBy("portfolio_id").agg(F.sum("part").alias("total"))
     return (part.join(total, "portfolio_id")

@@ -147,21 +147,24 @@ def est(t):
     return pf.estimate(t.ret60, t.bench60, t.asset_cost, rf_now)
 
 
-def _lw(src: str) -> tuple[str, str]:
-    """Pair form of the shrinkage: moments per ordered pair, then one row with rbar and delta."""
+def _lw(src: str, by: str = "") -> tuple[str, str]:
+    """Pair form of the shrinkage: moments per ordered pair, then one row (per selection ``by``) with rbar and delta."""
+    key = f"{by}, " if by else ""
+    same = lambda x, y: f" AND {x}.{by} = {y}.{by}" if by else ""
+    whole, groups = (f"PARTITION BY m.{by}", f"GROUP BY {by}") if by else ("", "")
+    centred = f"(SELECT *, r - avg(r) OVER (PARTITION BY {key}asset) AS x FROM ({src}) q)"
     moments = f"""
-SELECT a.asset AS a, b.asset AS b, count(*) AS t, sum(a.x * b.x) / (count(*) - 1) AS s, sum(a.x * b.x) / count(*) AS h,
+SELECT {f"a.{key}" if by else ""}a.asset AS a, b.asset AS b, count(*) AS t, sum(a.x * b.x) / (count(*) - 1) AS s, sum(a.x * b.x) / count(*) AS h,
        sum(a.x * a.x * b.x * b.x) / count(*) AS y2, sum(a.x * a.x * a.x * b.x) / count(*) AS t1
-FROM (SELECT *, r - avg(r) OVER (PARTITION BY asset) AS x FROM ({src}) q) a
-JOIN (SELECT *, r - avg(r) OVER (PARTITION BY asset) AS x FROM ({src}) q) b ON a.mi = b.mi GROUP BY a.asset, b.asset"""
-    scalars = """
-SELECT rbar, greatest(0, least(1, CASE WHEN gamma > 0 THEN (pi - pid - rbar * theta) / gamma ELSE 0 END / t)) AS delta
-FROM (SELECT max(rbar) AS rbar, max(t) AS t, sum(y2 - 2 * h * s + s * s) AS pi, sum(y2 - 2 * h * s + s * s) FILTER (a = b) AS pid,
+FROM {centred} a JOIN {centred} b ON a.mi = b.mi{same("a", "b")} GROUP BY {f"a.{key}" if by else ""}a.asset, b.asset"""
+    scalars = f"""
+SELECT {key}rbar, greatest(0, least(1, CASE WHEN gamma > 0 THEN (pi - pid - rbar * theta) / gamma ELSE 0 END / t)) AS delta
+FROM (SELECT {key}max(rbar) AS rbar, max(t) AS t, sum(y2 - 2 * h * s + s * s) AS pi, sum(y2 - 2 * h * s + s * s) FILTER (a = b) AS pid,
              sum(sdb / sda * (t1 - haa * s - h * saa + saa * s)) FILTER (a <> b) AS theta,
              sum(pow(s - CASE WHEN a = b THEN s ELSE rbar * sda * sdb END, 2)) AS gamma
       FROM (SELECT m.*, sqrt(x.s) AS sda, sqrt(y.s) AS sdb, x.s AS saa, x.h AS haa,
-                   (sum(m.s / sqrt(x.s * y.s)) OVER () - sqrt(count(*) OVER ())) / (sqrt(count(*) OVER ()) * (sqrt(count(*) OVER ()) - 1)) AS rbar
-            FROM {mom} m JOIN {mom} x ON x.a = m.a AND x.b = m.a JOIN {mom} y ON y.a = m.b AND y.b = m.b) p) z"""
+                   (sum(m.s / sqrt(x.s * y.s)) OVER ({whole}) - sqrt(count(*) OVER ({whole}))) / (sqrt(count(*) OVER ({whole})) * (sqrt(count(*) OVER ({whole})) - 1)) AS rbar
+            FROM {{mom}} m JOIN {{mom}} x ON x.a = m.a AND x.b = m.a{same("x", "m")} JOIN {{mom}} y ON y.a = m.b AND y.b = m.b{same("y", "m")}) p {groups}) z"""
     return moments, scalars
 
 
@@ -232,6 +235,61 @@ SELECT portfolio_id, mi, r, months FROM (
 WHERE months >= 13"""
 
 
+# one model per portfolio: its own holdings over its own window
+DUCK["sel"] = f"""
+SELECT p.portfolio_id, p.asset, l.mi, l.r FROM {{pf_asset}} p JOIN {{late}} l USING (asset)
+JOIN (SELECT portfolio_id, mi, count(*) OVER (PARTITION BY portfolio_id) AS n FROM {{mix}}
+      WHERE mi > (SELECT max(mi) FROM {{late}}) - 60 AND mi IN (SELECT mi FROM {{mret}} WHERE asset = '{BENCH}')) m ON m.portfolio_id = p.portfolio_id AND m.mi = l.mi
+WHERE m.n >= 12"""
+DUCK["mom_s"], _s = _lw(f"""SELECT portfolio_id, asset, mi, r FROM {{sel}} UNION ALL
+SELECT w.portfolio_id, '~bench', w.mi, b.r FROM (SELECT DISTINCT portfolio_id, mi FROM {{sel}}) w JOIN {{mret}} b ON b.mi = w.mi AND b.asset = '{BENCH}'""", "portfolio_id")
+DUCK["lw_s"] = _s.replace("{mom}", "{mom_s}")
+DUCK["sh_s"] = """
+SELECT m.portfolio_id, m.a, m.b, CASE WHEN m.a = m.b THEN m.s ELSE l.delta * l.rbar * sqrt(x.s * y.s) + (1 - l.delta) * m.s END AS s
+FROM {mom_s} m JOIN {mom_s} x ON x.a = m.a AND x.b = m.a AND x.portfolio_id = m.portfolio_id
+JOIN {mom_s} y ON y.a = m.b AND y.b = m.b AND y.portfolio_id = m.portfolio_id JOIN {lw_s} l ON l.portfolio_id = m.portfolio_id"""
+DUCK["est_s"] = """
+SELECT d.portfolio_id, d.a AS asset, sqrt(d.s) AS sd, c.s / b.s AS beta, h.hist, f.rf,
+       0.75 * (f.rf + c.s / b.s * 0.045 - k.cost / 100) + 0.25 * h.hist AS mu
+FROM {sh_s} d JOIN {sh_s} c ON c.a = d.a AND c.b = '~bench' AND c.portfolio_id = d.portfolio_id
+JOIN {sh_s} b ON b.a = '~bench' AND b.b = '~bench' AND b.portfolio_id = d.portfolio_id
+JOIN (SELECT portfolio_id, asset, avg(r) * 12 AS hist FROM {sel} GROUP BY ALL) h ON h.asset = d.a AND h.portfolio_id = d.portfolio_id JOIN {asset_cost} k ON k.asset = d.a
+CROSS JOIN (SELECT pow(1 + arg_max(rf, mi), 12) - 1 AS rf FROM {rfm}) f WHERE d.a = d.b AND d.a <> '~bench'"""
+DUCK["pvar_s"] = """
+SELECT x.portfolio_id, x.asset, max(x.w) AS w, sum(x.w * y.w * c.s) * 12 AS part FROM {pf_asset} x JOIN {pf_asset} y ON x.portfolio_id = y.portfolio_id
+JOIN {sh_s} c ON c.portfolio_id = x.portfolio_id AND c.a = x.asset AND c.b = y.asset GROUP BY x.portfolio_id, x.asset"""
+
+
+@stage
+def sel(t):
+    return pf.selection_returns(t.pf_asset, t.late, t.mret.where(F.col("asset") == BENCH).select("mi", "r"))
+
+
+@stage
+def est_s(t):
+    rf_now = t.rfm.agg((F.pow(1 + F.max_by("rf", "mi"), 12) - 1).alias("rf")).scalar()
+    return pf.estimate(t.sel, t.mret.where(F.col("asset") == BENCH).select("mi", "r"), t.asset_cost, rf_now, by=["portfolio_id"])
+
+
+@query("selection_estimate", "est_s", "SELECT portfolio_id, asset, R6(sd) AS sd, R6(beta) AS beta, R6(hist) AS hist, R6(mu) AS mu FROM est_s")
+def _(t):
+    return t.est_s.select("portfolio_id", "asset", "sd", "beta", "hist", "mu")
+
+
+@query("selection_perf", "pvar_s est_s pf_asset", """
+SELECT p.portfolio_id, R6(ret) AS ret, R6(sqrt(v)) AS vol, R6(CASE WHEN sqrt(v) > 1e-9 THEN (ret - rf) / sqrt(v) END) AS sharpe
+FROM (SELECT portfolio_id, sum(w * mu) AS ret, max(rf) AS rf FROM pf_asset JOIN est_s USING (portfolio_id, asset) GROUP BY portfolio_id) p
+JOIN (SELECT portfolio_id, sum(part) AS v FROM pvar_s GROUP BY portfolio_id) v USING (portfolio_id)""")
+def _(t):
+    return pf.portfolio_perf(t.pf_asset, t.sel, t.est_s)
+
+
+@query("selection_risk", "pvar_s", """
+SELECT portfolio_id, asset, R6(w) AS w, R6(part / v) AS rc, R6(part / v - w) AS excess FROM (SELECT *, sum(part) OVER (PARTITION BY portfolio_id) AS v FROM pvar_s) s""")
+def _(t):
+    return pf.risk_contribution(t.pf_asset, t.sel, t.est_s)
+
+
 @query("portfolio_mix", "mix", "SELECT portfolio_id, mi, R6(r) AS r, months FROM mix")
 def _(t):
     return pf.portfolio_mix(t.pf_asset, t.late)

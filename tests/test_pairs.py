@@ -162,3 +162,25 @@ def test_portfolio_mix_needs_a_year_and_every_holding(spark):
     out = pf.portfolio_mix(w, r)
     assert out.count() == 14 and {x.portfolio_id for x in out.collect()} == {1} and out.agg(F.min("mi")).first()[0] == 106
     assert pf.portfolio_mix(w, returns(spark, {"a": [0.01] * 12, "b": [0.01] * 12}, "mi")).count() == 0
+
+
+def test_model_of_each_selection_over_its_own_window(spark):
+    rnd = np.random.default_rng(11)
+    x = rnd.normal(0, 0.03, (70, 4)) + rnd.normal(0, 0.03, (70, 1))
+    young = [None] * 69 + [0.5]
+    r = returns(spark, {**{n: x[:, i] for i, n in enumerate("abc")}, "d": [None] * 40 + list(x[40:, 3]), "young": young}, "mi").where("r IS NOT NULL")
+    bench = spark.createDataFrame([(100 + i, float(x[i, 0])) for i in range(70)], "mi int, r double")
+    holdings = {1: {"a": 0.5, "b": 0.3, "c": 0.2}, 2: {"a": 0.6, "d": 0.4}, 3: {"a": 0.9, "young": 0.1}}
+    weights = spark.createDataFrame([(k, n, w) for k, h in holdings.items() for n, w in h.items()], "portfolio_id long, asset string, w double")
+    sel = pf.selection_returns(weights, r, bench)
+    assert {(q.portfolio_id, q["count"]) for q in sel.groupBy("portfolio_id").count().collect()} == {(1, 180), (2, 60)}
+    costs = spark.createDataFrame([("a", 0.2)], "asset string, cost double")
+    est = pf.estimate(sel, bench, costs, F.lit(0.02), by=["portfolio_id"])
+    perf = {q.portfolio_id: q for q in pf.portfolio_perf(weights, sel, est).collect()}
+    rc = {(q.portfolio_id, q.asset): q.rc for q in pf.risk_contribution(weights, sel, est).collect()}
+    assert set(perf) == {1, 2} and len(rc) == 5
+    for k, months, cols in ((1, 60, [0, 1, 2]), (2, 30, [0, 3])):
+        s, _, _ = shrink(np.column_stack([x[-months:, cols], x[-months:, 0]]))
+        s, w = s[:-1, :-1], np.array(list(holdings[k].values()))
+        assert perf[k].vol == pytest.approx(math.sqrt(12 * w @ s @ w))
+        assert [rc[k, n] for n in holdings[k]] == pytest.approx(list(w * (s @ w) / (w @ s @ w)))
