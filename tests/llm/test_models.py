@@ -192,6 +192,15 @@ def test_training_gradient_lowers_the_loss():
     assert loss(w) < 0.5 * before and r is not None
 
 
+def test_weights_are_averaged_by_tokens_over_several_levels(spark):
+    r = np.random.default_rng(8)
+    sets = [(k, int(r.integers(1, 50)), r.normal(0, 1, 6).astype(np.float32)) for k in range(7)]
+    df = spark.createDataFrame([(k, n, x.tobytes()) for k, n, x in sets], recurrent.SETS)
+    got = np.frombuffer(recurrent.averaged(df, 7, 2), np.float32)
+    assert np.allclose(got, np.average([x for *_, x in sets], axis=0, weights=[n for _, n, _ in sets]), atol=1e-5)
+    assert recurrent.averaged(df.where("false"), 7, 2) is None
+
+
 def test_empty_training(spark):
     df = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     got = recurrent.score_documents(df, df["doc_id"] < 0).collect()
