@@ -77,12 +77,31 @@ def _(t):
     return cluster.cluster_stats(t.class_members, pairs.te_edges(t.tep))
 
 
-@query("te_clusters")
+def _linkage(thresholds: tuple[float, ...]) -> str:
+    """One merge at a time: the nearest two clusters of each threshold whose members all have an edge; the name is the first member's."""
+    return f"""
+WITH RECURSIVE near AS MATERIALIZED (SELECT * FROM edges WHERE d <= {max(thresholds)}),
+lab AS (SELECT 0 AS step, t, asset AS node, asset AS cluster FROM class_members, (SELECT unnest({list(thresholds)}::DOUBLE[]) AS t) q
+UNION ALL
+SELECT step + 1, l.t, l.node, CASE WHEN l.cluster = m.gone THEN m.stays ELSE l.cluster END
+FROM lab l JOIN (
+  SELECT t, arg_min(a, (d, a, b)) AS stays, arg_min(b, (d, a, b)) AS gone FROM (
+    SELECT x.t, least(x.cluster, y.cluster) AS a, greatest(x.cluster, y.cluster) AS b, max(e.d) AS d, count(*) AS cnt
+    FROM near e JOIN lab x ON x.node = e.a JOIN lab y ON y.node = e.b AND y.t = x.t WHERE e.d <= x.t AND x.cluster <> y.cluster GROUP BY 1, 2, 3) p
+  JOIN (SELECT t, cluster AS a, count(*) AS na FROM lab GROUP BY ALL) v USING (t, a) JOIN (SELECT t, cluster AS b, count(*) AS nb FROM lab GROUP BY ALL) w USING (t, b)
+  WHERE cnt = na * nb GROUP BY t) m ON m.t = l.t),
+done AS (SELECT t, node, arg_max(cluster, step) AS cluster FROM lab GROUP BY t, node)"""
+
+
+@query("te_clusters", "edges class_members", f"{_linkage((DEFAULTS.te_threshold,))} SELECT node AS asset, cluster FROM done")
 def _(t):
     return cluster.te_clusters(t.classes, t.class_members).select("asset", "cluster")
 
 
-@query("threshold_sensitivity")
+@query("threshold_sensitivity", "edges class_members", f"""{_linkage(DEFAULTS.te_thresholds_report)}
+SELECT t AS threshold, count(*) AS clusters, count(*) FILTER (el) AS clusters_with_eligible, count(*) FILTER (n > 1) AS multi_member_clusters
+FROM (SELECT t, cluster, count(*) AS n, bool_or(coalesce(h.el, false)) AS el FROM done
+      LEFT JOIN (SELECT asset, count(*) >= {12 * DEFAULTS.min_history_years} AS el FROM classes GROUP BY asset) h ON h.asset = node GROUP BY t, cluster) c GROUP BY t""")
 def _(t):
     labels = cluster.te_clusters(t.classes, t.class_members, DEFAULTS.te_thresholds_report)
     history = t.classes.groupBy("asset").agg((F.count(F.lit(1)) >= 12 * DEFAULTS.min_history_years).alias("eligible"))
