@@ -78,14 +78,13 @@ _PLAN = "(100000 * pow(1 + m, 240) + 1000 * (1 + m) * (pow(1 + m, 240) - 1) / m)
 
 @query("twin_savings", "twin_rows pf_fund fund", f"""
 WITH c AS (SELECT portfolio_id, sum(w * coalesce(cost, 0)) / 100 AS cost FROM pf_fund JOIN fund USING (isin) GROUP BY portfolio_id),
-x AS (SELECT p.portfolio_id, p.isin AS id, t.twin, c.cost, c.cost - p.w * (t.own_cost - t.cost) / 100 AS less FROM pf_fund p JOIN c USING (portfolio_id) JOIN twin_rows t ON t.id = p.isin AND t.place <= 3),
+x AS (SELECT p.portfolio_id, p.isin AS id, t.twin, c.cost, c.cost - p.w * (t.own_cost - t.cost) / 100 AS less FROM pf_fund p JOIN c USING (portfolio_id) JOIN twin_rows t ON t.id = p.isin),
 v AS (SELECT *, (SELECT {_PLAN} FROM (SELECT pow(1 + 0.06 - cost, 1 / 12.0::DOUBLE) - 1 AS m)) AS base, (SELECT {_PLAN} FROM (SELECT pow(1 + 0.06 - less, 1 / 12.0::DOUBLE) - 1 AS m)) AS swapped FROM x)
 SELECT portfolio_id, id, twin, R4(swapped - base) AS gain FROM v""", digits=4)
 def _(t):
     cost = (t.pf_fund.join(t.fund.select("isin", "cost"), "isin").groupBy("portfolio_id")
             .agg((F.sum(F.col("w") * F.coalesce("cost", F.lit(0.0))) / 100).alias("pf_cost")))
-    first = ho.first_twins(t.twin_rows, t.products, 3)
-    j = t.pf_fund.join(cost, "portfolio_id").join(first.withColumnRenamed("id", "isin"), "isin")
+    j = t.pf_fund.join(cost, "portfolio_id").join(t.twin_rows.withColumnRenamed("id", "isin"), "isin")
     plan = lambda c: savings_value(F.lit(100000.0), F.lit(1000.0), F.lit(20), F.lit(0.06), c)
     less = F.col("pf_cost") - F.col("w") * (F.col("own_cost") - F.col("cost")) / 100
     return j.select("portfolio_id", F.col("isin").alias("id"), "twin", (plan(less) - plan(F.col("pf_cost"))).alias("gain"))

@@ -95,7 +95,8 @@ def state_pages(t):
     quoted = F.replace(F.replace(state, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
     script = F.when(F.col("page_id") % 3 == 1, F.concat(F.lit('<script>window.state="'), quoted, F.lit('"</script>'))).otherwise(
         F.concat(F.lit("<script>window.state="), state, F.lit("</script>")))
-    return t.pages.join(per.withColumn("script", script).select("page_id", "script"), "page_id").select("page_id", F.concat("html", "script").alias("html"))
+    decoy = F.lit('{"total_hits": 5, "results": [{"headline": "no instrument"}]}')
+    return t.pages.join(per.withColumn("script", script).select("page_id", "script"), "page_id", "left").select("page_id", F.concat("html", decoy, F.coalesce("script", F.lit(""))).alias("html"))
 
 
 @stage

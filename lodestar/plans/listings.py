@@ -351,7 +351,8 @@ p AS (SELECT probe.*, CASE WHEN rn <= 8 THEN domicile ELSE 'Andre' END AS dom FR
 s AS (SELECT 'total' AS kind, 'total' AS grp, {_STATS} FROM p UNION ALL SELECT 'fund_type', fund_type, {_STATS} FROM p GROUP BY fund_type UNION ALL SELECT 'domicile', dom, {_STATS} FROM p GROUP BY dom)
 SELECT *, R3(usable / n) AS usable_share FROM s
 UNION ALL SELECT 'source', src, count(*), NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM (SELECT unnest(string_split(source, ',')) AS src FROM probe WHERE ticker IS NOT NULL) x WHERE src <> '' GROUP BY src
-UNION ALL SELECT * FROM (SELECT 'exchange', coalesce(exchange, '?') AS e, count(*) AS n, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM probe WHERE ticker IS NOT NULL GROUP BY 2 ORDER BY n DESC, e LIMIT 10) y""")
+UNION ALL SELECT 'exchange', CASE WHEN place <= 10 THEN e ELSE 'Andre' END, CAST(sum(n) AS BIGINT), NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM (
+  SELECT coalesce(exchange, '?') AS e, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, coalesce(exchange, '?')) AS place FROM probe WHERE ticker IS NOT NULL GROUP BY 1) y GROUP BY 2""")
 def _(t):
     return rp.probe_summary(t.probe)
 

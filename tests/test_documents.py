@@ -45,6 +45,17 @@ def test_pages(spark, escaped):
     assert out[1].name == 'ETF "1"' and out[5].name == "Old" and out[5].domicile == "LU" and out[5].fee is None and out[1].ask_eligible
 
 
+def test_all_arrays_of_a_page_and_escaped_pretty_json(spark):
+    one = lambda i: '{"instrument_info": {"instrument_id": %d, "name": "a\\"b\\nc"}, "fund_info": {"results": [1]}}' % i
+    plain = '{"total_hits": 5, "results": [{"headline": 1}]} {"total_hits": 99, "results": [%s, %s]} {"results": [%s], "total_hits": 3}' % (one(1), one(2), one(3))
+    pretty = '{\n "total_hits": 7,\n "results": [\n\t%s]}' % one(4)
+    quoted = pretty.replace("\\", "\\\\").replace('"', '\\"').replace("\n", "\\n").replace("\t", "\\t")
+    df = spark.createDataFrame([(1, plain), (2, f'<script>s="{quoted}"</script>'), (3, "no records"), (4, None)], "page_id long, html string")
+    got = pages.results(df).selectExpr("page_id", "total", "get_json_object(record, '$.instrument_info.instrument_id')",
+                                       "get_json_object(record, '$.instrument_info.name')", "get_json_object(record, '$.fund_info.results')").collect()
+    assert sorted(map(tuple, got)) == [(1, 99, "1", 'a"b\nc', "[1]"), (1, 99, "2", 'a"b\nc', "[1]"), (1, 99, "3", 'a"b\nc', "[1]"), (2, 7, "4", 'a"b\nc', "[1]")]
+
+
 def test_flatten_keeps_what_is_nested_deeper(spark):
     df = spark.createDataFrame([(1, '{"a":{"b":{"c":{"d":{"e":{"f":1}}}}},"z":2}')], "id int, record string")
     assert {r.path: r.value for r in pages.flatten(df, "id").collect()} == {"a.b.c.d.e": '{"f":1}', "z": "2"}
