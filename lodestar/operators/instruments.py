@@ -82,16 +82,18 @@ def fund_row(funds: DataFrame, p: Params = DEFAULTS) -> DataFrame:
 
 
 def etf_row(u: DataFrame, prices: DataFrame, returns: DataFrame) -> DataFrame:
-    """Presentation row per instrument: labels, flags with missing as false, last price, pick and representative.
+    """Presentation row per instrument: labels, facts, flags with missing as false, first and last price, pick and representative.
 
     ``u`` has a column ``asset`` that names the instrument's price series."""
-    last = prices.groupBy("asset").agg(F.max_by("close", "date").alias("price"), F.max("date").alias("price_date"))
+    last = prices.groupBy("asset").agg(F.max_by("close", "date").alias("price"), F.max("date").alias("price_date"), F.min("date").alias("first_price"))
+    sizes = u.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("cluster_size"))
     series = returns.groupBy("asset").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= 2).select("asset", F.lit(True).alias("has_returns"))
     picks = cluster_pick(u).select("isin", F.lit(True).alias("pick"))
-    rows = classify(u).join(picks, "isin", "left").join(last, "asset", "left").join(series, "asset", "left")
+    rows = classify(u).join(picks, "isin", "left").join(last, "asset", "left").join(series, "asset", "left").join(sizes, "cluster_id", "left")
     no = F.lit(False)
     return rows.select(
-        "isin", "name", "asset_class", "region", "sector", "theme", "style", "esg", "fee", F.coalesce("hedged", no).alias("hedged"),
+        "isin", "ticker", "name", "issuer", "category", "asset_class", "region", "sector", "theme", "style", "esg", "fee", "fund_size", "owners",
+        "currency", "risk", "rating", F.col("spread_pct").alias("spread"), "cluster_size", "max_te", "history_years", "first_price", "url", F.coalesce("hedged", no).alias("hedged"),
         F.coalesce("leveraged", no).alias("leveraged"), F.coalesce("ask_eligible", no).alias("ask"),
         F.when(F.col("dividend_policy").isNotNull(), F.col("accumulating")).alias("acc"), F.col("cluster_id").alias("cluster"),
         F.coalesce("pick", no).alias("pick"), F.col("is_rep").alias("rep"), "price", "price_date", F.coalesce("has_returns", no).alias("has_returns"))

@@ -253,9 +253,12 @@ def _(t):
 
 
 @query("known_isin_semi", "top_rows known_names panel asset_ccy", """
-SELECT isin AS owner, holding_id, R6(weight) AS weight FROM top_rows WHERE holding_id IN (SELECT holding_id FROM known_names)""")
+SELECT isin AS owner, CAST(holding_id AS VARCHAR) AS item, R6(weight) AS value FROM top_rows WHERE holding_id IN (SELECT holding_id FROM known_names)
+UNION ALL SELECT asset, CAST(date AS VARCHAR), R6(close) FROM panel WHERE asset IN (SELECT asset FROM asset_ccy WHERE currency <> 'NOK')""")
 def _(t):
-    return t.top_rows.join(t.known_names, "holding_id", "left_semi").select(F.col("isin").alias("owner"), "holding_id", "weight")
+    held = t.top_rows.join(t.known_names, "holding_id", "left_semi").select(F.col("isin").alias("owner"), F.col("holding_id").cast("string").alias("item"), F.col("weight").alias("value"))
+    series = t.panel.join(t.asset_ccy.where("currency <> 'NOK'"), "asset", "left_semi")
+    return held.unionAll(series.select("asset", F.col("date").cast("string"), "close"))
 
 
 @query("schema_evolve", "", """
@@ -277,7 +280,7 @@ def _(t):
 
 
 SQL["mapping"] = """
-SELECT isin, ticker, min(pos) % 3 <> 0 AS chosen, min(pos) % 4 <> 0 AS ok, CASE WHEN min(pos) % 4 = 0 THEN 'stale' END AS error FROM {cand} GROUP BY isin, ticker"""
+SELECT isin, ticker, min_by(source, pos) AS source, min(pos) % 3 <> 0 AS chosen, min(pos) % 4 <> 0 AS ok, CASE WHEN min(pos) % 4 = 0 THEN 'stale' END AS error FROM {cand} GROUP BY isin, ticker"""
 SQL["broken"] = "SELECT ticker, 'no quotes' AS error, max(pos) AS pos FROM {cand} WHERE source = 'codes' GROUP BY ticker HAVING count(*) % 2 = 0"
 
 
@@ -286,7 +289,7 @@ SELECT m.isin, m.ticker, m.chosen, m.ok AND NOT (m.chosen AND b.ticker IS NOT NU
        CASE WHEN m.chosen AND b.ticker IS NOT NULL THEN b.error ELSE m.error END AS error, m.chosen AND m.ok AND b.ticker IS NULL AS valid
 FROM mapping m LEFT JOIN broken b ON b.ticker = m.ticker""")
 def _(t):
-    return ch.mapping_invalidate(t.mapping, t.broken)
+    return ch.mapping_invalidate(t.mapping.drop("source"), t.broken)
 
 
 SQL["passes"] = """

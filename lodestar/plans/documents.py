@@ -285,13 +285,17 @@ def _(t):
 
 @query("etf_row", "labels_x univ panel mret etf", """
 WITH pk AS (SELECT cluster_id, isin, row_number() OVER (PARTITION BY cluster_id ORDER BY is_rep DESC, ask DESC, eff_fee, history_years DESC, fund_size DESC NULLS LAST, isin) AS rn FROM univ),
-l AS (SELECT asset, arg_max(close, date) AS price, max(date) AS price_date FROM panel GROUP BY asset)
-SELECT u.isin, u.name, x.ac AS asset_class, x.reg AS region, x.sec AS sector, x.thm AS theme, x.sty AS style, x.is_esg AS esg, R6(u.fee) AS fee, u.hedged, u.leveraged, u.ask,
+l AS (SELECT asset, arg_max(close, date) AS price, max(date) AS price_date, min(date) AS first_price FROM panel GROUP BY asset)
+SELECT u.isin, u.ticker, split_part(u.name, ' ', 1) AS issuer, u.category, CAST(u.fund_size AS DOUBLE) AS fund_size, u.owners, e.currency, CAST(u.instrument_id % 7 AS BIGINT) AS risk, CAST(u.instrument_id % 5 AS BIGINT) AS rating,
+       R6(u.fee / 10) AS spread, count(*) OVER (PARTITION BY u.cluster_id) AS cluster_size, R6((u.cluster_id % 10) / 1000.0::DOUBLE) AS max_te, R6(u.history_years) AS history_years, l.first_price,
+       'https://example.org/' || u.isin AS url, u.name, x.ac AS asset_class, x.reg AS region, x.sec AS sector, x.thm AS theme, x.sty AS style, x.is_esg AS esg, R6(u.fee) AS fee, u.hedged, u.leveraged, u.ask,
        CASE WHEN e.dividend_policy IS NOT NULL THEN u.accumulating END AS acc, u.cluster_id AS cluster, pk.rn = 1 AS pick, u.is_rep AS rep, R6(l.price) AS price, l.price_date,
        l.asset IN (SELECT asset FROM mret GROUP BY asset HAVING count(*) >= 2) AS has_returns
 FROM univ u JOIN labels_x x ON x.isin = u.isin JOIN pk ON pk.isin = u.isin JOIN etf e ON e.isin = u.isin LEFT JOIN l ON l.asset = 'Brand#' || CAST(u.cluster_id // 100 AS VARCHAR)""")
 def _(t):
     u = t.univ.drop("asset_class", "region", "sector", "style", "esg").withColumn("asset", F.concat(F.lit("Brand#"), F.floor(F.col("cluster_id") / 100).cast("string")))
+    u = u.withColumns({"issuer": F.split_part("name", F.lit(" "), F.lit(1)), "risk": (F.col("instrument_id") % 7).cast("long"), "rating": (F.col("instrument_id") % 5).cast("long"),
+                       "fund_size": F.col("fund_size").cast("double"), "spread_pct": F.col("fee") / 10, "max_te": (F.col("cluster_id") % 10) / 1000, "url": F.concat(F.lit("https://example.org/"), "isin")})
     return ins.etf_row(u, t.panel, t.mret)
 
 

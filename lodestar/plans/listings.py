@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestar.functions.fixed_values import ASK_COUNTRIES, CODE_SUFFIX, LISTING_SUFFIX
-from lodestar.operators import predicates as pr, ranking as rk, reports as rp
+from lodestar.operators import predicates as pr, ranking as rk, reports as rp, timeseries as ts
 from lodestar.plans.adapters import DUCK, SQL
 from lodestar.plans.registry import query, shared, stage
 
@@ -323,15 +323,23 @@ def _(t):
     return rp.mode_date(t.fund, "nav_date", F.lit("2024-01-30").cast("date"))
 
 
-@query("coverage_report", "panel univ mapping", """
+@query("coverage_report", "panel univ mapping trimmed clean", """
 WITH first AS (SELECT asset, min(date) AS f FROM panel GROUP BY asset),
-v AS (SELECT * FROM mapping WHERE chosen AND ok)
-SELECT 'active' AS metric, count(DISTINCT isin) AS n FROM univ UNION ALL SELECT 'ask_eligible', count(DISTINCT isin) FROM univ WHERE ask
+v AS (SELECT * FROM mapping WHERE chosen AND ok),
+k AS (SELECT r.asset, r.n - coalesce(k.n_clean, 0) AS removed, coalesce(k.jumps, 0) AS jumps, coalesce(k.n_clean - k.n_kept, 0) AS trimmed FROM (SELECT asset, count(*) AS n FROM dirty GROUP BY asset) r
+      LEFT JOIN (SELECT asset, max(n_jumps) AS jumps, max(n_clean) AS n_clean, count(*) AS n_kept FROM trimmed GROUP BY asset) k USING (asset)),
+c AS (SELECT 'active' AS metric, count(DISTINCT isin) AS n FROM univ UNION ALL SELECT 'ask_eligible', count(DISTINCT isin) FROM univ WHERE ask
 UNION ALL SELECT 'mapped', count(DISTINCT isin) FROM v UNION ALL SELECT 'with_prices', count(*) FROM first
 UNION ALL SELECT 'min_' || y || 'y', count(*) FILTER (f <= CAST(DATE '2001-12-01' - to_years(CAST(y AS INT)) AS DATE)) FROM first CROSS JOIN (SELECT unnest([1, 3, 5, 10]) AS y) GROUP BY y
-UNION ALL SELECT 'suffix ' || CASE WHEN contains(ticker, '.') THEN '.' || split_part(ticker, '.', -1) ELSE '(US)' END, count(*) FROM v GROUP BY 1""")
+UNION ALL SELECT 'suffix ' || CASE WHEN contains(ticker, '.') THEN '.' || split_part(ticker, '.', -1) ELSE '(US)' END, count(*) FROM v GROUP BY 1
+UNION ALL SELECT 'source ' || source, count(*) FROM v GROUP BY 1
+UNION ALL SELECT unnest(['isins_with_removed_points', 'removed_points', 'isins_trimmed', 'trimmed_points']),
+                 unnest([count(*) FILTER (removed > 0), sum(removed), count(*) FILTER (jumps > 0), sum(trimmed)]) FROM k)
+SELECT metric, CAST(n AS DOUBLE) AS n, CAST(NULL AS DATE) AS day FROM c
+UNION ALL SELECT 'coverage_pct', round(100.0::DOUBLE * (SELECT count(*) FROM first) / greatest((SELECT count(DISTINCT isin) FROM univ), 1), 1), NULL
+UNION ALL SELECT 'last_price_date', NULL, (SELECT max(date) FROM panel)""")
 def _(t):
-    return rp.coverage_report(t.univ, t.mapping, t.panel, F.lit("2001-12-01").cast("date"))
+    return rp.coverage_report(t.univ, t.mapping, t.panel, ts.cleaning_counts(t.dirty), F.lit("2001-12-01").cast("date"))
 
 
 # ------------------------------------------------------------------ probe

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestar.operators import checks, cluster, pairs, portfolio as pf, timeseries as ts
+from lodestar.operators import checks, cluster, pairs, portfolio as pf, timeseries as ts, universe
 from lodestar.params import DEFAULTS
-from lodestar.plans import series
+from lodestar.plans import listings, series  # noqa: F401  (their SQL is built on)
 from lodestar.plans.adapters import DUCK, SQL
 from lodestar.plans.registry import query, shared, stage
 from lodestar.plans.series import BENCH, story_sql
@@ -77,11 +77,11 @@ def _(t):
     return cluster.cluster_stats(t.class_members, pairs.te_edges(t.tep))
 
 
-def _linkage(thresholds: tuple[float, ...]) -> str:
+def _linkage(thresholds: tuple[float, ...], edges: str = "edges", members: str = "class_members") -> str:
     """One merge at a time: the nearest two clusters of each threshold whose members all have an edge; the name is the first member's."""
     return f"""
-WITH RECURSIVE near AS MATERIALIZED (SELECT * FROM edges WHERE d <= {max(thresholds)}),
-lab AS (SELECT 0 AS step, t, asset AS node, asset AS cluster FROM class_members, (SELECT unnest({list(thresholds)}::DOUBLE[]) AS t) q
+WITH RECURSIVE near AS MATERIALIZED (SELECT * FROM {edges} WHERE d <= {max(thresholds)}),
+lab AS (SELECT 0 AS step, t, asset AS node, asset AS cluster FROM {members}, (SELECT unnest({list(thresholds)}::DOUBLE[]) AS t) q
 UNION ALL
 SELECT step + 1, l.t, l.node, CASE WHEN l.cluster = m.gone THEN m.stays ELSE l.cluster END
 FROM lab l JOIN (
@@ -108,6 +108,43 @@ def _(t):
     return cluster.threshold_sensitivity(labels, history)
 
 
+# ------------------------------------------------------------------ the whole build: NOK prices of share classes, clusters, representatives
+_UNI = {"a": (1.0, "1990-01-01"), "b": (1.0, "1990-01-01"), "c": (1.012, "1990-01-01"), "e": (1.043, "1990-01-01"), "g": (1.004, "1998-03-01")}
+DUCK["uni_prices"] = "SELECT asset || '-' || cls AS asset, date, 100 * pow(close / 100, f) AS close FROM {base_prices} JOIN (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS cls, CAST({f} AS DOUBLE) AS f, DATE '{since}' AS since" for c, (f, since) in _UNI.items()) + ") k ON date >= k.since"
+SQL["uni_list"] = f"""
+SELECT asset || '-' || split_part('{"|".join([*_UNI, "z"])}', '|', CAST((instrument_id - 1) % 6 + 1 AS INT)) AS asset, instrument_id, isin, name, category, dividend_policy,
+       is_tradable, fee, fund_size, owners, was_rep
+FROM {{etf}} JOIN {{asset_ccy}} ON CAST(floor((instrument_id - 1) / 6) AS BIGINT) + 1 = CAST(substr(asset, 7) AS BIGINT)"""
+
+
+@stage
+def uni_prices(t):
+    k = F.explode(F.array(*[F.struct(F.lit(c).alias("cls"), F.lit(f).alias("f"), F.lit(since).cast("date").alias("since")) for c, (f, since) in _UNI.items()]))
+    p = ts.nok_prices(t.dirty, t.divs, t.fx, t.asset_ccy).select("*", k.alias("k")).where(F.col("date") >= F.col("k.since"))
+    return p.select(F.concat_ws("-", "asset", "k.cls").alias("asset"), "date", (100 * F.pow(F.col("close") / 100, F.col("k.f"))).alias("close"))
+
+
+DUCK["uni_ret"] = series._period_sql("year(date) * 12 + month(date)", "last_day(date)").replace("panel", "{uni_prices}").replace("R8(r)", "r")
+for _name in ("te_all", "te_near", "te_robust", "edges"):
+    DUCK[f"uni_{_name}"] = DUCK[_name].replace("{classes}", "{uni_ret}").replace("{te_", "{uni_te_")
+DUCK["uni_lab"] = _linkage((DEFAULTS.te_threshold,), "{uni_edges}", "{uni_list}") + " SELECT node AS asset, cluster FROM done"
+DUCK["uni_rows"] = """
+SELECT l.*, r.id AS cluster_id, r.n AS cluster_size, f.f IS NOT NULL AS has_prices, round(((SELECT max(date) FROM {uni_prices}) - f.f) / 365.25::DOUBLE, 2) AS history_years,
+       false AS is_rep, 0.0 AS r5, 0.0 AS vol5, '' AS ticker
+FROM {uni_list} l JOIN {uni_lab} b ON b.asset = l.asset
+JOIN (SELECT c, n, row_number() OVER (ORDER BY n DESC, k) AS id FROM (SELECT cluster AS c, count(*) AS n, min(asset) AS k FROM {uni_lab} GROUP BY 1) s) r ON r.c = b.cluster
+LEFT JOIN (SELECT asset, min(date) AS f FROM {uni_prices} GROUP BY asset) f ON f.asset = l.asset"""
+DUCK["uni_univ"] = DUCK["univ"].replace("{etf}", "{uni_rows}").replace("history_years < 5", "coalesce(history_years, 0) < 5")
+DUCK["uni_reps"] = DUCK["reps"].replace("{univ}", "{uni_univ}")
+
+
+@query("universe_build", "uni_reps uni_rows", """
+SELECT asset, isin, p.cluster_id, cluster_size, R6(history_years) AS history_years, p.rep AS is_representative, p.why AS reason FROM uni_rows JOIN uni_reps p USING (isin)""")
+def _(t):
+    return universe.build_universe(t.uni_list, t.uni_prices)
+
+
 @query("renumber_clusters", "etf", """
 WITH s AS (SELECT cluster_id AS c, count(*) AS n, min(isin) AS k FROM etf GROUP BY 1),
 r AS (SELECT c, n, row_number() OVER (ORDER BY n DESC, k) AS id FROM s)
