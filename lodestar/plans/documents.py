@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lodestar.functions import fixed_values as fv
 from lodestar.functions.classify import classify
 from lodestar.functions.scalars import annualise
-from lodestar.operators import instruments as ins
+from lodestar.operators import ingest, instruments as ins
 from lodestar.operators.asof import subunit_map_join
 from lodestar.plans.adapters import DUCK, SQL
 from lodestar.plans.registry import query, shared, stage
@@ -136,6 +136,32 @@ def _(t):
     return pages.field_report(pages.flatten(t.page_records, "pos"))
 
 
+# ------------------------------------------------------------------ the whole list run: pages, gate, log, master
+SQL["listed_before"] = """
+SELECT CASE WHEN instrument_id % 41 = 0 THEN instrument_id + 5000000000 ELSE CAST(instrument_id AS BIGINT) END AS instrument_id,
+       CASE WHEN instrument_id % 13 = 0 THEN 'Old ' || name ELSE name END AS name, ticker AS symbol, isin, CASE WHEN instrument_id % 17 = 0 THEN NULL ELSE currency END AS currency,
+       DATE '2023-05-01' AS first_seen, DATE '2023-12-01' AS last_seen, CASE WHEN instrument_id % 11 = 0 THEN DATE '2023-12-15' END AS delisted_at, instrument_id % 11 <> 0 AS active
+FROM {etf} WHERE instrument_id % 7 <> 0"""
+_FOUND = "SELECT CAST(instrument_id AS BIGINT) AS instrument_id, name, ticker AS symbol, isin, currency FROM page_items"
+_RUN_DAY = "DATE '2024-01-15'"
+
+
+@query("list_ingest", "page_items listed_before", f"""
+WITH found AS ({_FOUND}),
+j AS (SELECT coalesce(n.instrument_id, m.instrument_id) AS instrument_id, m.instrument_id IS NOT NULL AS known, n.instrument_id IS NOT NULL AS seen, coalesce(m.active, false) AS was,
+             coalesce(n.name, m.name) AS name, m.name AS old_name, n.name AS new_name, m.currency AS old_cur, n.currency AS new_cur, m.last_seen, m.delisted_at
+      FROM listed_before m FULL JOIN found n ON m.instrument_id = n.instrument_id)
+SELECT instrument_id, CASE WHEN NOT known THEN 'new' WHEN seen THEN 'reappeared' ELSE 'gone' END AS change, NULL AS field, NULL AS old, NULL AS new FROM j WHERE NOT known OR (seen AND NOT was) OR (NOT seen AND was)
+UNION ALL SELECT instrument_id, 'changed', 'name', old_name, new_name FROM j WHERE known AND seen AND old_name <> new_name
+UNION ALL SELECT instrument_id, 'changed', 'currency', old_cur, new_cur FROM j WHERE known AND seen AND old_cur IS DISTINCT FROM new_cur
+UNION ALL SELECT instrument_id, 'master', name, CAST(CASE WHEN seen THEN {_RUN_DAY} ELSE last_seen END AS VARCHAR), CAST(CASE WHEN seen THEN NULL WHEN was THEN {_RUN_DAY} ELSE delisted_at END AS VARCHAR) FROM j""")
+def _(t):
+    run = ingest.ingest_list(t.state_pages, t.listed_before, F.expr(_RUN_DAY))
+    after = run.master.select("instrument_id", F.lit("master").alias("change"), F.col("name").alias("field"), F.col("last_seen").cast("string").alias("old"),
+                              F.col("delisted_at").cast("string").alias("new"))
+    return run.log.unionByName(after)
+
+
 # ------------------------------------------------------------------ classification
 def _rule(pattern: str) -> str:
     """The pattern as a DuckDB condition; look-around is written as removal or as a second test."""

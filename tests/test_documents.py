@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestar.functions.classify import classify, normalize_name
-from lodestar.operators import incremental as inc, predicates as pr, ranking as rk, reports as rp
+from lodestar.operators import incremental as inc, ingest, predicates as pr, ranking as rk, reports as rp
 from lodestar.sources import bars, pages, tables
 from tests.conftest import rows
 
@@ -146,3 +146,29 @@ def test_medians_steps_and_summary(spark):
 def test_one_per_isin(spark):
     df = spark.createDataFrame([("A", 1, 5, True), ("A", 2, 9, True), ("B", 3, None, True), ("C", 4, 1, False), (None, 5, 1, True)], "isin string, instrument_id long, owners long, active boolean")
     assert {r.isin: r.instrument_id for r in rk.one_per_isin(df).collect()} == {"A": 2, "B": 3}
+
+
+def test_list_run_stops_when_too_little_is_found(spark):
+    day = F.expr("DATE '2024-01-15'")
+    page = lambda ids: '{"total_hits": 3, "results": [%s]}' % ", ".join('{"instrument_info": {"instrument_id": %d, "name": "n%d"}}' % (i, i) for i in ids)
+    before = spark.createDataFrame([(i, f"n{i}", None, None, None, True) for i in (1, 2, 3)], "instrument_id long, name string, first_seen date, last_seen date, delisted_at date, active boolean")
+    pages_of = lambda ids: spark.createDataFrame([(1, page(ids))], "page_id long, html string")
+    run = ingest.ingest_list(pages_of([2, 3, 4]), before, day)
+    assert {(r.instrument_id, r.change) for r in run.log.collect()} == {(1, "gone"), (4, "new")}
+    assert {r.instrument_id for r in run.master.where("active").collect()} == {2, 3, 4} and run.master.count() == 4
+    for ids in ([], [2]):
+        with pytest.raises(ValueError, match="list run stopped"):
+            ingest.ingest_list(pages_of(ids), before, day)
+    assert ingest.ingest_list(pages_of([2]), before, day, partial=True).log.count() == 0
+
+
+def test_files_are_read_back_as_written(spark, tmp_path):
+    rows = [("USD", "0", "2024-01-02", "10,5"), ("JPY", "2", "2024-01-02", "7.25"), ("SEK", "0", "bad", "1")]
+    df = spark.createDataFrame(rows, "BASE_CUR string, UNIT_MULT string, TIME_PERIOD string, OBS_VALUE string")
+    tables.write_csv(df, f"{tmp_path}/rates")
+    back = tables.read_semicolon(spark, f"{tmp_path}/rates")
+    assert sorted(map(tuple, back.collect())) == sorted(rows)
+    assert sorted(map(tuple, tables.fx_rates(back).collect())) == sorted(map(tuple, tables.fx_rates(df).collect()))
+    tables.write_json(spark.createDataFrame([(1, float("nan")), (2, 0.5)], "id long, x double"), f"{tmp_path}/rows")
+    assert sorted(map(tuple, spark.read.schema("id long, x double").json(f"{tmp_path}/rows").collect())) == [(1, None), (2, 0.5)]
+    assert any('"x":null' in r.value for r in spark.read.text(f"{tmp_path}/rows").collect())
