@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from lodestar.functions.scalars import js_round, number
 from lodestar.operators.predicates import is_rate
 from lodestar.params import DEFAULTS, Params
+from lodestar.session import stored
 
 EQUITY = "Aksjer"        # asset-class label of shares in allocations
 
@@ -305,20 +306,17 @@ def company_merge(companies: DataFrame, names: DataFrame) -> DataFrame:
 def overlap_pairs(weights: DataFrame, alloc: DataFrame, least: float = 0.7) -> DataFrame:
     """Pairs of funds in one portfolio that own mostly the same (score of ``least`` or more).
 
-    A score that high needs the same overlap of asset classes, which prunes the join inside a portfolio."""
-    rec = records(alloc).withColumnRenamed("isin", "id")
-    own = weights.select("portfolio_id", F.col("isin").alias("id"))
-    grid = [(k, label, least) for k, label in widest_labels(alloc, {"ast": 1})]
-    with_ast = similar_within(own, rec, ["portfolio_id"], grid).where(F.col("id_a") < F.col("id_b"))
-    # without asset classes the score is base and top alone: such a fund is compared with every fund of the portfolio
-    side = lambda s: rec.select(*[F.col(c).alias(f"{c}_{s}") for c in ("id", *PARTS)])
-    bare = own.join(side("a").where(F.col("ast_a").isNull()).withColumn("id", F.col("id_a")), "id").drop("id")
-    rest = score_pairs(bare.join(own.join(side("b").withColumn("id", F.col("id_b")), "id").drop("id"), "portfolio_id").where("id_a <> id_b"))
-    cols = ["portfolio_id", "id_a", "id_b", "reg", "top", "score"]
-    both = with_ast.select(*cols).unionByName(rest.select(*cols))
-    return (both.where((F.col("score") >= least) & (F.col("reg").isNotNull() | F.col("top").isNotNull()))
-            .groupBy("portfolio_id", F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"))
-            .agg(F.max("score").alias("score")))
+    Pairs of ids are formed inside each portfolio, as the result has them; each different pair is scored once, however many
+    portfolios hold it, and only those that score enough are joined back. Funds with missing parts take part like the others."""
+    own = weights.select("portfolio_id", F.col("isin").alias("id")).distinct()
+    inside = (own.withColumnRenamed("id", "a").join(own.withColumnRenamed("id", "b"), "portfolio_id").where("a < b"))
+    rec = stored(records(alloc).withColumnRenamed("isin", "id"))
+    side = lambda s: rec.select(*[F.col(c).alias(f"{c}_{s}") for c in ("id", *PARTS)])
+    pairs = inside.select(F.col("a").alias("id_a"), F.col("b").alias("id_b")).distinct().join(side("a"), "id_a").join(side("b"), "id_b")
+    # written before the filter: pushed below the projection, it would score every pair several times
+    scored = stored(score_pairs(pairs).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), "reg", "top", "score"))
+    enough = scored.where((F.col("score") >= least) & (F.col("reg").isNotNull() | F.col("top").isNotNull())).select("a", "b", "score")
+    return inside.join(enough, ["a", "b"]).select("portfolio_id", "a", "b", "score")
 
 
 # ------------------------------------------------------------------ proxies

@@ -117,3 +117,12 @@ def test_reco_weights(spark):
     assert out["Balansert"] == {"core": 48, "em": 6, "small": 6, "safe": 40} and out["Forsiktig"] == {"core": 20, "safe": 80}
     assert out["Bare aksjer"] == {"core": 80, "em": 10, "small": 10} and all(sum(x.values()) == 100 for x in out.values())
     assert ho.reco_weights(b.where("role <> 'core'")).count() == 0
+
+
+def test_overlap_pairs_need_no_asset_classes_and_score_by_all_parts(spark):
+    rows = [(f, k, x, w) for f, first in (("a", 60.0), ("b", 58.0), ("c", 5.0)) for k in ("reg", "sec") for x, w in (("x", first), ("y", 100 - first))]
+    alloc = spark.createDataFrame([*rows, ("d", "reg", "x", 60.0), ("d", "ast", "Aksjer", 100.0)], "isin string, kind string, label string, weight double")
+    held = spark.createDataFrame([(1, f, 0.25) for f in "abcd"] + [(2, "a", 0.5), (2, "c", 0.5), (3, "a", 1.0)], "portfolio_id long, isin string, w double")
+    got = {(r.portfolio_id, r.a, r.b): round(r.score, 6) for r in ho.overlap_pairs(held, alloc).collect()}
+    assert got == {(1, "a", "b"): 0.98}
+    assert ho.overlap_pairs(held, alloc.where("false")).count() == 0
