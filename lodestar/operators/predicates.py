@@ -25,10 +25,21 @@ def instrument_flags(u: DataFrame) -> DataFrame:
             .withColumn("accumulating", F.lower(F.coalesce("dividend_policy", F.lit(""))).startswith("akk")))
 
 
+def one_decimal(x: Column) -> Column:
+    """Text of a number >= 0 with one decimal after a comma, rounded by its exact binary value (3.65 is below the tie)."""
+    ten = 8 * x + 2 * x
+    error = 2 * x - (ten - 8 * x)                    # what the sum above lost
+    whole = F.floor(ten)
+    part = ten - whole
+    up = (part > 0.5) | ((part == 0.5) & ((error > 0) | ((error == 0) & (whole % 2 == 1))))
+    n = (whole + up.cast("int")).cast("long")
+    return F.concat(F.floor(n / 10).cast("string"), F.lit(","), (n % 10).cast("string"))
+
+
 def eligibility_reasons(u: DataFrame, account: str = "ASK", p: Params = DEFAULTS) -> DataFrame:
     """Ordered reasons against choosing an instrument; none means eligible."""
     years = F.coalesce("history_years", F.lit(0.0))
-    short = F.regexp_replace(F.format_string(f"historikk %.1f år < {p.min_history_years:g}", years), r"\.", ",")
+    short = F.concat(F.lit("historikk "), one_decimal(years), F.lit(f" år < {p.min_history_years:g}"))
     why = F.concat_ws(
         "; ", F.when(~F.col("has_prices"), "mangler prisdata").when(years < p.min_history_years, short),
         F.when(~truthy("is_tradable"), "ikke handlebar"), F.when(F.col("leveraged"), "giret/invers/handelsverktøy"),
