@@ -201,6 +201,20 @@ def test_weights_are_averaged_by_tokens_over_several_levels(spark):
     assert recurrent.averaged(df.where("false"), 7, 2) is None
 
 
+def test_every_training_row_reaches_the_network(spark, monkeypatch):
+    """Rounds read each row once in a large table and every time in a small one; repeated rows count, and are spread."""
+    texts = [" ".join(random.Random(k).choices("abcdef", k=5 + k % 7)) for k in range(240)] + ["a b c"] * 60
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    tokens_ = sum(len(t.split()) + 1 for t in texts)
+    averaged, read = recurrent.averaged, []
+    monkeypatch.setattr(recurrent, "averaged", lambda sets, *a: read.append([r["n"] for r in sets.collect()]) or averaged(sets, *a))
+    for fit_docs, times in ((30, 1), (3000, 3)):
+        read.clear()
+        m = recurrent.Recurrent(vocabulary=8, classes=2, known=8, fit_docs=fit_docs, shards=2, shard_docs=20, rounds=3)
+        recurrent.fit(df, recurrent.gather(recurrent.count_tokens(df), m), m)
+        assert len(read) == 3 and sum(map(sum, read)) == times * tokens_ and max(map(max, read)) < tokens_ / 3
+
+
 def test_empty_training(spark):
     df = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     got = recurrent.score_documents(df, df["doc_id"] < 0).collect()
