@@ -30,8 +30,13 @@ def pret(t):
 
 
 @stage
+def te_full(t):
+    return pairs.te_pairs(t.classes, max_te=float("inf"))
+
+
+@shared
 def tep(t):
-    return pairs.te_pairs(t.classes)
+    return t.te_full.where(F.col("te") < DEFAULTS.robust_prefilter_te)
 
 
 DUCK["te_all"] = """
@@ -58,6 +63,11 @@ def _(t):
     return t.tep.select("a", "b", "te", "n")
 
 
+@query("te_pairs_all", "te_all", "SELECT a, b, R6(te) AS te, n FROM te_all")
+def _(t):
+    return t.te_full.select("a", "b", "te", "n")
+
+
 @query("robust_te", "te_robust", "SELECT a, b, R6(te) AS te FROM te_robust")
 def _(t):
     return t.tep.where(F.col("robust").isNotNull()).select("a", "b", F.col("robust").alias("te"))
@@ -74,7 +84,7 @@ FROM (SELECT cluster, count(*) AS cluster_size FROM class_members GROUP BY clust
 LEFT JOIN (SELECT x.cluster, max(d) AS max_te FROM edges JOIN class_members x ON x.asset = a JOIN class_members y ON y.asset = b AND x.cluster = y.cluster
            GROUP BY x.cluster) m ON s.cluster = m.cluster""")
 def _(t):
-    return cluster.cluster_stats(t.class_members, pairs.te_edges(t.tep))
+    return cluster.cluster_stats(t.class_members, pairs.te_edges(t.te_full))
 
 
 def _linkage(thresholds: tuple[float, ...], edges: str = "edges", members: str = "class_members") -> str:

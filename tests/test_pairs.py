@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestar.operators import cluster, pairs, portfolio as pf
+from lodestar.plans import QUERIES, registry
 from tests.conftest import rows
 
 
@@ -184,3 +185,16 @@ def test_model_of_each_selection_over_its_own_window(spark):
         s, w = s[:-1, :-1], np.array(list(holdings[k].values()))
         assert perf[k].vol == pytest.approx(math.sqrt(12 * w @ s @ w))
         assert [rc[k, n] for n in holdings[k]] == pytest.approx(list(w * (s @ w) / (w @ s @ w)))
+
+
+def test_far_pairs_are_shown_and_count_in_cluster_stats(spark, monkeypatch):
+    r = np.random.default_rng(3)
+    table = {k: r.normal(0, s, 24) for k, s in (("x", 0.01), ("y", 0.2), ("z", 0.011))}
+    t = registry.Tables(spark, "")
+    t._cache |= {"classes": returns(spark, table), "class_members": spark.createDataFrame([(k, k, "c") for k in table], "asset string, name string, cluster string")}
+    monkeypatch.setattr(registry, "Tables", lambda *_: t)
+    want = {(a, b): np.std(table[a] - table[b], ddof=1) * math.sqrt(12) for a, b in itertools.combinations(table, 2)}
+    (stats,) = QUERIES["cluster_stats"](spark, "").collect()
+    assert want["x", "y"] > 0.25 > want["x", "z"] and stats.max_te == pytest.approx(max(want.values()), abs=1e-6)
+    got = {(p.a, p.b): p.te for p in QUERIES["te_pairs_all"](spark, "").collect()}
+    assert got == pytest.approx(want, abs=1e-6)
