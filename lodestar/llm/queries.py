@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestar.llm import decontaminate, language, lines, mixing, quality, recurrent, rules, secrets, setjoin, sharding
+from lodestar.llm import bpe, decontaminate, language, lines, mixing, quality, recurrent, rules, secrets, setjoin, sharding
 
 QUERIES = {
     "op1_language_id": language.op1,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_source_mix": mixing.op8,
     "op9_shards": sharding.op9,
     "op10_quality_rules": rules.op10,
+    "op11_bpe_encode": bpe.op11,
 }
 
 #: Queries that SQL can express too.
