@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestar.llm import bpe, decontaminate, language, lines, mixing, quality, recurrent, rules, secrets, setjoin, sharding
+from lodestar.llm import bpe, decontaminate, language, lines, merkle, mixing, quality, recurrent, rules, secrets, setjoin, sharding
 
 QUERIES = {
     "op1_language_id": language.op1,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_shards": sharding.op9,
     "op10_quality_rules": rules.op10,
     "op11_bpe_encode": bpe.op11,
+    "op12_merkle_manifest": merkle.op12,
 }
 
 #: Queries that SQL can express too.
