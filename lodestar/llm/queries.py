@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestar.llm import bpe, decontaminate, language, lines, merkle, mixing, quality, recurrent, rules, secrets, setjoin, sharding
+from lodestar.llm import bpe, decontaminate, language, lines, merkle, mixing, quality, recurrent, repair, rules, secrets, setjoin, sharding
 
 QUERIES = {
     "op1_language_id": language.op1,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_quality_rules": rules.op10,
     "op11_bpe_encode": bpe.op11,
     "op12_merkle_manifest": merkle.op12,
+    "op13_conversation_repair": repair.op13,
 }
 
 #: Queries that SQL can express too.
