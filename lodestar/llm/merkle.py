@@ -22,6 +22,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from lodestar.llm import sql
 from lodestar.session import stored
 
 FANOUT, LEVELS = 8, 3
@@ -204,3 +205,35 @@ def op12(spark, sf_dir: str) -> DataFrame:
     out = manifest(docs, carried={"_tampered": tampered}).withColumn("folded_root", fold(F.coalesce("_tampered", "leaf"), F.col("proof")))
     return out.select(F.col("key").alias("doc_id"), "leaf", "subroot", "root", proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root",
                       (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def _climb(name: str, nodes: str, paths: str, levels: int, fanout: int = FANOUT) -> str:
+    """SQL of the levels of trees. ``nodes``: g, idx, h, m (nodes of the tree); ``paths``: d, g, pos, proof, f. Ends in ``{name}{levels}`` and ``{name}p{levels}``."""
+    out = [f"{name}0 AS ({nodes})", f"{name}p0 AS ({paths})"]
+    for k in range(levels):
+        out.append(f"{name}r{k} AS (SELECT g, idx // {fanout} AS run, list(h ORDER BY idx) AS hs, any_value(m) AS m FROM {name}{k} GROUP BY ALL)")
+        out.append(f"{name}{k + 1} AS (SELECT g, run AS idx, CASE WHEN m > 1 THEN sha256(array_to_string(hs, '')) ELSE hs[1] END AS h, (m + {fanout - 1}) // {fanout} AS m FROM {name}r{k})")
+        place = f"(pos // {fanout ** k} % {fanout})::INT"
+        out.append(f"{name}p{k + 1} AS (SELECT d, p.g, pos, CASE WHEN m > 1 THEN proof || array_to_string(hs[:{place}] || hs[{place} + 2:], '') ELSE proof END AS proof, "
+                   f"CASE WHEN m > 1 THEN sha256(array_to_string(hs[:{place}] || [f] || hs[{place} + 2:], '')) ELSE f END AS f "
+                   f"FROM {name}p{k} p JOIN {name}r{k} r ON p.g = r.g AND p.pos // {fanout ** (k + 1)} = r.run)")
+    return ",\n".join(out)
+
+
+def _leaf_sql(text: str) -> str:
+    return "sha256(" + " || ".join(f"coalesce(strlen({c}::VARCHAR) || ':' || {c}, '-')" for c in ["doc_id", "source", "lang", "n_chars", text]) + ")"
+
+
+#: Levels one by one, for up to 8 ** 9 rows a group and 8 ** 4 groups.
+ORACLE = f"""
+WITH {sql.BITS},
+keyed AS (SELECT *, doc_id::VARCHAR AS key, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents),
+leafs AS (SELECT doc_id, lang, {_leaf_sql("text")} AS leaf, CASE WHEN {sql.crc32("key")} % 3 = 0 AND text IS NOT NULL THEN {_leaf_sql("low")} END AS tampered FROM keyed, bits),
+langs AS (SELECT lang, row_number() OVER (ORDER BY lang COLLATE "C" NULLS FIRST) - 1 AS g FROM (SELECT DISTINCT lang FROM documents)),
+d AS (SELECT doc_id, leaf, tampered, g, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY g) AS m,
+             row_number() OVER () AS id FROM leafs l JOIN langs s ON l.lang IS NOT DISTINCT FROM s.lang),
+{_climb("n", "SELECT g, pos AS idx, leaf AS h, m FROM d", "SELECT id AS d, g, pos, '' AS proof, coalesce(tampered, leaf) AS f FROM d", 9)},
+{_climb("t", "SELECT 0 AS g, g AS idx, h, (SELECT count(*) FROM langs) AS m FROM n9", "SELECT d, 0 AS g, g AS pos, proof, f FROM np9", 4)}
+SELECT doc_id, leaf, n9.h AS subroot, t4.h AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = t4.h AS verified
+FROM d JOIN n9 ON n9.g = d.g JOIN tp4 ON tp4.d = d.id, t4
+"""

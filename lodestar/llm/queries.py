@@ -23,4 +23,6 @@ QUERIES = {
 #: Queries that SQL can express too.
 ORACLES: dict[str, str] = {
     "op8_source_mix": mixing.ORACLE,
+    "op12_merkle_manifest": merkle.ORACLE,
+    "op13_conversation_repair": repair.ORACLE,
 }

@@ -34,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from lodestar.llm import sql
 from lodestar.llm.text import map_arrow
 from lodestar.session import stored
 
@@ -281,3 +282,45 @@ def op13(spark, sf_dir: str) -> DataFrame:
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
     return out.select("conv_id", *[zero(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")], F.coalesce("audit", F.lit("")).alias("audit"),
                       F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+_NEXT = "CASE s WHEN 'u' THEN 'a' ELSE 'u' END"
+_NAME = "CASE s WHEN 'u' THEN 'assistant' ELSE 'user' END"
+#: A dynamic program: cheapest repair and its least audit by rows consumed and state, with up to two insertions after each row.
+ORACLE = f"""
+WITH RECURSIVE {sql.BITS},
+src AS (SELECT conv_id, turn, coalesce(role, ' ') AS role0, coalesce(text, ' ') AS text0, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+kinds AS (SELECT *, {sql.crc32('key')} % 20 AS kind FROM src, bits),
+dam AS (SELECT conv_id, turn, role0, text0, CASE WHEN kind = 4 THEN 'user' ELSE role0 END AS role,
+               CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text0, '[.!?]', '', 'g') ELSE text0 END AS text,
+               unnest(CASE WHEN kind = 3 THEN [1, 2] ELSE [1] END) AS copy
+        FROM kinds WHERE kind <> 0),
+seqs AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role0, text0, copy) AS seq,
+                rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS solid FROM dam),
+marked AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY seq) AS again,
+                  lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY seq) AS before FROM seqs),
+flt AS (SELECT *, CASE WHEN solid = '' THEN 'blank' WHEN again > 1 THEN 'duplicate' WHEN right(solid, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM marked),
+sums AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+                count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+                count(*) FILTER (before IS NOT NULL AND before || left(role, 1) NOT IN ('su', 'ua', 'au')) AS illegal FROM flt GROUP BY conv_id),
+best AS (
+  SELECT conv_id, 0::BIGINT AS i, s, (c, a, l) AS w FROM sums, (VALUES ('', 0::BIGINT, '', []::VARCHAR[]), ('u', 2, 'I', ['user:']), ('a', 4, 'II', ['user:', 'assistant:'])) v(s, c, a, l)
+  UNION ALL
+  SELECT conv_id, i, s, min(w) AS w FROM (
+    WITH edge AS (
+      SELECT b.conv_id, b.i + 1 AS i, b.w, b.s, e.letter, f.role, f.text,
+             CASE letter WHEN 'D' THEN s WHEN 'R' THEN {_NEXT} ELSE left(f.role, 1) END AS t,
+             CASE letter WHEN 'D' THEN 3 WHEN 'R' THEN 2 ELSE 0 END + CASE WHEN letter <> 'D' AND fault = 'truncated' THEN 1 ELSE 0 END AS price
+      FROM best b JOIN flt f ON f.conv_id IS NOT DISTINCT FROM b.conv_id AND f.seq = b.i + 1, (VALUES ('D'), ('K'), ('R')) e(letter)
+      WHERE letter = 'D' OR (fault NOT IN ('blank', 'duplicate') AND (letter = 'R' OR left(f.role, 1) = {_NEXT} OR (s = '' AND left(f.role, 1) = 's')))),
+    done AS (SELECT conv_id, i, t AS s, w[1] + price AS c, w[2] || letter AS a,
+                    w[3] || CASE letter WHEN 'D' THEN []::VARCHAR[] WHEN 'K' THEN [role || ':' || text] ELSE [{_NAME} || ':' || text] END AS l FROM edge),
+    one AS (SELECT conv_id, i, {_NEXT} AS s, c + 2 AS c, a || 'I' AS a, l || [{_NAME} || ':'] AS l FROM done),
+    two AS (SELECT conv_id, i, {_NEXT} AS s, c + 2 AS c, a || 'I' AS a, l || [{_NAME} || ':'] AS l FROM one)
+    SELECT conv_id, i, s, (c, a, l) AS w FROM (FROM done UNION ALL FROM one UNION ALL FROM two)
+  ) GROUP BY conv_id, i, s),
+won AS (SELECT b.conv_id, min(b.w) AS w FROM best b JOIN sums s ON b.conv_id IS NOT DISTINCT FROM s.conv_id AND b.i = s.n WHERE b.s IN ('', 'a') GROUP BY b.conv_id)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, coalesce(w[1], 0)::BIGINT AS cost, coalesce(w[2], '') AS audit, sha256(coalesce(array_to_string(w[3], chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN sums s ON o.conv_id IS NOT DISTINCT FROM s.conv_id LEFT JOIN won ON won.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
