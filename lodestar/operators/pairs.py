@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from lodestar.operators import pivots
 from lodestar.operators.portfolio import common_months
 from lodestar.params import DEFAULTS, Params
 
@@ -43,6 +44,20 @@ def _sides(pdf: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
     return pdf[pdf.block == pdf.lo], pdf[pdf.block == pdf.hi]
 
 
+def _open(pdf: pd.DataFrame, cap: float) -> Callable[[int], np.ndarray]:
+    """By row of the left side: which rows of the right side no pivot rules out (all of them where months differ), each pair once."""
+    left, right = _sides(pdf)
+    names, ids, same = left.asset.to_numpy(), right.asset.to_numpy(), bool((pdf.lo == pdf.hi).iloc[0])
+    months = left.months.iloc[0] if "d" in pdf and len(left) and len(right) and left.months.iloc[0] == right.months.iloc[0] else ""
+    near = (np.stack(left.d.to_numpy()), np.stack(right.d.to_numpy())) if months else None
+
+    def row(k: int) -> np.ndarray:
+        keep = ids > names[k] if same else np.ones(len(ids), bool)
+        return keep if near is None else keep & (np.abs(near[1] - near[0][k]) <= cap * (1 + pivots.SLACK) + pivots.SLACK).all(axis=1)
+
+    return row
+
+
 def _te_task(periods: int, max_te: float, p: Params) -> Callable[[pd.DataFrame], pd.DataFrame]:
     root = np.sqrt(periods)
 
@@ -50,9 +65,11 @@ def _te_task(periods: int, max_te: float, p: Params) -> Callable[[pd.DataFrame],
         left, right = _sides(pdf)
         names, other = left.asset.to_numpy(), np.stack(right.v.to_numpy())
         ids, out = right.asset.to_numpy(), []
-        same = bool((pdf.lo == pdf.hi).iloc[0])
-        for name, x in zip(names, left.v):
-            keep = ids > name if same else np.ones(len(ids), bool)
+        may = _open(pdf, max_te)
+        for k, (name, x) in enumerate(zip(names, left.v)):
+            keep = may(k)
+            if not keep.any():
+                continue
             d = other[keep] - x
             n = np.isfinite(d).sum(axis=1)
             d, b = d[n >= 2], ids[keep][n >= 2]
@@ -79,14 +96,30 @@ def te_pairs(returns: DataFrame, periods: int = 12, max_te: float | None = None,
     """Annualised tracking error (a, b, te, n, robust) of pairs below ``max_te`` on their common periods.
 
     ``max_te`` defaults to the cap under which pairs are refined at all; pairs above it can never share a
-    cluster. ``robust`` clips the difference around its median and is null where the overlap is too short."""
+    cluster. ``robust`` clips the difference around its median and is null where the overlap is too short.
+    Under a finite cap pairs are ruled out by their distances to pivots before any vector is copied."""
     cap = p.robust_prefilter_te if max_te is None else max_te
-    blocks = in_block_pairs(vectors(returns), "asset", [])
+    vec = vectors(returns)
+    blocks = in_block_pairs(vec, "asset", []) if np.isinf(cap) else pivots.near_blocks(vec, float(np.sqrt(periods)), cap, BLOCK)
     out = blocks.groupBy("lo", "hi").applyInPandas(
         _te_task(periods, cap, p), "a string, b string, te double, n long, robust double")
     return out.withColumn("robust", F.when(~F.isnan("robust"), F.col("robust")))
 
 
+def pairs_compared(returns: DataFrame, periods: int = 12, max_te: float | None = None, p: Params = DEFAULTS, block: int = BLOCK) -> DataFrame:
+    """(lo, hi, compared, pairs) of each task of ``te_pairs`` under a cap: pairs whose vectors are compared, of those in it."""
+    cap = p.robust_prefilter_te if max_te is None else max_te
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        left, right = _sides(pdf)
+        may, n = _open(pdf, cap), len(left)
+        same = bool((pdf.lo == pdf.hi).iloc[0])
+        return pd.DataFrame({"lo": pdf.lo.iloc[:1], "hi": pdf.hi.iloc[:1], "compared": sum(int(may(k).sum()) for k in range(n)), "pairs": n * (n - 1) // 2 if same else n * len(right)})
+
+    blocks = pivots.near_blocks(vectors(returns), float(np.sqrt(periods)), cap, block)
+    return blocks.groupBy("lo", "hi").applyInPandas(run, "lo int, hi int, compared long, pairs long")
+
+
 def te_between(returns: DataFrame, pairs: DataFrame, periods: int = 12) -> DataFrame:
     """Tracking error of named pairs only."""
     a = returns.select(F.col("asset").alias("a"), "period", F.col("r").alias("ra"))

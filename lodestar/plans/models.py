@@ -34,9 +34,9 @@ def te_full(t):
     return pairs.te_pairs(t.classes, max_te=float("inf"))
 
 
-@shared
+@stage
 def tep(t):
-    return t.te_full.where(F.col("te") < DEFAULTS.robust_prefilter_te)
+    return pairs.te_pairs(t.classes)
 
 
 DUCK["te_all"] = """
@@ -51,11 +51,12 @@ FROM (SELECT *, 4 * 1.4826 * quantile_cont(abs(d - med), 0.5) OVER (PARTITION BY
 GROUP BY a, b"""
 DUCK["edges"] = """
 SELECT n.a, n.b, coalesce(r.te, n.te) AS d FROM {te_near} n LEFT JOIN {te_robust} r ON n.a = r.a AND n.b = r.b WHERE n.n >= 12"""
+DUCK["edges_all"] = DUCK["edges"].replace("{te_near}", "{te_all}")
 
 
-@query("pair_self_join", "te_near", "SELECT a, b, n FROM te_near")
+@query("pair_self_join", "te_all", "SELECT a, b, n FROM te_all")
 def _(t):
-    return t.tep.select("a", "b", "n")
+    return t.te_full.select("a", "b", "n")
 
 
 @query("te_pairs", "te_near", "SELECT a, b, R6(te) AS te, n FROM te_near")
@@ -78,10 +79,10 @@ def _(t):
     return pairs.te_edges(t.tep)
 
 
-@query("cluster_stats", "edges class_members", """
+@query("cluster_stats", "edges_all class_members", """
 SELECT s.cluster, s.cluster_size, R6(coalesce(m.max_te, 0)) AS max_te
 FROM (SELECT cluster, count(*) AS cluster_size FROM class_members GROUP BY cluster) s
-LEFT JOIN (SELECT x.cluster, max(d) AS max_te FROM edges JOIN class_members x ON x.asset = a JOIN class_members y ON y.asset = b AND x.cluster = y.cluster
+LEFT JOIN (SELECT x.cluster, max(d) AS max_te FROM edges_all JOIN class_members x ON x.asset = a JOIN class_members y ON y.asset = b AND x.cluster = y.cluster
            GROUP BY x.cluster) m ON s.cluster = m.cluster""")
 def _(t):
     return cluster.cluster_stats(t.class_members, pairs.te_edges(t.te_full))

@@ -198,3 +198,50 @@ def test_far_pairs_are_shown_and_count_in_cluster_stats(spark, monkeypatch):
     assert want["x", "y"] > 0.25 > want["x", "z"] and stats.max_te == pytest.approx(max(want.values()), abs=1e-6)
     got = {(p.a, p.b): p.te for p in QUERIES["te_pairs_all"](spark, "").collect()}
     assert got == pytest.approx(want, abs=1e-6)
+
+
+def _all_pairs(t, cap):
+    out = {}
+    for a, b in itertools.combinations(sorted(t), 2):
+        d = [x - y for x, y in zip(t[a], t[b]) if x is not None and y is not None]
+        if len(d) >= 2 and (te := np.std(d, ddof=1) * math.sqrt(12)) < cap:
+            out[a, b] = (pytest.approx(te, abs=1e-12), len(d))
+    return out
+
+
+def test_pivots_lose_no_pair(spark, monkeypatch):
+    """Three sets of months that many share, rare ones, copies, flat series: the same pairs as without pruning."""
+    rnd = np.random.default_rng(9)
+    factors = rnd.normal(0, 0.05, (6, 30))
+    t = {}
+    for k in range(90):
+        v = factors[k % 6] * rnd.uniform(0.2, 2) + rnd.normal(0, 0.004, 30)
+        since = (0, 0, 5, 17)[k % 4]
+        t[f"s{k:03d}"] = [None if i < since else float(x) for i, x in enumerate(v)]
+    t |= {f"odd{k}": [None if (i * 7 + k) % 5 == 0 else float(x) for i, x in enumerate(factors[k] + rnd.normal(0, 0.003, 30))] for k in range(6)}
+    t |= {"flat": [0.0] * 30, "short": [0.01] + [None] * 29, "copy1": t["s000"], "copy2": t["s000"]}
+    r = returns(spark, t)
+    monkeypatch.setattr(pairs, "BLOCK", 8)
+    monkeypatch.setattr(pairs.pivots.near_blocks, "__defaults__", (10,))
+    for cap in (0.02, 0.1, 0.25):
+        got = {(x.a, x.b): (x.te, x.n) for x in pairs.te_pairs(r, max_te=cap).collect()}
+        assert got == _all_pairs(t, cap)
+
+
+def test_pivots_compare_few_of_many_pairs(spark):
+    """20 000 series of 200 indices: under a tenth of all pairs, and no near pair between blocks that never met."""
+    rnd = np.random.default_rng(10)
+    n, m = 20_000, 36
+    index = rnd.normal(0, 1, (200, m)) * rnd.uniform(0.005, 0.15, 200)[:, None]
+    v = index[np.arange(n) % 200] + rnd.normal(0, 0.0008, (n, m))
+    df = spark.createDataFrame([(f"a{i:05d}", [float(x) for x in row]) for i, row in enumerate(v)], "asset string, v array<double>")
+    r = df.select("asset", F.posexplode("v").alias("period", "r")).withColumn("period", F.col("period").cast("long"))
+    out = pairs.pairs_compared(r, max_te=0.05).agg(F.sum("compared").alias("c")).first()
+    assert out["c"] < n * (n - 1) / 2 / 10
+    assert out["c"] >= 200 * 100 * 99 / 2
+
+
+def test_pivots_of_empty_and_single_tables(spark):
+    none = spark.createDataFrame([], "asset string, period long, r double")
+    assert pairs.te_pairs(none).collect() == []
+    assert pairs.te_pairs(returns(spark, {"a": [0.1, 0.2, 0.3]})).collect() == []
