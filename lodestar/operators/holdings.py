@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from lodestar.functions.scalars import js_round, number
+from lodestar.operators import bands, overlap
 from lodestar.operators.predicates import is_rate
 from lodestar.params import DEFAULTS, Params
 from lodestar.session import stored
@@ -102,51 +103,30 @@ def score_pairs(pairs: DataFrame) -> DataFrame:
 PARTS = ("reg", "sec", "ast", "top")
 
 
-def _cells(rec: DataFrame, grid: list[tuple[str, str, float]], neighbours: bool) -> DataFrame:
-    """(id, _cell): grid cell of a record, the share of one label per dimension cut in steps of (1 - least overlap).
-
-    Overlap = 1 - half the total difference, so two shares of any label differ by at most 1 - overlap and
-    matching records always lie in the same or a neighbouring cell."""
-    df, key = rec, F.lit(0).cast("long")
-    for i, (kind, label, least) in enumerate(grid):
-        share = F.coalesce(F.try_element_at(kind, F.lit(label)), F.lit(0.0))
-        cell = F.floor(share / (1 - least) * (1 - 1e-9)) + 1
-        df = df.withColumn(f"_g{i}", F.explode(F.array(cell - 1, cell, cell + 1)) if neighbours else cell)
-        key = key * 1000 + F.col(f"_g{i}")
-    return df.select("id", key.alias("_cell"))
-
+def scored(pairs: DataFrame, rec: DataFrame) -> DataFrame:
+    """Scores of pairs (id_a, id_b) of records; each pair once, written before any filter: pushed below the projection, a filter
+    would score every pair several times."""
+    side = lambda s: rec.select(*[F.col(c).alias(f"{c}_{s}") for c in ("id", *PARTS)])
+    return stored(score_pairs(pairs.join(side("a"), "id_a").join(side("b"), "id_b")))
 
-def similar_within(members: DataFrame, rec: DataFrame, group: list[str], grid: list[tuple[str, str, float]]) -> DataFrame:
-    """Scored pairs (group, id_a, id_b, in both directions) of members that can reach the overlaps of ``grid``.
 
-    Exact for any pair at or above those overlaps: a join of ids on (group, cell), never all pairs of a group.
-    A pair of records is scored once however many groups it shares. Records that lack a part of the grid can
-    not reach it and take no part."""
-    full = rec.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k, _, _ in grid], F.lit(True)))
-    l = members.join(_cells(full, grid, True), "id").withColumnRenamed("id", "id_a")
-    r = members.join(_cells(full, grid, False), "id").withColumnRenamed("id", "id_b")
-    pairs = l.join(r, [*group, "_cell"]).where(F.col("id_a") < F.col("id_b")).drop("_cell")
-    side = lambda s: full.select(*[F.col(c).alias(f"{c}_{s}") for c in ("id", *PARTS)])
-    scored = score_pairs(pairs.select("id_a", "id_b").distinct().join(side("a"), "id_a").join(side("b"), "id_b"))
-    one = pairs.join(scored, ["id_a", "id_b"])
-    rest = [c for c in one.columns if c not in ("id_a", "id_b")]
-    return one.unionByName(one.select(F.col("id_b").alias("id_a"), F.col("id_a").alias("id_b"), *rest))
+def similar_pairs(alloc: DataFrame, least: float) -> DataFrame:
+    """(id_a < id_b) with reg, sec, ast, top and score: every pair of funds that scores ``least`` (above 0) or more, those with missing
+    parts among them."""
+    rec = stored(records(alloc).withColumnRenamed("isin", "id"))
+    return scored(overlap.candidates(alloc, least), rec).where(F.col("score") >= least)
 
 
-def widest_labels(alloc: DataFrame, kinds: dict[str, int]) -> list[tuple[str, str]]:
-    """The labels whose shares vary most, per kind: a handful of names for the grid, worked out in Spark."""
-    n = alloc.select("isin").distinct().count()
-    v = (shares(alloc).groupBy("kind", "label")
-         .agg((F.sum(F.col("share") * F.col("share")) / n - F.pow(F.sum("share") / n, F.lit(2))).alias("v")))
-    out = []
-    for kind, k in kinds.items():
-        out += [(kind, r["label"]) for r in v.where(F.col("kind") == kind).orderBy(F.col("v").desc(), "label").limit(k).collect()]
-    return out
+def both_ways(pairs: DataFrame) -> DataFrame:
+    rest = [c for c in pairs.columns if c not in ("id_a", "id_b")]
+    return pairs.unionByName(pairs.select(F.col("id_b").alias("id_a"), F.col("id_a").alias("id_b"), *rest))
 
 
-def twin_grid(alloc: DataFrame, p: Params = DEFAULTS) -> list[tuple[str, str, float]]:
-    least = {"reg": p.twin_reg, "sec": p.twin_sec}
-    return [(k, label, least[k]) for k, label in widest_labels(alloc, {"reg": 2, "sec": 2})]
+def similar_within(alloc: DataFrame, p: Params = DEFAULTS) -> DataFrame:
+    """Scored pairs (id_a, id_b, in both directions) that own nearly the same: found by one region and one sector of their prefixes."""
+    rec = stored(records(alloc).withColumnRenamed("isin", "id"))
+    index = stored(overlap.lists(alloc.where(F.col("kind") != "top")))
+    return both_ways(scored(overlap.reaching(index, {"reg": p.twin_reg, "sec": p.twin_sec}), rec).where(is_twin(p)))
 
 
 def is_twin(p: Params = DEFAULTS) -> Column:
@@ -173,10 +153,17 @@ FACTS = ["id", "leveraged", "tradable", "ask", "cost", "owners", "cluster"]
 
 
 def same_index(products: DataFrame) -> DataFrame:
-    """Pairs on the same index: an equi-join on (cluster, class, hedging) with the residual conditions."""
+    """Pairs on the same index: an equi-join on (cluster, class, hedging), large clusters in blocks, with the residual conditions."""
     own = products.where(F.col("cluster").isNotNull()).withColumn("_c", F.col("cluster"))
-    a, b = _two_sides(own, ["_c", "asset_class", "hedged"], FACTS)
-    return a.join(b, ["_c", "asset_class", "hedged"]).where(fits()).select("id_a", "id_b")
+    keys = ["_c", "asset_class", "hedged"]
+    a, b = _two_sides(own, keys, FACTS)
+    return overlap.salted(a, b, keys).where(fits()).select("id_a", "id_b")
+
+
+def cheaper_candidates(products: DataFrame, p: Params = DEFAULTS, block: int = bands.BLOCK) -> DataFrame:
+    """(id_a, id_b): for every product with a cost, all products of its class and hedging that may replace it and cost less by more
+    than ``twin_cheaper``: a join on sorted cost ranges."""
+    return bands.below(products.select("asset_class", "hedged", *FACTS), ["asset_class", "hedged"], "cost", p.twin_cheaper, FACTS, block).where(fits()).select("id_a", "id_b")
 
 
 def best_same_index(products: DataFrame) -> DataFrame:
@@ -192,42 +179,46 @@ def best_same_index(products: DataFrame) -> DataFrame:
     return own.join(first, keys).where(F.col("id_a") != F.col("id_b")).groupBy("id_a").agg(F.min_by("id_b", "ord").alias("id_b"))
 
 
-def rate_twins(products: DataFrame, gap: float = 0.006, ratio: float = 1.3, quiet: float = 0.01) -> DataFrame:
+def rate_twins(products: DataFrame, gap: float = 0.006, ratio: float = 1.3, quiet: float = 0.01, block: int = bands.BLOCK) -> DataFrame:
     """Interest products of one category and currency with nearly the same gross return and swings.
 
-    The return is compared over 5 years when both have it, else over 3. Pairs are joined on return cells of
-    the gap's width and their neighbours, so a crowded category is not paired with itself in full."""
+    The return is compared over 5 years when both have it, else over 3. Pairs come from sorted ranges of the return, each once,
+    and are then taken in both directions."""
     base = products.where(is_rate() & F.col("vol").isNotNull() & F.col("cost").isNotNull())
-    keys = ["asset_class", "hedged", "category", "currency"]
-    found = []
+    keys, found = ["asset_class", "hedged", "category", "currency"], []
     for y in ("r5", "r3"):
-        g = base.withColumn("g", F.col(y) + F.col("cost") / 100).where(F.col("g").isNotNull()).withColumn("cell", F.floor(F.col("g") / gap))
-        a, b = _two_sides(g.withColumn("cell", F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1))), [*keys, "cell"], FACTS + ["g", "vol", "r5"])
-        _, b = _two_sides(g, [*keys, "cell"], FACTS + ["g", "vol", "r5"])
+        g = base.withColumn("g", F.col(y) + F.col("cost") / 100)
         lo, hi = F.least("vol_a", "vol_b"), F.greatest("vol_a", "vol_b")
-        near = (F.abs(F.col("g_a") - F.col("g_b")) <= gap) & ((hi < quiet) | (hi / F.greatest(lo, F.lit(1e-6)) <= ratio))
+        near = (hi < quiet) | (hi / F.greatest(lo, F.lit(1e-6)) <= ratio)
         both5 = F.col("r5_a").isNotNull() & F.col("r5_b").isNotNull()
-        found.append(a.join(b, [*keys, "cell"]).where(fits() & near & (both5 if y == "r5" else ~both5)).select("id_a", "id_b"))
-    return found[0].unionByName(found[1])
+        found.append(bands.near(g, keys, "g", gap, [*FACTS, "vol", "r5"], block).where(near & (both5 if y == "r5" else ~both5)))
+    cols = [f"{c}_{x}" for c in FACTS for x in "ab"]
+    once = found[0].select(*cols).unionByName(found[1].select(*cols))
+    other = once.select(*[F.col(f"{c}_{y}").alias(f"{c}_{x}") for c in FACTS for x, y in (("a", "b"), ("b", "a"))])
+    return once.unionByName(other).where(fits()).select("id_a", "id_b")
 
 
-def content_twins(products: DataFrame, alloc: DataFrame, grid: list[tuple[str, str, float]], p: Params = DEFAULTS) -> DataFrame:
+def content_twins(products: DataFrame, alloc: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     """Scored pairs that own nearly the same, in the same class and hedging."""
-    rec = records(alloc).withColumnRenamed("isin", "id")
-    scored = similar_within(products.select("asset_class", "hedged", "id"), rec, ["asset_class", "hedged"], grid).where(is_twin(p))
-    a, b = _two_sides(products, [], FACTS)
-    return scored.join(a, "id_a").join(b, "id_b").where(fits())
+    return fitting(similar_within(alloc, p), products)
 
 
-def twins(products: DataFrame, alloc: DataFrame, held: DataFrame, grid: list[tuple[str, str, float]], every: bool = False,
-          p: Params = DEFAULTS) -> DataFrame:
+def fitting(pairs: DataFrame, products: DataFrame) -> DataFrame:
+    """Pairs (id_a, id_b) of which b may replace a."""
+    keys = ["asset_class", "hedged"]
+    a, b = _two_sides(products, [], FACTS + keys)
+    same = (F.col("asset_class_a") == F.col("asset_class_b")) & (F.col("hedged_a") == F.col("hedged_b"))
+    return pairs.join(a, "id_a").join(b, "id_b").where(same & fits())
+
+
+def twins(products: DataFrame, alloc: DataFrame, held: DataFrame, every: bool = False, p: Params = DEFAULTS) -> DataFrame:
     """(id, twin, cost, score, rule) for held products: same index, same content or same kind of interest fund.
 
     One ETF per index; only cheaper ones unless ``every``. ``place`` is the order of the list."""
     h = held.select(F.col("id").alias("id_a"))
-    scored = content_twins(products, alloc, grid, p)
+    alike = content_twins(products, alloc, p)
     rules = [best_same_index(products).select("id_a", "id_b", F.lit(1.0).alias("score"), F.lit(0).alias("rule")),
-             scored.select("id_a", "id_b", "score", F.lit(1).alias("rule")),
+             alike.select("id_a", "id_b", "score", F.lit(1).alias("rule")),
              rate_twins(products).select("id_a", "id_b", F.lit(0.8).alias("score"), F.lit(2).alias("rule"))]
     best = (reduce(DataFrame.unionByName, rules).join(h, "id_a", "left_semi").groupBy("id_a", "id_b")
             .agg(F.min_by("score", "rule").alias("score"), F.min("rule").alias("rule")))
@@ -303,59 +294,44 @@ def company_merge(companies: DataFrame, names: DataFrame) -> DataFrame:
         F.sum("share").alias("share"), F.max_by("country", F.struct("share", "label")).alias("country"))
 
 
-def overlap_pairs(weights: DataFrame, alloc: DataFrame, least: float = 0.7) -> DataFrame:
+def overlap_pairs(weights: DataFrame, alloc: DataFrame, least: float = 0.7, block: int = overlap.BLOCK) -> DataFrame:
     """Pairs of funds in one portfolio that own mostly the same (score of ``least`` or more).
 
-    Pairs of ids are formed inside each portfolio, as the result has them; each different pair is scored once, however many
+    Pairs of ids are formed inside each portfolio in blocks, as the result has them; each different pair is scored once, however many
     portfolios hold it, and only those that score enough are joined back. Funds with missing parts take part like the others."""
     own = weights.select("portfolio_id", F.col("isin").alias("id")).distinct()
-    inside = (own.withColumnRenamed("id", "a").join(own.withColumnRenamed("id", "b"), "portfolio_id").where("a < b"))
+    inside = overlap.salted(own.withColumnRenamed("id", "id_a"), own.withColumnRenamed("id", "id_b"), ["portfolio_id"], block).where("id_a < id_b")
     rec = stored(records(alloc).withColumnRenamed("isin", "id"))
-    side = lambda s: rec.select(*[F.col(c).alias(f"{c}_{s}") for c in ("id", *PARTS)])
-    pairs = inside.select(F.col("a").alias("id_a"), F.col("b").alias("id_b")).distinct().join(side("a"), "id_a").join(side("b"), "id_b")
-    # written before the filter: pushed below the projection, it would score every pair several times
-    scored = stored(score_pairs(pairs).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), "reg", "top", "score"))
-    enough = scored.where((F.col("score") >= least) & (F.col("reg").isNotNull() | F.col("top").isNotNull())).select("a", "b", "score")
-    return inside.join(enough, ["a", "b"]).select("portfolio_id", "a", "b", "score")
+    alike = scored(inside.select("id_a", "id_b").distinct(), rec).select("id_a", "id_b", "reg", "top", "score")
+    enough = alike.where((F.col("score") >= least) & (F.col("reg").isNotNull() | F.col("top").isNotNull())).select("id_a", "id_b", "score")
+    return inside.join(enough, ["id_a", "id_b"]).select("portfolio_id", F.col("id_a").alias("a"), F.col("id_b").alias("b"), "score")
 
 
 # ------------------------------------------------------------------ proxies
 
-def _salted(left: DataFrame, right: DataFrame, keys: list[str], block: int = 512) -> DataFrame:
-    """Match two sides on a few hot keys: each key is cut into tasks of about block x block rows."""
-    def blocks(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(name))
-
-    n = blocks(left, "_nl").join(blocks(right, "_nr"), keys)
-    def every(c: str) -> Column:
-        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(c).cast("long") - 1))
-
-    l = left.join(n, keys).withColumn("_bl", F.pmod(F.xxhash64("id_a"), F.col("_nl"))).withColumn("_br", every("_nr"))
-    r = right.join(n, keys).withColumn("_br", F.pmod(F.xxhash64("id_b"), F.col("_nr"))).withColumn("_bl", every("_nl"))
-    return l.drop("_nl", "_nr").join(r.drop("_nl", "_nr"), [*keys, "_bl", "_br"]).drop("_bl", "_br")
-
-
 def proxy_choice(funds: DataFrame, etfs: DataFrame, alloc: DataFrame, near: float = 0.08, floor: float = 0.3) -> DataFrame:
     """ETF whose months stand in for a fund without prices, with the scale of its swings.
 
     Among ETFs of the same class and hedging within ``near`` of the best similarity the longest history wins;
-    below ``floor`` the closest volatility of the category is taken. A class is matched in salted blocks and
-    the candidates stream into a best-per-fund aggregate, so no pair leaves its task."""
+    below ``floor`` the closest volatility of the category is taken. A class is matched in salted blocks. Of the ETFs with
+    one length of history only the most similar can win, so the pairs of a task shrink to one per fund and length before they
+    are shuffled, and each pair is scored once; the lengths of a fund, bounded by the calendar, then meet in one small list."""
     rec = records(alloc).withColumnRenamed("isin", "id")
     f = funds.select("id", "asset_class", "hedged", "category", "vol").join(rec, "id")
     e = etfs.select("id", "asset_class", "hedged", "vol", "n_months").join(rec, "id")
     l = f.select("asset_class", "hedged", *[F.col(c).alias(f"{c}_a") for c in ("id", "vol", *PARTS)])
     r = e.select("asset_class", "hedged", *[F.col(c).alias(f"{c}_b") for c in ("id", "vol", "n_months", *PARTS)])
-    sim = score_pairs(_salted(l, r, ["asset_class", "hedged"])).where(F.col("score").isNotNull())
-    best = sim.groupBy("id_a").agg(F.max("score").alias("top_score"))
-    pick = (sim.join(best, "id_a").where(F.col("score") >= F.col("top_score") - near).groupBy("id_a")
-            .agg(F.max_by(F.struct("id_b", "vol_b", "score"), F.struct("n_months_b", "score", "id_b")).alias("s")).where(F.col("s.score") >= floor)
-            .select(F.col("id_a").alias("id"), F.col("s.id_b").alias("proxy"), F.col("s.vol_b").alias("proxy_vol"), F.col("s.score").alias("sim")))
+    sim = score_pairs(overlap.salted(l, r, ["asset_class", "hedged"])).where(F.col("score").isNotNull())
+    lengths = sim.groupBy("id_a", "n_months_b").agg(F.max_by(F.struct("score", "id_b", "vol_b"), F.struct("score", "id_b")).alias("s"))
+    front = lengths.groupBy("id_a").agg(F.collect_list(F.struct(F.col("n_months_b").alias("m"), F.col("s.score").alias("score"), F.col("s.id_b").alias("id"), F.col("s.vol_b").alias("vol"))).alias("f"))
+    top = F.array_max(F.transform("f", lambda x: x["score"]))
+    pick = (front.withColumn("_top", top).select("id_a", F.array_max(F.filter("f", lambda x: x["score"] >= F.col("_top") - near)).alias("s")).where(F.col("s.score") >= floor)
+            .select(F.col("id_a").alias("id"), F.col("s.id").alias("proxy"), F.col("s.vol").alias("proxy_vol"), F.col("s.score").alias("sim")))
     keys = ["category", "hedged"]
     left = funds.join(pick, "id", "left_anti").select(*keys, F.col("id").alias("id_a"), F.col("vol").alias("vol_a"))
     right = etfs.select(*keys, F.col("id").alias("id_b"), F.col("vol").alias("vol_b"))
     gap = F.abs(F.ln(F.col("vol_b") / F.col("vol_a")))
-    same = (_salted(left, right, keys).groupBy("id_a")
+    same = (overlap.salted(left, right, keys).groupBy("id_a")
             .agg(F.min_by(F.struct("id_b", "vol_b"), F.struct(F.coalesce(gap, F.lit(5.0)).alias("g"), "id_b")).alias("s"))
             .select(F.col("id_a").alias("id"), F.col("s.id_b").alias("proxy"), F.col("s.vol_b").alias("proxy_vol"), F.lit(0.0).alias("sim")))
     out = funds.select("id", "vol").join(pick.unionByName(same), "id", "left")

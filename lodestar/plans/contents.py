@@ -42,23 +42,47 @@ SELECT a AS id, b AS twin, cost, own_cost, score, rule, row_number() OVER (PARTI
     JOIN {products} x ON x.id = u.a JOIN {products} y ON y.id = u.b GROUP BY u.a, u.b) s) t WHERE rn = 1 AND own_cost IS NOT NULL AND cost < own_cost - 0.05"""
 
 
-@shared
-def grid(t):
-    return ho.twin_grid(t.alloc)
-
-
 @stage
 def twin_rows(t):
-    return ho.twins(t.products, t.alloc, t.products, t.grid)
+    return ho.twins(t.products, t.alloc, t.products)
 
 
 # ------------------------------------------------------------------ similarity and twins
-@query("content_similarity", "content", "SELECT a, b, R6(reg) AS reg, R6(sec) AS sec, R6(ast) AS ast, R6(top) AS top, R6(score) AS score FROM content")
+# funds that report no regions, no sectors, few or no holdings, or asset classes only
+SQL["alloc_gaps"] = """
+SELECT a.* FROM {alloc} a JOIN (SELECT isin, CAST(substr(isin, 4) AS BIGINT) AS no FROM {alloc} GROUP BY isin) i ON a.isin = i.isin
+WHERE NOT (kind = 'reg' AND (no % 5 = 2 OR no % 9 = 4)) AND NOT (kind = 'sec' AND (no % 7 = 3 OR no % 9 = 4)) AND NOT (kind = 'top' AND no % 3 = 1)
+  AND NOT (kind = 'top' AND no % 8 = 5 AND label > '13') AND NOT (kind = 'ast' AND no % 6 = 1)"""
+DUCK["sim_any"] = f"""
+WITH s AS (SELECT isin, kind, label, CASE WHEN kind = 'top' THEN weight ELSE weight / sum(weight) OVER (PARTITION BY isin, kind) END AS v FROM {{alloc_gaps}} WHERE weight > 0),
+h AS (SELECT isin, bool_or(kind = 'reg') AS reg, bool_or(kind = 'sec') AS sec, bool_or(kind = 'ast') AS ast, count(*) FILTER (kind = 'top') >= 5 AS top, sum(v) FILTER (kind = 'top') AS t FROM s GROUP BY isin),
+c AS (SELECT x.isin AS a, y.isin AS b, x.kind, sum(least(x.v, y.v)) AS v FROM s x JOIN s y ON x.kind = y.kind AND x.label = y.label AND x.isin <> y.isin GROUP BY 1, 2, 3),
+w AS (SELECT a, b, max(v) FILTER (kind = 'reg') AS reg, max(v) FILTER (kind = 'sec') AS sec, max(v) FILTER (kind = 'ast') AS ast, max(v) FILTER (kind = 'top') AS top FROM c GROUP BY a, b),
+o AS (SELECT a.id AS a, b.id AS b, CASE WHEN x.reg AND y.reg THEN coalesce(w.reg, 0) END AS reg, CASE WHEN x.sec AND y.sec THEN coalesce(w.sec, 0) END AS sec,
+             CASE WHEN x.ast AND y.ast THEN coalesce(w.ast, 0) END AS ast, CASE WHEN x.top AND y.top THEN least(1, coalesce(w.top, 0) / least(x.t, y.t)) END AS top
+      FROM {{products}} a JOIN {{products}} b ON {_FITS} JOIN h x ON x.isin = a.id JOIN h y ON y.isin = b.id LEFT JOIN w ON w.a = a.id AND w.b = b.id)
+SELECT *, CASE WHEN reg IS NULL AND sec IS NULL AND top IS NULL THEN 0.5 * ast ELSE
+   (CASE WHEN reg IS NULL AND sec IS NULL THEN top ELSE CASE WHEN top IS NULL THEN 1 ELSE 0.5 END * (coalesce(reg, 0) + coalesce(sec, 0)) / (CAST(reg IS NOT NULL AS INT) + CAST(sec IS NOT NULL AS INT))
+      + CASE WHEN top IS NULL THEN 0 ELSE 0.5 * top END END) * coalesce(ast, 1) END AS score FROM o"""
+
+
+@query("content_similarity", "sim_any", "SELECT a, b, R6(reg) AS reg, R6(sec) AS sec, R6(ast) AS ast, R6(top) AS top, R6(score) AS score FROM sim_any WHERE score >= 0.45")
+def _(t):
+    pairs = ho.fitting(ho.both_ways(ho.similar_pairs(t.alloc_gaps, 0.45)), t.products)
+    return pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), "reg", "sec", "ast", "top", "score")
+
+
+@query("content_twins", "content", "SELECT a, b, R6(reg) AS reg, R6(sec) AS sec, R6(ast) AS ast, R6(top) AS top, R6(score) AS score FROM content")
+def _(t):
+    return ho.content_twins(t.products, t.alloc).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), "reg", "sec", "ast", "top", "score")
+
+
+@query("twin_theta_join", "products", f"SELECT a.id AS a, b.id AS b FROM products a JOIN products b ON {_FITS} AND b.cost < a.cost - 0.05")
 def _(t):
-    return ho.content_twins(t.products, t.alloc, t.grid).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), "reg", "sec", "ast", "top", "score")
+    return ho.cheaper_candidates(t.products).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
 
 
-@query("twin_theta_join", "same_index", "SELECT a, b FROM same_index")
+@query("same_index_pairs", "same_index", "SELECT a, b FROM same_index")
 def _(t):
     return ho.same_index(t.products).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
 

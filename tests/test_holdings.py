@@ -37,15 +37,14 @@ def test_similarity(spark):
     assert few.top is None and few.score == pytest.approx(1)
 
 
-def test_grid_finds_every_pair_above_the_thresholds(spark):
+def test_prefixes_find_every_pair_above_the_thresholds(spark):
     rnd = random.Random(6)
     mix = lambda names: {n: rnd.random() ** 2 + 0.01 for n in names}
     funds = {f"f{i:02d}": {"reg": mix("abc"), "sec": mix("xyz"), "ast": mix("pq"), "top": mix(range(6))} for i in range(40)}
     for i in range(0, 40, 4):                                        # near copies
         funds[f"f{i + 1:02d}"] = {k: {n: v * (1 + rnd.random() * 0.1) for n, v in m.items()} for k, m in funds[f"f{i:02d}"].items()}
     alloc = long(spark, funds)
-    rec = ho.records(alloc).withColumnRenamed("isin", "id")
-    got = {(r.id_a, r.id_b) for r in ho.similar_within(rec.select("id", F.lit(1).alias("g")), rec, ["g"], ho.twin_grid(alloc)).where(ho.is_twin()).collect()}
+    got = {(r.id_a, r.id_b) for r in ho.similar_within(alloc).collect()}
 
     def over(x, y):
         sx, sy = sum(x.values()), sum(y.values())
@@ -126,3 +125,121 @@ def test_overlap_pairs_need_no_asset_classes_and_score_by_all_parts(spark):
     got = {(r.portfolio_id, r.a, r.b): round(r.score, 6) for r in ho.overlap_pairs(held, alloc).collect()}
     assert got == {(1, "a", "b"): 0.98}
     assert ho.overlap_pairs(held, alloc.where("false")).count() == 0
+
+
+def mixed_funds(rnd, n=70):
+    """Funds with missing parts, single labels, equal weights and near copies."""
+    funds = {}
+    for i in range(n):
+        parts = {k: {x: rnd.choice([rnd.random() ** 3 + 0.01, 0.5, 1.0]) for x in rnd.sample(names, rnd.randint(1, len(names)))}
+                 for k, names in (("reg", "abcd"), ("sec", "uvwxyz"), ("ast", "pq")) if rnd.random() < 0.75}
+        if rnd.random() < 0.7:
+            parts["top"] = {x: rnd.random() * 5 + 0.1 for x in rnd.sample(range(12), rnd.randint(3, 9))}
+        funds[f"f{i:02d}"] = parts or {"ast": {"p": 1.0}}
+    for i in range(0, n, 5):
+        funds[f"f{i + 1:02d}"] = {k: {x: v * (1 + rnd.random() * 0.2) for x, v in m.items()} for k, m in funds[f"f{i:02d}"].items()}
+    return funds
+
+
+def plain_score(x, y):
+    def over(k):
+        if not x.get(k) or not y.get(k):
+            return None
+        sx, sy = sum(x[k].values()), sum(y[k].values())
+        return sum(min(v / sx, y[k][n] / sy) for n, v in x[k].items() if n in y[k])
+
+    reg, sec, ast, top = over("reg"), over("sec"), over("ast"), None
+    if len(x.get("top", {})) >= 5 and len(y.get("top", {})) >= 5:
+        top = min(1, sum(min(v, y["top"][n]) for n, v in x["top"].items() if n in y["top"]) / min(sum(x["top"].values()), sum(y["top"].values())))
+    alloc = [v for v in (reg, sec) if v is not None]
+    if not alloc and top is None:
+        return None if ast is None else 0.5 * ast
+    base = sum(alloc) / len(alloc) if alloc else top
+    return (base if top is None else 0.5 * base + 0.5 * top) * (1 if ast is None else ast)
+
+
+@pytest.mark.parametrize("least,block", [(0.02, 7), (0.4, 512), (0.55, 5), (0.9, 512)])
+def test_similar_pairs_are_all_pairs_above_a_score(spark, monkeypatch, least, block):
+    funds = mixed_funds(random.Random(int(least * 100)))
+    monkeypatch.setattr(ho.overlap.candidates, "__defaults__", (block,))
+    got = {(r.id_a, r.id_b): r.score for r in ho.similar_pairs(long(spark, funds), least).collect()}
+    want = {(a, b): s for a, b in itertools.combinations(sorted(funds), 2) if (s := plain_score(funds[a], funds[b])) is not None and s >= least}
+    assert got == {p: pytest.approx(s) for p, s in want.items()} and len(want) > 5
+
+
+def test_prefixes_stay_short_and_pairs_come_once(spark):
+    rnd = random.Random(8)
+    alloc = long(spark, {f"f{i}": {"reg": {x: rnd.random() for x in "abcdefgh"}, "sec": {x: rnd.random() for x in "qrstuvwxyz"}} for i in range(60)})
+    index = ho.overlap.lists(alloc)
+    copies = index.select("kind", F.size(ho.overlap._prefix(0.85)).alias("n")).groupBy("kind").agg(F.avg("n").alias("n")).collect()
+    assert math.prod(r.n for r in copies) < 10 * 2
+    pairs = ho.overlap.reaching(index, {"reg": 0.3, "sec": 0.3})
+    assert pairs.count() == pairs.distinct().count() == 60 * 59 / 2
+
+
+def product_rows(rnd, n):
+    return [(f"p{i:03d}", rnd.choice(["Aksjer", "Renter", None]), rnd.random() < 0.3, rnd.choice(["x", "y"]), "NOK", rnd.random() < 0.1, rnd.random() < 0.8, rnd.random() < 0.5,
+             rnd.choice([None, round(rnd.random() * 2, 2), 0.5]), rnd.randint(0, 99), rnd.choice([None, 1, 2]), rnd.choice([None, 0.02, 0.05, 0.005]),
+             rnd.choice([None, round(rnd.gauss(0.03, 0.006), 4)]), rnd.choice([None, round(rnd.gauss(0.03, 0.006), 4)])) for i in range(n)]
+
+
+PRODUCT = ["id", "asset_class", "hedged", "category", "currency", "leveraged", "tradable", "ask", "cost", "owners", "cluster", "vol", "r5", "r3"]
+
+
+def plain_fits(a, b):
+    return (a["asset_class"] is not None and a["asset_class"] == b["asset_class"] and a["hedged"] == b["hedged"] and not b["leveraged"] and b["tradable"]
+            and (not a["ask"] or b["ask"]) and b["cost"] is not None and a["id"] != b["id"])
+
+
+@pytest.mark.parametrize("block", [1, 7, 512])
+def test_band_joins_match_all_pairs(spark, block):
+    data = product_rows(random.Random(block), 260)
+    df = spark.createDataFrame(data, "id string, asset_class string, hedged boolean, category string, currency string, leveraged boolean, tradable boolean, ask boolean, "
+                                     "cost double, owners long, cluster long, vol double, r5 double, r3 double")
+    ps = [dict(zip(PRODUCT, r)) for r in data]
+    got = sorted((r.id_a, r.id_b) for r in ho.cheaper_candidates(df, block=block).collect())
+    assert got == sorted((a["id"], b["id"]) for a, b in itertools.permutations(ps, 2) if plain_fits(a, b) and a["cost"] is not None and b["cost"] < a["cost"] - 0.05)
+
+    def rate(a, b):
+        if not plain_fits(a, b) or a["asset_class"] != "Renter" or a["category"] != b["category"] or None in (a["vol"], b["vol"], a["cost"]):
+            return False
+        y = next((y for y in ("r5", "r3") if a[y] is not None and b[y] is not None), None)
+        lo, hi = sorted((a["vol"], b["vol"]))
+        return y is not None and abs((a[y] + a["cost"] / 100) - (b[y] + b["cost"] / 100)) <= 0.006 and (hi < 0.01 or hi / max(lo, 1e-6) <= 1.3)
+
+    got = sorted((r.id_a, r.id_b) for r in ho.rate_twins(df, block=block).collect())
+    want = sorted((a["id"], b["id"]) for a, b in itertools.permutations(ps, 2) if rate(a, b))
+    assert got == want and len(want) > 10
+
+
+def test_one_large_portfolio_is_cut_into_blocks(spark):
+    """2 000 funds in one portfolio: every pair once, no join key with more than about a block of rows."""
+    held = spark.range(2000).select(F.lit(1).alias("portfolio_id"), F.format_string("f%04d", "id").alias("isin"), F.lit(0.1).alias("w"))
+    alloc = held.select("isin", F.explode(F.array(F.lit("reg"), F.lit("sec"))).alias("kind"), F.concat(F.lit("x"), F.pmod(F.crc32("isin"), F.lit(400))).alias("label"), F.lit(100.0).alias("weight"))
+    out = ho.overlap_pairs(held, alloc, block=100)
+    groups = [r.n for r in held.groupBy(F.pmod(F.crc32("isin"), F.lit(400)).alias("g")).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert out.count() == out.distinct().count() == sum(n * (n - 1) // 2 for n in groups)
+    ids = held.select("portfolio_id", F.col("isin").alias("id_a"))
+    salted = ho.overlap.salted(ids, ids.withColumnRenamed("id_a", "id_b"), ["portfolio_id"], 100)
+    assert salted.count() == 2000 * 2000
+    assert ho.overlap_pairs(held.limit(40), alloc, least=0.0).count() == 40 * 39 // 2
+
+
+def test_proxy_is_the_longest_history_near_the_best(spark):
+    rnd = random.Random(12)
+    funds = {f"u{i}": v for i, v in enumerate(mixed_funds(rnd, 30).values())}
+    etfs = {f"e{i}": v for i, v in enumerate(mixed_funds(rnd, 40).values())}
+    alloc = long(spark, funds | etfs)
+    months = {e: rnd.choice([36, 60, 120]) for e in etfs}
+    u = spark.createDataFrame([(i, "Aksjer", False, "c", 0.1) for i in funds], "id string, asset_class string, hedged boolean, category string, vol double")
+    e = spark.createDataFrame([(i, "Aksjer", False, "c", 0.12, months[i]) for i in etfs], "id string, asset_class string, hedged boolean, category string, vol double, n_months int")
+    df = ho.proxy_choice(u, e, alloc)
+    got = {r.id: (r.proxy, r.sim) for r in df.collect()}
+    for i, f in funds.items():
+        scores = {x: s for x, h in etfs.items() if (s := plain_score(f, h)) is not None}
+        best = max(scores.values(), default=0)
+        pick = max(((months[x], round(s, 9), x) for x, s in scores.items() if s >= best - 0.08), default=None)
+        if pick and pick[1] >= 0.3:
+            assert got[i] == (pick[2], pytest.approx(pick[1])), i
+        else:
+            assert got[i][1] == 0.0
