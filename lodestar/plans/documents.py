@@ -84,10 +84,17 @@ SELECT CAST(floor(e.instrument_id / 10) AS BIGINT) AS page_id, e.* FROM {etf} e
 @shared
 def state_pages(t):
     info = F.struct("instrument_id", F.col("name"), F.col("ticker").alias("symbol"), "isin", "currency", (F.col("is_tradable") != "false").alias("is_tradable"))
-    fund = F.struct(F.struct(F.col("fee").alias("value"), F.lit("%").alias("unit")).alias("fund_yearly_fee"), F.col("category").alias("fund_category"), F.col("fund_type"),
+    moved = F.col("instrument_id") % 4 == 1
+    fund = F.struct(F.struct(F.col("fee").alias("value"), F.lit("%").alias("unit")).alias("fund_yearly_fee"), F.when(~moved, F.col("category")).alias("fund_category"), F.col("fund_type"),
                     (F.unix_date(F.lit("2001-01-01").cast("date")).cast("long") * 86400000 + F.col("instrument_id") * 86400000).alias("fund_start_date"), F.array("r1", "vol1").alias("marks"))
+    # a field in another group, and one that lies deep
+    other = F.struct(F.struct(F.when(moved, F.col("category")).alias("fund_category")).alias("group"))
+    deep = F.col("instrument_id").alias("f")
+    for k in "edcba":
+        deep = F.struct(deep).alias(k)
     price = F.struct(F.struct(F.col("r3").alias("price")).alias("last"), F.struct(F.col("vol1").alias("price")).alias("close"))
-    rec = F.struct(info.alias("instrument_info"), fund.alias("fund_info"), price.alias("price_info"), F.struct(F.col("owners").alias("number_of_owners")).alias("statistical_info"))
+    rec = F.struct(info.alias("instrument_info"), fund.alias("fund_info"), price.alias("price_info"), F.struct(F.col("owners").alias("number_of_owners")).alias("statistical_info"),
+                   other.alias("other_info"), deep)
     per = t.page_items.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("instrument_id", rec.alias("rec")))).alias("rs"))
     arr = F.to_json(F.transform("rs", lambda x: x["rec"]), {"ignoreNullFields": "false"})
     arr = F.when(F.col("page_id") % 3 == 2, F.substring(arr, F.lit(1), F.length(arr) - 4)).otherwise(arr)
@@ -114,7 +121,7 @@ _OK = "CASE WHEN page_id % 3 <> 2 THEN {} END"
 
 
 @query("normalise_rows", "page_items", f"""
-SELECT instrument_id, name, ticker AS symbol, currency, isin, {_OK.format("CASE WHEN is_tradable = 'false' THEN 'false' ELSE 'true' END")} AS is_tradable, R6({_OK.format('fee')}) AS fee,
+SELECT instrument_id, name, ticker AS symbol, currency, isin, CASE WHEN is_tradable = 'false' THEN 'false' ELSE 'true' END AS is_tradable, R6({_OK.format('fee')}) AS fee,
        {_OK.format('category')} AS category, {_OK.format('fund_type')} AS fund_type, {_OK.format('CAST(owners AS DOUBLE)')} AS number_of_owners, R6({_OK.format('coalesce(r3, vol1)')}) AS price,
        {_OK.format("CAST(CAST(DATE '2001-01-01' + CAST(instrument_id AS INT) AS DATE) AS VARCHAR)")} AS start_date, substr(isin, 1, 2) AS domicile,
        substr(isin, 1, 2) IN ('IE', 'LU', 'NO') AS ask_eligible FROM page_items""")
@@ -124,16 +131,17 @@ def _(t):
 
 
 _LEAVES = {"instrument_info.instrument_id": "instrument_id", "instrument_info.name": "name", "instrument_info.symbol": "ticker", "instrument_info.isin": "isin",
-           "instrument_info.currency": "currency", "instrument_info.is_tradable": "is_tradable", "fund_info.fund_yearly_fee": "fee", "fund_info.fund_category": "category",
+           "instrument_info.currency": "currency", "instrument_info.is_tradable": "is_tradable", "fund_info.fund_yearly_fee": "fee", "fund_info.fund_category": "CASE WHEN instrument_id % 4 <> 1 THEN category END",
+           "other_info.group.fund_category": "CASE WHEN instrument_id % 4 = 1 THEN category END", "a.b.c.d.e.f": "instrument_id",
            "fund_info.fund_type": "fund_type", "fund_info.fund_start_date": "instrument_id", "fund_info.marks": "instrument_id", "price_info.last.price": "r3",
            "price_info.close.price": "vol1", "statistical_info.number_of_owners": "owners"}
 
 
-# every third page is broken JSON: only the quoted texts and the id of instrument_info can be read there
+# every third page is broken JSON: only instrument_info can be read there
 @query("json_field_report", "page_items", " UNION ALL ".join(
-    f"SELECT '{p}' AS path, count({c}) AS n FROM page_items" + ("" if p.startswith("instrument_info.") and c != "is_tradable" else " WHERE page_id % 3 <> 2") for p, c in _LEAVES.items()))
+    f"SELECT '{p}' AS path, count({c}) AS n FROM page_items" + ("" if p.startswith("instrument_info.") else " WHERE page_id % 3 <> 2") for p, c in _LEAVES.items()))
 def _(t):
-    return pages.field_report(pages.flatten(t.page_records, "pos"))
+    return pages.field_report(pages.flatten(t.page_records.withColumnRenamed("pos", "k"), "k"))
 
 
 # ------------------------------------------------------------------ the whole list run: pages, gate, log, master

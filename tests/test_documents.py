@@ -56,10 +56,46 @@ def test_all_arrays_of_a_page_and_escaped_pretty_json(spark):
     assert sorted(map(tuple, got)) == [(1, 99, "1", 'a"b\nc', "[1]"), (1, 99, "2", 'a"b\nc', "[1]"), (1, 99, "3", 'a"b\nc', "[1]"), (2, 7, "4", 'a"b\nc', "[1]")]
 
 
-def test_flatten_keeps_what_is_nested_deeper(spark):
-    df = spark.createDataFrame([(1, '{"a":{"b":{"c":{"d":{"e":{"f":1}}}}},"z":2}')], "id int, record string")
-    assert {r.path: r.value for r in pages.flatten(df, "id").collect()} == {"a.b.c.d.e": '{"f":1}', "z": "2"}
-    assert {r.path: r.value for r in pages.flatten(df, "id", depth=5).collect()} == {"a.b.c.d.e.f": "1", "z": "2"}
+def test_flatten_has_no_depth(spark):
+    deep = {"leaf": 1, "e": {}}
+    for k in range(20):
+        deep = {f"n{k}": deep, "x": {"value": k, "unit": "u"}}
+    df = spark.createDataFrame([(1, '{"a":{"b":{"c":{"d":{"e":{"f":1}}}}},"z":2}'), (2, json.dumps(deep)), (3, None), (4, "[1]")], "k int, record string")
+    out = {(r.k, r.path): r.value for r in pages.flatten(df, "k").collect()}
+    assert out[1, "a.b.c.d.e.f"] == "1" and out[1, "z"] == "2"
+    path = ".".join(f"n{k}" for k in reversed(range(20)))
+    assert out[2, f"{path}.leaf"] == "1" and out[2, "x"] == "19" and out[2, "n19.x"] == "18" and (2, f"{path}.e") not in out
+    assert len(out) == 2 + 21 + 2 and out[3, ""] is None and out[4, ""] == "[1]"
+    for name in ("value", "path"):
+        with pytest.raises(ValueError):
+            pages.flatten(df.withColumnRenamed("k", name), name)
+    assert {r.path for r in pages.flatten(df.withColumnRenamed("k", "_m"), "_m").collect()} == {p for _, p in out}
+    assert pages.flatten(df.where("false"), "k").count() == 0
+
+
+def test_fields_are_found_wherever_they_stand(spark):
+    raw = [{"instrument_info": {"instrument_id": 1, "fund_type": "not this"}, "a": {"b": {"c": {"d": {"e": {"f": {"g": {"fund_type": "deep"}}}}}}}, "other": {"number_of_owners": {"value": 5}}},
+           {"instrument_info": {"instrument_id": 2}, "x": {"close": {"price": 2.0}}, "y": {"last": {"price": 1.0}}, "z": {"last": {"price": 3.0}}, "my_fund_type": "no",
+            "one": {"fund_category": ""}, "two": {"fund_category": "second"}, "three": {"fund_category": "third"}, "fund_calculated_fee": 0.5, "m": {"fund_yearly_fee": None}},
+           {"instrument_info": {"instrument_id": 3}}]
+    df = spark.createDataFrame([(1, page(json.dumps(raw), False))], "page_id long, html string")
+    out = {r.instrument_id: r for r in pages.normalise_rows(pages.first_per_instrument(pages.results(df))).collect()}
+    assert out[1].fund_type == "deep" and out[1].number_of_owners == 5.0
+    assert out[2].price == 1.0 and out[2].fund_type is None and out[2].category == "second" and out[2].fee == 0.5
+    assert out[3].fee is None and out[3].price is None
+
+
+def test_arrays_in_arrays_and_pages_of_many_arrays(spark):
+    inner = '{"instrument_info": {"instrument_id": %d}, "more": {"results": [{"instrument_info": {"instrument_id": %d}}, {"s": "] } \\" {["}]}}'
+    html = '<p>"total_hits": 1 "results": [%s, {"instrument_info": {"instrument_id": 5}}] } "results":[1,2] </p>' % (inner % (1, 2))
+    many = "".join('<x>{"total_hits": %d, "results": [{"instrument_info": {"instrument_id": %d, "name": "%s"}}]}' % (k, k, "n" * 200) for k in range(400))
+    cut = '"total_hits": 8, "results": [{"instrument_info": {"instrument_id": 7, "is_tradable": true, "name": "a}b"}, "fund_info": {"fee": 1'
+    df = spark.createDataFrame([(1, html), (2, many), (3, cut), (4, '"results": ["instrument_info": {"instrument_id": "x"}')], "page_id long, html string")
+    out = pages.results(df).selectExpr("page_id", "total", "cast(get_json_object(record, '$.instrument_info.instrument_id') AS INT) AS i", "record").collect()
+    assert sorted((r.total, r.i) for r in out if r.page_id == 1) == [(1, 1), (1, 2), (1, 5)]
+    assert sorted((r.total, r.i) for r in out if r.page_id == 2) == [(k, k) for k in range(400)]
+    last = [json.loads(r.record) for r in out if r.page_id == 3]
+    assert last == [{"instrument_info": {"instrument_id": 7, "is_tradable": True, "name": "a}b"}}] and not any(r.page_id == 4 for r in out)
 
 
 def test_flatten(spark):
