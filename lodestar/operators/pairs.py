@@ -15,8 +15,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from lodestar.operators import pivots
+from lodestar.operators.overlap import salted
 from lodestar.operators.portfolio import common_months
 from lodestar.params import DEFAULTS, Params
+from lodestar.session import ship
 
 BLOCK = 512
 
@@ -99,6 +101,7 @@ def te_pairs(returns: DataFrame, periods: int = 12, max_te: float | None = None,
     cluster. ``robust`` clips the difference around its median and is null where the overlap is too short.
     Under a finite cap pairs are ruled out by their distances to pivots before any vector is copied."""
     cap = p.robust_prefilter_te if max_te is None else max_te
+    ship(returns.sparkSession)
     vec = vectors(returns)
     blocks = in_block_pairs(vec, "asset", []) if np.isinf(cap) else pivots.near_blocks(vec, float(np.sqrt(periods)), cap, BLOCK)
     out = blocks.groupBy("lo", "hi").applyInPandas(
@@ -151,6 +154,7 @@ def _cov_task(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def covariance_pairs(returns: DataFrame) -> DataFrame:
     """Sample covariance (a <= b) over months where every asset has a return; also sd_a * sd_b."""
+    ship(returns.sparkSession)
     ordered = common_months(returns)
     vec = ordered.groupBy("asset").agg(F.array_sort(F.collect_list(F.struct("mi", "r"))).alias("s")).select(
         "asset", F.transform("s", lambda x: x["r"]).alias("v"))
@@ -158,36 +162,11 @@ def covariance_pairs(returns: DataFrame) -> DataFrame:
             .applyInPandas(_cov_task, "a string, b string, cov double, sd_ab double"))
 
 
-def _jaccard_task(keys: list[str]) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right = _sides(pdf)
-        vocab = {w: k for k, w in enumerate(sorted({w for ws in pdf.tokens for w in ws}))}
-
-        def matrix(side: pd.DataFrame) -> np.ndarray:
-            m = np.zeros((len(side), max(1, len(vocab))))
-            for k, ws in enumerate(side.tokens):
-                m[k, [vocab[w] for w in ws]] = 1
-            return m
-
-        x, y = matrix(left), matrix(right)
-        both = x @ y.T
-        sim = both / np.maximum(1, x.sum(1)[:, None] + y.sum(1)[None, :] - both)
-        if bool((pdf.lo == pdf.hi).iloc[0]):
-            np.fill_diagonal(sim, np.inf)
-        low = sim.min() if sim.size else np.inf
-        row = pdf.iloc[:1][keys].copy()
-        row["low"] = low if np.isfinite(low) else np.nan
-        return row
-
-    return run
-
-
 def min_jaccard(names: DataFrame, group: str, block: int = BLOCK) -> DataFrame:
-    """Smallest token overlap between two different names of a group; one number leaves each task.
+    """Smallest token overlap between two different names of a group; large groups meet in blocks and one number leaves each task.
 
     ``names`` has one row per (group, distinct token list); copies of a name are dropped before pairing."""
-    dt = dict(names.dtypes)
-    tasks = in_block_pairs(names.select(group, "tokens", F.concat_ws(" ", "tokens").alias("id")), "id", [group], block)
-    lows = tasks.groupBy(group, "lo", "hi").applyInPandas(_jaccard_task([group]), f"{group} {dt[group]}, low double")
-    return lows.where(F.col("low").isNotNull() & ~F.isnan("low")).groupBy(group).agg(F.min("low").alias("min_similarity"))
-
+    side = lambda s: names.select(group, F.concat_ws(" ", "tokens").alias(f"id_{s}"), F.col("tokens").alias(f"_{s}"))
+    pairs = salted(side("a"), side("b"), [group], block).where(F.col("id_a") < F.col("id_b"))
+    same = F.size(F.array_intersect("_a", "_b"))
+    return pairs.groupBy(group).agg(F.min(same / F.greatest(F.lit(1), F.size(F.array_union("_a", "_b")))).alias("min_similarity"))

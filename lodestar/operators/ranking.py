@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from lodestar.operators.overlap import BLOCK, salted
 from lodestar.params import DEFAULTS, Params
 
 
@@ -124,8 +125,8 @@ def cluster_report(u: DataFrame) -> DataFrame:
             .orderBy(F.col("cluster_size").desc(), "cluster_id", F.col("is_rep").desc(), F.col("eff_fee").asc_nulls_last(), "isin"))
 
 
-def cluster_alternates(u: DataFrame, held: DataFrame) -> DataFrame:
-    """Other members of a held instrument's cluster, cheapest first."""
-    h = held.select(F.col("isin").alias("held"), "cluster_id")
-    return (h.join(u, "cluster_id").where(F.col("isin") != F.col("held"))
-            .select("held", "cluster_id", "isin", "fee", "history_years", "r5", "ask_eligible"))
+def cluster_alternates(u: DataFrame, held: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Other members of a held instrument's cluster; large clusters meet in blocks."""
+    h = held.select(F.col("isin").alias("id_a"), "cluster_id")
+    both = salted(h, u.select("cluster_id", F.col("isin").alias("id_b"), "fee", "history_years", "r5", "ask_eligible"), ["cluster_id"], block)
+    return both.where(F.col("id_a") != F.col("id_b")).select(F.col("id_a").alias("held"), "cluster_id", F.col("id_b").alias("isin"), "fee", "history_years", "r5", "ask_eligible")

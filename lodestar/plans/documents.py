@@ -14,7 +14,7 @@ from lodestar.operators.asof import subunit_map_join
 from lodestar.plans.adapters import DUCK, SQL
 from lodestar.plans.registry import query, shared, stage
 from lodestar.session import ensure_checkpoint_dir, stored
-from lodestar.sources import bars, pages, tables
+from lodestar.sources import bars, pages, store, tables
 
 
 # ------------------------------------------------------------------ price store
@@ -26,6 +26,21 @@ def _(t):
     return tables.read_store(t.spark, root, 2000)
 
 
+@query("price_store_tables", "panel divs fx policy", """
+SELECT 'close' AS kind, asset AS key, date, R6(close) AS value FROM panel UNION ALL SELECT 'dividend', asset, date, R6(amount) FROM divs
+UNION ALL SELECT 'fx', currency, date, R6(rate) FROM fx UNION ALL SELECT 'rate', NULL, date, R6(rate) FROM policy""")
+def _(t):
+    """Saved up to 1995, then brought up to date as one version."""
+    ensure_checkpoint_dir(t.spark)
+    root = f"{t.spark.sparkContext.getCheckpointDir()}/store-{uuid.uuid4().hex}"
+    old, new = F.year("date") < 1996, F.year("date") >= 1996
+    store.save(t.spark, root, {"close": t.panel.where(old), "dividend": t.divs.where(old), "fx": t.fx.where(old), "rate": t.policy.where(old)})
+    store.apply(t.spark, root, t.panel.where(new).withColumn("is_full", F.lit(False)), t.divs.where(new), t.fx.where(new), t.policy.where(new))
+    part = lambda table, key, value: store.read(t.spark, root, table).select(F.lit(table).alias("kind"), key.alias("key"), "date", F.col(value).alias("value"))
+    return (part("close", F.col("asset"), "close").unionByName(part("dividend", F.col("asset"), "amount"))
+            .unionByName(part("fx", F.col("currency"), "rate")).unionByName(part("rate", F.lit(None).cast("string"), "rate")))
+
+
 # ------------------------------------------------------------------ delimited text
 @query("fx_csv_source", "fx", """
 SELECT date, currency, R6(rate) AS rate FROM fx WHERE day(date) <> 13""")

@@ -365,7 +365,7 @@ def _(t):
     return rp.probe_summary(t.probe)
 
 
-@query("stratified_sample", "probe", """
+@query("sample_quotas", "probe", """
 WITH g AS (SELECT coalesce(fund_type, 'Ukjent') AS grp, count(*) AS n, (SELECT count(*) FROM probe) AS total FROM probe GROUP BY 1),
 q AS (SELECT *, 40 * n / total AS quota, greatest(floor(40 * n / total), 1) AS base FROM g),
 r AS (SELECT *, row_number() OVER (PARTITION BY base < n ORDER BY quota - floor(quota) DESC, grp) AS rk, 40 - sum(base) OVER () AS rest FROM q)
@@ -373,3 +373,14 @@ SELECT grp AS fund_type, CAST(CASE WHEN base < n AND rk <= rest THEN base + 1 EL
 def _(t):
     from lodestar.operators.sampling import stratified_sample
     return stratified_sample(t.probe, 40, key="fund_type").groupBy("fund_type").agg(F.count(F.lit(1)).alias("sampled"))
+
+
+@query("stratified_sample", "probe", """
+WITH g AS (SELECT coalesce(fund_type, 'Ukjent') AS grp, count(*) AS n, (SELECT count(*) FROM probe) AS total FROM probe GROUP BY 1),
+q AS (SELECT *, 40 * n / total AS quota, greatest(floor(40 * n / total), 1) AS base FROM g),
+r AS (SELECT *, row_number() OVER (PARTITION BY base < n ORDER BY quota - floor(quota) DESC, grp) AS rk, 40 - sum(base) OVER () AS rest FROM q),
+m AS (SELECT *, coalesce(fund_type, 'Ukjent') AS grp, row_number() OVER (PARTITION BY coalesce(fund_type, 'Ukjent') ORDER BY md5('1|' || isin), isin) AS place FROM probe)
+SELECT m.fund_type, m.isin FROM m JOIN r USING (grp) WHERE place <= CASE WHEN base < n AND rk <= rest THEN base + 1 ELSE base END""")
+def _(t):
+    from lodestar.operators.sampling import stratified_sample
+    return stratified_sample(t.probe, 40, key="fund_type").select("fund_type", "isin")

@@ -446,7 +446,7 @@ UNION ALL SELECT scan_id, 'frontier', vb, {_W}, ret, vol, sharpe FROM r WHERE rr
 UNION ALL SELECT scan_id, kind, NULL, {_W}, ret, vol, sharpe FROM q WHERE kind <> 'grid'"""
 
 
-@query("weight_scan", "scan_all", f"SELECT CAST(scan_id AS BIGINT) AS scan_id, kind, bucket, {_RW}, R6(ret) AS ret, R6(vol) AS vol, R6(sharpe) AS sharpe FROM scan_all")
+@query("weight_scan", "scan_all", f"SELECT CAST(scan_id AS BIGINT) AS scan_id, kind, bucket, {_RW}, R6(ret) AS ret, R6(vol) AS vol, R6(sharpe) AS sharpe FROM scan_all", held=True)
 def _(t):
     return t.scan
 
@@ -459,7 +459,7 @@ lohi AS (SELECT t.scan_id, t.target, max(fr.vol) FILTER (fr.vol < t.target) AS v
          FROM tg t JOIN fr ON fr.scan_id = t.scan_id GROUP BY t.scan_id, t.target)
 SELECT CAST(l.scan_id AS BIGINT) AS scan_id, R6(target) AS target, {", ".join(
     f"R6(CASE WHEN va IS NULL THEN b.w{i} WHEN vb IS NULL THEN a.w{i} ELSE a.w{i} + (target - va) / (vb - va) * (b.w{i} - a.w{i}) END) AS w{i}" for i in range(1, N + 1))}
-FROM lohi l LEFT JOIN fr a ON a.scan_id = l.scan_id AND a.vol = va LEFT JOIN fr b ON b.scan_id = l.scan_id AND b.vol = vb""")
+FROM lohi l LEFT JOIN fr a ON a.scan_id = l.scan_id AND a.vol = va LEFT JOIN fr b ON b.scan_id = l.scan_id AND b.vol = vb""", held=True)
 def _(t):
     front = t.scan.where(F.col("kind") == "frontier")
     lim = front.groupBy("scan_id").agg(F.min("vol").alias("lo"), F.max("vol").alias("hi"))

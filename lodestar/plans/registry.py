@@ -18,7 +18,7 @@ RAW = ("region nation customer supplier part orders lineitem events documents em
        "benchmark labels conversations").split()
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_ORACLES: dict[str, tuple[str, str]] = {}
+_ORACLES: dict[str, tuple[str, str, bool]] = {}
 SHARED: dict[str, Callable[["Tables"], DataFrame]] = {}
 
 
@@ -53,8 +53,8 @@ def _rounding(sql: str) -> str:
     return sql
 
 
-def oracle(uses: str, body: str) -> str:
-    """Prefix ``body`` with the WITH chain of every adapter it uses."""
+def oracle(uses: str, body: str, held: bool = False) -> str:
+    """Prefix ``body`` with the WITH chain of every adapter it uses; ``held``: each is worked out once, not where it is used."""
     order: list[str] = []
 
     def visit(name: str) -> None:
@@ -66,7 +66,7 @@ def oracle(uses: str, body: str) -> str:
 
     for name in uses.split():
         visit(name)
-    ctes = [f"{n} AS ({re.sub(r'{(\w+)}', r'\1', adapters.duck(n))})" for n in order]
+    ctes = [f"{n} AS {'MATERIALIZED ' if held else ''}({re.sub(r'{(\w+)}', r'\1', adapters.duck(n))})" for n in order]
     body = body.strip()
     if re.match(r"WITH\b", body):
         m = re.match(r"WITH\s+(RECURSIVE\s+)?", body)
@@ -90,8 +90,8 @@ def stage(fn: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
     return fn
 
 
-def query(name: str, uses: str = "", sql: str | None = None, digits: int = 6):
-    """Register a plan; doubles are rounded to ``digits`` so both engines agree on the value."""
+def query(name: str, uses: str = "", sql: str | None = None, digits: int = 6, held: bool = False):
+    """Register a plan; doubles are rounded to ``digits`` so both engines agree on the value; ``held``: see ``oracle``."""
 
     def wrap(fn: Callable[[Tables], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,7 +100,7 @@ def query(name: str, uses: str = "", sql: str | None = None, digits: int = 6):
 
         QUERIES[name] = run
         if sql is not None:
-            _ORACLES[name] = (uses, sql)
+            _ORACLES[name] = (uses, sql, held)
         return fn
 
     return wrap

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from lodestar.operators.incremental import changed_partitions, refetch_cuts, upsert
 from lodestar.session import stored
+from lodestar.sources import store
 from lodestar.sources.tables import drop_years, read_store, write_store
 
 SCHEMA = "asset string, date date, close double, is_full boolean"
@@ -46,3 +47,23 @@ def run_available(spark: SparkSession, drop_folder: str, root: str, checkpoint:
     files = spark.readStream.schema(SCHEMA).parquet(drop_folder)
     return (files.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
             .foreachBatch(lambda batch, _: apply_batch(spark, root, batch)).start())
+
+
+#: Rows of a feed of all tables: ``kind`` is close, dividend, fx or rate; ``key`` the asset or currency.
+ALL_SCHEMA = "kind string, key string, date date, value double, is_full boolean"
+
+
+def apply_all(spark: SparkSession, root: str, feed: str, batch: DataFrame, number: int) -> None:
+    """Merge one batch of all tables into the versioned store as one version; a batch that is delivered again changes nothing."""
+    rows = stored(batch)
+    of = lambda kind: rows.where(F.col("kind") == kind)
+    name = lambda kind, key, value: of(kind).select(F.col("key").alias(key), "date", F.col("value").alias(value))
+    closes = of("close").select(F.col("key").alias("asset"), "date", F.col("value").alias("close"), F.coalesce("is_full", F.lit(False)).alias("is_full"))
+    store.apply(spark, root, closes, name("dividend", "asset", "amount"), name("fx", "currency", "rate"), of("rate").select("date", F.col("value").alias("rate")), (feed, number))
+
+
+def run_all(spark: SparkSession, drop_folder: str, root: str, checkpoint: str, feed: str = "feed") -> StreamingQuery:
+    """Process every file of all tables that has arrived since the last run, then stop."""
+    files = spark.readStream.schema(ALL_SCHEMA).parquet(drop_folder)
+    return (files.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
+            .foreachBatch(lambda batch, n: apply_all(spark, root, feed, batch, n)).start())

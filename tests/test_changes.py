@@ -1,9 +1,10 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from lodestar.operators import changes as ch, checks, ranking as rk, sampling
+from lodestar.operators import changes as ch, checks, pairs, ranking as rk, sampling
 from tests.conftest import rows
 
 DAY = lambda n: dt.date(2024, 1, n)
@@ -96,3 +97,27 @@ def test_stratified_quotas(spark):
     assert n == {"Aksje": 14, "Rente": 5, "Kombi": 1}
     assert pick(df) == pick(spark.createDataFrame(data[::-1], "isin string, fund_type string"))
     assert sampling.stratified_sample(df, 0).count() == 100 and sampling.stratified_sample(df, 500).count() == 100
+
+
+def test_members_are_those_with_the_smallest_digests(spark):
+    import hashlib
+    rnd = random.Random(4)
+    data = [(f"I{i:05d}", rnd.choice(["a", "a", "a", "b", None, "c"])) for i in range(3000)] + [("I00001", "a")] * 3
+    df = spark.createDataFrame(data, "isin string, fund_type string")
+    for n in (1, 3, 7, 500, 2900):
+        got = sampling.stratified_sample(df, n, seed=9).collect()
+        assert len(got) == n
+        for kind in ("a", "b", None, "c"):
+            order = sorted((hashlib.md5(f"9|{i}".encode()).hexdigest(), i) for i, k in data if k == kind)
+            mine = sorted(r.isin for r in got if r.fund_type == kind)
+            assert mine == sorted(i for _, i in order[:len(mine)])
+
+
+def test_large_clusters_and_names_meet_in_blocks(spark):
+    u = spark.range(300).select(F.col("id").cast("string").alias("isin"), (F.col("id") % 3 == 0).cast("int").alias("cluster_id"), F.lit(0.1).alias("fee"), F.lit(5.0).alias("history_years"),
+                                F.lit(0.1).alias("r5"), F.lit(True).alias("ask_eligible"))
+    got = [(r.held, r.isin) for r in rk.cluster_alternates(u, u.where(F.col("isin").cast("int") % 10 == 0), block=16).collect()]
+    want = [(str(a), str(b)) for a in range(0, 300, 10) for b in range(300) if a != b and (a % 3 == 0) == (b % 3 == 0)]
+    assert sorted(got) == sorted(want)
+    names = spark.range(60).select(F.lit(1).alias("g"), F.array(F.lit("x"), F.concat(F.lit("t"), F.col("id") % 20), F.col("id").cast("string")).alias("tokens"))
+    assert pairs.min_jaccard(names, "g", 8).collect() == pairs.min_jaccard(names, "g").collect() == [(1, 1 / 5)]
