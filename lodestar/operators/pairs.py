@@ -162,6 +162,17 @@ def covariance_pairs(returns: DataFrame) -> DataFrame:
             .applyInPandas(_cov_task, "a string, b string, cov double, sd_ab double"))
 
 
+def selection_covariance(returns: DataFrame, by: list[str], block: int = BLOCK) -> DataFrame:
+    """(by, a, b, cov, sd_ab) with a <= b inside each selection, over its own months, so one young instrument shortens no other selection's
+    window. ``returns`` holds every month of a selection for each of its assets. One array per asset; large selections meet in blocks."""
+    per = returns.groupBy(*by, "asset").agg(F.array_sort(F.collect_list(F.struct("mi", "r"))).alias("s"), F.avg("r").alias("m"), F.stddev_samp("r").alias("sd"))
+    vec = per.select(*by, "asset", F.transform("s", lambda x: x["r"] - F.col("m")).alias("v"), "sd")
+    side = lambda s: vec.select(*by, F.col("asset").alias(f"id_{s}"), F.col("v").alias(f"v_{s}"), F.col("sd").alias(f"sd_{s}"))
+    both = salted(side("a"), side("b"), by, block).where(F.col("id_a") <= F.col("id_b"))
+    cov = F.aggregate(F.zip_with("v_a", "v_b", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x) / (F.size("v_a") - 1)
+    return both.select(*by, F.col("id_a").alias("a"), F.col("id_b").alias("b"), cov.alias("cov"), (F.col("sd_a") * F.col("sd_b")).alias("sd_ab"))
+
+
 def min_jaccard(names: DataFrame, group: str, block: int = BLOCK) -> DataFrame:
     """Smallest token overlap between two different names of a group; large groups meet in blocks and one number leaves each task.
 

@@ -67,11 +67,12 @@ def shrinkage(returns: DataFrame, by: Sequence[str] = ()) -> DataFrame:
                     F.coalesce("rbar", F.lit(0.0)).alias("rbar"), delta.alias("delta"))
 
 
-def shrunk_covariance(pairs: DataFrame, scalars: DataFrame) -> DataFrame:
-    """Shrink a covariance pair table towards constant correlation; variances stay."""
-    s = scalars.select(F.struct("rbar", "delta")).scalar()
+def shrunk_covariance(pairs: DataFrame, scalars: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Shrink a covariance pair table towards constant correlation, each selection ``by`` by its own scalars; variances stay."""
+    s = scalars.select(*by, F.struct("rbar", "delta").alias("s"))
     shrunk = F.col("s.delta") * F.col("s.rbar") * F.col("sd_ab") + (1 - F.col("s.delta")) * F.col("cov")
-    return (pairs.withColumn("s", s).select("a", "b", "cov", F.when(F.col("a") == F.col("b"), F.col("cov")).otherwise(shrunk).alias("shrunk")))
+    pairs = pairs.join(s, list(by)) if by else pairs.withColumn("s", s.scalar())
+    return pairs.select(*by, "a", "b", "cov", F.when(F.col("a") == F.col("b"), F.col("cov")).otherwise(shrunk).alias("shrunk"))
 
 
 def estimate(returns: DataFrame, bench: DataFrame, costs: DataFrame, rf_now: Column, p: Params = DEFAULTS, by: Sequence[str] = ()) -> DataFrame:

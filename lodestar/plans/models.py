@@ -338,6 +338,19 @@ def est_s(t):
     return pf.estimate(t.sel, t.mret.where(F.col("asset") == BENCH).select("mi", "r"), t.asset_cost, rf_now, by=["portfolio_id"])
 
 
+DUCK["mom_su"], _s = _lw("SELECT portfolio_id, asset, mi, r FROM {sel}", "portfolio_id")
+DUCK["lw_su"] = _s.replace("{mom}", "{mom_su}")
+
+
+@query("selection_covariance", "mom_su lw_su", """
+SELECT m.portfolio_id, m.a, m.b, R8(m.s) AS cov, R8(CASE WHEN m.a = m.b THEN m.s ELSE l.delta * l.rbar * sqrt(x.s * y.s) + (1 - l.delta) * m.s END) AS shrunk
+FROM mom_su m JOIN mom_su x ON x.a = m.a AND x.b = m.a AND x.portfolio_id = m.portfolio_id JOIN mom_su y ON y.a = m.b AND y.b = m.b AND y.portfolio_id = m.portfolio_id
+JOIN lw_su l ON l.portfolio_id = m.portfolio_id WHERE m.a <= m.b""", digits=8)
+def _(t):
+    by = ["portfolio_id"]
+    return pf.shrunk_covariance(pairs.selection_covariance(t.sel, by), pf.shrinkage(t.sel, by), by)
+
+
 @query("selection_estimate", "est_s", "SELECT portfolio_id, asset, R6(sd) AS sd, R6(beta) AS beta, R6(hist) AS hist, R6(mu) AS mu FROM est_s")
 def _(t):
     return t.est_s.select("portfolio_id", "asset", "sd", "beta", "hist", "mu")

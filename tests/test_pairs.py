@@ -245,3 +245,23 @@ def test_pivots_of_empty_and_single_tables(spark):
     none = spark.createDataFrame([], "asset string, period long, r double")
     assert pairs.te_pairs(none).collect() == []
     assert pairs.te_pairs(returns(spark, {"a": [0.1, 0.2, 0.3]})).collect() == []
+
+
+@pytest.mark.parametrize("block", [2, 512])
+def test_covariance_of_each_selection_over_its_own_months(spark, block):
+    rnd = np.random.default_rng(11)
+    r = {a: rnd.normal(0, 0.04, 30) for a in "abcdef"}
+    chosen = {1: ("abc", 0), 2: ("bcdef", 18), 3: ("f", 0)}                    # the second selection holds a young one
+    rows_ = [(k, a, m, float(r[a][m])) for k, (names, since) in chosen.items() for a in names for m in range(since, 30)]
+    df = spark.createDataFrame(rows_, "portfolio_id int, asset string, mi int, r double")
+    got = {(x.portfolio_id, x.a, x.b): (x.cov, x.shrunk) for x in pf.shrunk_covariance(
+        pairs.selection_covariance(df, ["portfolio_id"], block), pf.shrinkage(df, ["portfolio_id"]), ["portfolio_id"]).collect()}
+    delta = {x.portfolio_id: (x.rbar, x.delta) for x in pf.shrinkage(df, ["portfolio_id"]).collect()}
+    want = {}
+    for k, (names, since) in chosen.items():
+        c = np.atleast_2d(np.cov(np.stack([r[a][since:] for a in names])))
+        for i, j in itertools.combinations_with_replacement(range(len(names)), 2):
+            rbar, d = delta[k]
+            shrunk = c[i, j] if i == j else d * rbar * math.sqrt(c[i, i] * c[j, j]) + (1 - d) * c[i, j]
+            want[k, names[i], names[j]] = (pytest.approx(c[i, j]), pytest.approx(shrunk))
+    assert got == want
