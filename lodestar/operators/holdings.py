@@ -123,10 +123,14 @@ def both_ways(pairs: DataFrame) -> DataFrame:
 
 
 def similar_within(alloc: DataFrame, p: Params = DEFAULTS) -> DataFrame:
-    """Scored pairs (id_a, id_b, in both directions) that own nearly the same: found by one region and one sector of their prefixes."""
+    """Scored pairs (id_a, id_b, in both directions) that own nearly the same: found by one region and one sector of their prefixes,
+    checked by all regions, then all sectors; what is left is scored by everything."""
     rec = stored(records(alloc).withColumnRenamed("isin", "id"))
     index = stored(overlap.lists(alloc.where(F.col("kind") != "top")))
-    return both_ways(scored(overlap.reaching(index, {"reg": p.twin_reg, "sec": p.twin_sec}), rec).where(is_twin(p)))
+    side = lambda s: rec.select(*[F.col(c).alias(f"{c}_{s}") for c in ("id", "reg", "sec")])
+    near = overlap.reaching(index, {"reg": p.twin_reg, "sec": p.twin_sec}).join(side("a"), "id_a").join(side("b"), "id_b")
+    near = near.where(_common("reg_a", "reg_b") >= p.twin_reg - overlap.SLACK).where(_common("sec_a", "sec_b") >= p.twin_sec - overlap.SLACK)
+    return both_ways(scored(near.select("id_a", "id_b"), rec).where(is_twin(p)))
 
 
 def is_twin(p: Params = DEFAULTS) -> Column:

@@ -58,16 +58,21 @@ def _first_common(a: str, b: str, label: str) -> Column:
 
 
 def reaching(index: DataFrame, least: dict[str, float], block: int = BLOCK) -> DataFrame:
-    """(id_a < id_b): all pairs that overlap by ``least`` in every one of these kinds (reg, sec, ast), and some that don't."""
+    """(id_a < id_b): all pairs that overlap by ``least`` in every one of these kinds (reg, sec, ast), and some that don't.
+
+    Shares add up to 1, so an overlap is at most 1 less the difference in any one label: pairs too far apart in the label they
+    meet on are left out at once."""
     rows = None
     for k, t in least.items():
-        part = index.where(F.col("kind") == k).select("id", _prefix(t).alias(f"_{k}"))
-        part = part.withColumn(f"l_{k}", F.explode(f"_{k}"))
+        part = index.where(F.col("kind") == k).select("id", _prefix(t).alias(f"__{k}"), F.explode(F.filter("labels", lambda x: x["rest"] >= t - SLACK)).alias("x"))
+        part = part.select("id", f"__{k}", F.col("x.label").alias(f"l_{k}"), F.col("x.share").alias(f"w_{k}"))
         rows = part if rows is None else rows.join(part, "id")
     keys = [f"l_{k}" for k in least]
-    side = lambda s: rows.select(*keys, F.col("id").alias(f"id_{s}"), *[F.col(f"_{k}").alias(f"_{k}_{s}") for k in least])
+    side = lambda s: rows.select(*keys, F.col("id").alias(f"id_{s}"), *[F.col(f"{c}_{k}").alias(f"{c}_{k}_{s}") for k in least for c in ("_", "w")])
     both = salted(side("a"), side("b"), keys, block).where(F.col("id_a") < F.col("id_b"))
-    return both.where(reduce(lambda x, y: x & y, [_first_common(f"_{k}_a", f"_{k}_b", f"l_{k}") for k in least])).select("id_a", "id_b")
+    close = [F.abs(F.col(f"w_{k}_a") - F.col(f"w_{k}_b")) <= 1 - t + SLACK for k, t in least.items()]
+    first = [_first_common(f"__{k}_a", f"__{k}_b", f"l_{k}") for k in least]
+    return both.where(reduce(lambda x, y: x & y, [*close, *first])).select("id_a", "id_b")
 
 
 def reaching_top(index: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
