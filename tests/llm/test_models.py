@@ -220,3 +220,26 @@ def test_empty_training(spark):
     got = recurrent.score_documents(df, df["doc_id"] < 0).collect()
     assert {(r.n_tokens, r.n_known, r.train_tokens, r.base_score, round(r.score, 9)) for r in got} == {(3, 0, 0, 0.0, 0.0), (1, 0, 0, 0.0, 0.0)}
     assert recurrent.score_documents(df.where("false"), df["doc_id"] > 0).count() == 0
+
+
+def test_few_long_texts_train_the_network(spark):
+    """Every word is more frequent than the ends of texts, by far: the end has its place, the weights move and the scores beat the base."""
+    r = random.Random(21)
+    texts = []
+    for _ in range(20):
+        words = ["w0"]
+        for _ in range(402):
+            words.append(f"w{(int(words[-1][1:]) * 7 + r.choice([1, 1, 1, 2])) % 100}")
+        texts.append(" ".join(words))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    m = recurrent.Recurrent(vocabulary=60, known=80, classes=8)
+    c = recurrent.gather(recurrent.count_tokens(df), m)
+    at, there = recurrent._look(c, np.array([recurrent.END], np.uint64))
+    assert there[0] and c.word[at[0]] == 59 and sorted(c.word[c.word < 60]) == list(range(60)) and c.counts[at[0]] == 20
+    frequency = np.zeros(60)
+    frequency[c.word[c.word < 60]] = c.counts[c.word < 60]
+    w, starts = recurrent.fit(df, c, m)
+    fresh = recurrent.initial(frequency, max(0, c.total - frequency.sum()) + 1, starts, m)
+    assert any(np.abs(w[k] - fresh[k]).max() > 1e-3 for k in w)
+    got = recurrent.score_documents(df, df["doc_id"] >= 0, model=m).collect()
+    assert sum(x.score > x.base_score for x in got) >= 18
