@@ -175,7 +175,9 @@ def manifest(rows: DataFrame, fields: list[str] | None = None, group: str = "lan
     """One row per row of ``rows``: ``key``, ``leaf``, ``subroot``, ``root`` and ``proof``, the siblings at each level as
     struct(before, after), lowest first; ``fold(leaf, proof)`` gives the root. ``carried``: more columns of short values."""
     carried = carried or {}
-    own = stored(blocks(ranked(leaves(rows, fields or FIELDS, group, key, carried)), fanout, levels))
+    # written first: sorting samples them, and the texts are read and hashed once
+    short = stored(leaves(rows, fields or FIELDS, group, key, carried))
+    own = stored(blocks(ranked(short), fanout, levels))
     above = exchange(own.select("grp", "block", "root"), fanout)
     above = above.select(F.col("grp").alias("_g"), F.col("block").alias("_b"), "subroot", F.col("root").alias("_root"), "path")
     joined = own.join(above, F.col("grp").eqNullSafe(F.col("_g")) & (F.col("block") == F.col("_b")))
