@@ -13,7 +13,9 @@ from lodestar.plans import QUERIES
 SF = os.environ.get("SF_DIR", "/root/testdata/sf0.01")
 CORE = ["spike_removal", "total_return_index", "asof_backward", "monthly_returns", "performance_stats", "risk_story", "te_edges", "estimate_mu_beta",
         "portfolio_perf", "calendar_rebalance_returns", "change_log", "master_merge", "representatives", "etf_filter", "content_similarity",
-        "look_through", "overlap_pairs", "universe_build", "list_ingest", "te_clusters", "coverage_report", "classify_region", "normalise_rows", "csv_export"]
+        "look_through", "overlap_pairs", "universe_build", "list_ingest", "te_clusters", "coverage_report", "classify_region", "normalise_rows", "csv_export",
+        "twin_theta_join", "content_twins", "rate_twins", "proxy_choice", "stratified_sample", "price_store_tables", "json_field_report", "selection_covariance",
+        "pair_self_join", "cluster_stats", "cluster_alternates", "name_control", "weight_scan"]
 
 
 @pytest.fixture(scope="module")
