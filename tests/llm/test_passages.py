@@ -67,14 +67,42 @@ def test_leaks_match_exact_edit_distances(spark):
             assert r.distance == within(bare(item[i]), bare(text[d])[r.start:r.start + r.length])
 
 
+def test_recall_of_long_items_with_edits_of_one_kind(spark):
+    r = random.Random(7)
+    vocab = [f"{a}{b}" for a in "abcdefgh" for b in range(400)]
+    sizes, kinds, trials = (30, 60, 100, 200, 400), "sidm", 20
+    items, rows = [], []
+    for size in sizes:
+        for kind in kinds:
+            for _ in range(trials):
+                w = [r.choice(vocab) for _ in range(size)]
+                items.append((len(items), " ".join(w)))
+                d = size // 5
+                if kind == "m":
+                    for _ in range(d):
+                        p, op = r.randrange(len(w)), r.choice("sid")
+                        w[p:p + 1] = [] if op == "d" else [r.choice(vocab)] if op == "s" else [w[p], r.choice(vocab)]
+                else:
+                    for p in sorted(r.sample(range(1, size - 1), d), reverse=True):
+                        w[p:p + 1] = [] if kind == "d" else [r.choice(vocab)] if kind == "s" else [r.choice(vocab), w[p]]
+                rows.append((len(rows), " ".join([*r.choices(vocab, k=r.randrange(40)), *w, *r.choices(vocab, k=r.randrange(40))])))
+    got = {(x.doc_id, x.item_id): x for x in dc.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert all(d == i for d, i in got)
+    for k in range(len(sizes) * len(kinds)):
+        found = [got[i, i] for i in range(k * trials, (k + 1) * trials) if (i, i) in got]
+        assert len(found) >= 0.95 * trials, (sizes[k // len(kinds)], kinds[k % len(kinds)], len(found))
+        for x in found[:2]:
+            assert x.distance == within(bare(items[x.item_id][1]), bare(rows[x.doc_id][1])[x.start:x.start + x.length])
+
+
 def test_embedding_keeps_close_sequences_close():
     r = np.random.default_rng(1)
     a = r.integers(1, 1 << 62, (200, 40)).astype(np.uint64)
     b = a.copy()
     b[np.arange(200), r.integers(0, 40, 200)] = 5
     leak = dc.Leak()
-    near = (dc.embed(a, leak) == dc.embed(b, leak)).mean()
-    far = (dc.embed(a, leak) == dc.embed(a[::-1], leak)).mean()
+    near = (dc.embed(a, leak, 10) == dc.embed(b, leak, 10)).mean()
+    far = (dc.embed(a, leak, 10) == dc.embed(a[::-1], leak, 10)).mean()
     assert near > 0.4 and far < 0.01
 
 
