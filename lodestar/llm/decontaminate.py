@@ -8,14 +8,14 @@ bit of (j, word) says so; sequences at a small edit distance emit the same words
 gives ``samples`` keys from ``bits`` sampled steps each; a window and a piece with an equal key are a candidate. ``walks`` is the number of
 walks that reach ``recall`` on random sequences of that size with as many edits as allowed, be they replacements, deletions or
 insertions. The exact edit distance decides: the whole item is compared with the text around the window, its beginning free within d
-words, and leaks where some part of the text is within ``max_edits`` of its words.
+words or more, and leaks where some part of the text is within ``max_edits`` of its words.
 
 Windows that cannot qualify are left out first, without loss: a piece within d edits of a text keeps all but 2d of its
 different neighbouring word pairs. Two fixed-size bit tables of the benchmark's pairs and words (all, and
 pairs by piece size) test that.
 
 Items without a word are ignored; null and empty texts have no window; no item means no leak. A very long text is read whole, window by
-window; a window carries about 2.2 times the words of the longest item that has a piece of its size. Texts with equal doc_id and
+window; a window carries at most about 2.8 times the words of the longest item that has a piece of its size. Texts with equal doc_id and
 text share one key, rows with equal doc_id and other texts are told apart. All columns stay with ``remove_leaks``.
 """
 
@@ -224,7 +224,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
     edits = lambda n: F.floor(n * leak.max_edits + 1e-9)
     # the words before and after a window's start that its items reach, by piece size: at most leak.piece rows
     around = {r["n"]: (r["lead"], r["tail"]) for r in pieces.groupBy("n").agg(
-        F.max(F.col("offset") + edits(F.col("size"))).alias("lead"), F.max(F.col("size") - F.col("offset") + 2 * edits(F.col("size"))).alias("tail")).collect()}
+        F.max(F.col("offset") + 2 * edits(F.col("size"))).alias("lead"), F.max(F.col("size") - F.col("offset") + 3 * edits(F.col("size"))).alias("tail")).collect()}
     shipped = docs.sparkSession.sparkContext.broadcast((_tables(pieces, leak), around, {n: walks(n, leak) for n in around}))     # 2 x leak.table bits
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,10 +267,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
     item_kind = items.schema["item_id"].dataType.simpleString()
     keyed = map_arrow(pieces, key_pieces, f"item_id {item_kind}, offset long, key long")
     near = found.select("window", F.explode("keys").alias("key")).join(keyed, "key").select("window", "item_id", "offset").distinct()
-    # one comparison for each place where the item would begin, whichever pieces found it
-    places = near.join(found.select("window", "doc_key", "start"), "window").withColumn("at", F.col("start") - F.col("offset"))
+    # one comparison for each d + 1 places where the item would begin, whichever pieces found them
+    near = near.join(found.select("window", "doc_key", "start"), "window").join(items.select("item_id", "size"), "item_id")
+    step = edits(F.col("size")) + 1
+    places = near.withColumn("at", F.floor((F.col("start") - F.col("offset")) / step) * step)
     places = places.groupBy("doc_key", "item_id", "at").agg(F.min("window").alias("window")).select("window", "item_id", "at")
-    pairs = places.join(found.select("window", "doc_id", "doc_key", "first", "words"), "window").join(items.select("item_id", "size", "whole"), "item_id")
+    pairs = places.join(found.select("window", "doc_id", "doc_key", "first", "words"), "window").join(items, "item_id")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -280,7 +282,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
             for size in np.unique(n):
                 same = np.flatnonzero(n == size)
                 d = int(_allowed(size, leak))
-                width = int(size) + 3 * d
+                width = int(size) + 4 * d
                 some = max(1, 500_000 // width)
                 for k in range(0, len(same), some):
                     these = same[k:k + some]
@@ -288,7 +290,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
                     b = np.zeros((len(these), width), np.uint64)
                     begin = np.maximum(at[these] - d - first[these], 0)
                     for j, i in enumerate(these):
-                        part = np.frombuffer(texts[int(i)].as_buffer(), np.uint64)[begin[j]:at[i] - first[i] + int(size) + 2 * d]
+                        part = np.frombuffer(texts[int(i)].as_buffer(), np.uint64)[begin[j]:max(0, at[i] - first[i] + int(size) + 3 * d)]
                         b[j, :len(part)] = part
                     dist[these], low, high = distances(a, b)
                     start[these], length[these] = first[these] + begin + low, high - low
