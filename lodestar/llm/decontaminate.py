@@ -149,6 +149,12 @@ def item_pieces(items: DataFrame, leak: Leak) -> DataFrame:
     return map_arrow(items, each, f"item_id {kind}, size long, offset long, n long, pairs long, item binary")
 
 
+def _kept(item: np.ndarray, text: np.ndarray) -> int:
+    """Different pairs of the item that the text holds, less all of them."""
+    own = np.unique(_pairs(item))
+    return int(np.isin(own, _pairs(text)).sum()) - len(own)
+
+
 def _tables(items: DataFrame, leak: Leak) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Bit tables of all pairs and of (pair, size), the piece sizes and the fewest pairs of a piece of each.
     The driver gets at most two tables of ``leak.table`` bits and one row for each of at most ``leak.piece`` sizes."""
@@ -292,8 +298,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
                     for j, i in enumerate(these):
                         part = np.frombuffer(texts[int(i)].as_buffer(), np.uint64)[begin[j]:max(0, at[i] - first[i] + int(size) + 3 * d)]
                         b[j, :len(part)] = part
-                    dist[these], low, high = distances(a, b)
-                    start[these], length[these] = first[these] + begin + low, high - low
+                    if size > leak.piece:             # one piece is alike: does the rest keep enough pairs?
+                        fit = np.array([_kept(x, y) >= -2 * d for x, y in zip(a, b, strict=True)])
+                        these, a, b, begin = these[fit], a[fit], b[fit], begin[fit]
+                    if len(these):
+                        dist[these], low, high = distances(a, b)
+                        start[these], length[these] = first[these] + begin + low, high - low
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("doc_id", "doc_key", "item_id")], pa.array(start), batch.column("size"), pa.array(length), pa.array(dist)],
                                              ["doc_id", "doc_key", "item_id", "start", "n", "length", "distance"])
 
