@@ -1,8 +1,8 @@
 """Secret scan with character Markov models (DataFrame functions only).
 
-Base patterns find assignments of secrets, access keys and hexadecimal strings. The method adds ``random`` spans: maximal
-runs of ``[A-Za-z0-9+/_=-]`` that overlap no base span and that a Markov model of random strings explains better than one of
-ordinary identifiers. Both models count pairs of neighbouring characters: the first in the values of base spans (plus an even
+Base patterns find assignments of secrets, access keys and hexadecimal strings. The method adds ``random`` spans: base
+spans are cut out of the maximal runs of ``[A-Za-z0-9+/_=-]``; a piece that is left is a span if a Markov model of random strings explains
+it better than one of ordinary identifiers, else its best stretches are, those whose ratio is high enough although words are joined to them. Both models count pairs of neighbouring characters: the first in the values of base spans (plus an even
 prior: a random string may hold any character), the second in runs shaped as words of a bounded sample of documents, outside base spans.
 
 Positions are code points, ends exclusive. A null or empty text has no span; a table without base spans or identifiers still
@@ -127,6 +127,59 @@ def ratio_of(value: Column, table: list[float]) -> Column:
     return total / (F.length(value) - 1)
 
 
+def _pieces_of(run: Column, base: Column) -> Column:
+    """What base spans leave of a run: array of struct(start, end, value)."""
+    kind = "array<struct<start:int,end:int>>"
+    gap = lambda a, b: F.when(a < b, F.array(F.struct(a.alias("start"), b.alias("end")))).otherwise(F.array().cast(kind))
+    inside = F.filter(base, lambda b: (b["start"] < run["end"]) & (run["start"] < b["end"]))
+    zero = F.struct(run["start"].alias("at"), F.array().cast(kind).alias("left"))
+    left = F.aggregate(inside, zero, lambda a, b: F.struct(F.greatest(a["at"], b["end"]).alias("at"), F.concat(a["left"], gap(a["at"], b["start"])).alias("left")),
+                       lambda a: F.concat(a["left"], gap(a["at"], run["end"])))
+    return F.transform(left, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.substr(run["value"], x["start"] - run["start"] + 1, x["end"] - x["start"]).alias("value")))
+
+
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _stretches(piece: Column, table: Column, scan: Scan) -> Column:
+    """Stretches of ``min_length`` or more characters whose mean ratio reaches ``min_ratio``, from left to right without overlap: one pass
+    that keeps the running sum of what exceeds it (``lead``), the same sum ``min_length`` characters earlier (``lag``) and its least value (``low``)."""
+    kind = "array<struct<start:int,end:int>>"
+    span = lambda a: F.struct((piece["start"] + a["from"]).alias("start"), (piece["start"] + a["to"]).alias("end"))
+    zero = F.struct(F.lit(0.0).alias("lead"), F.lit(0.0).alias("lag"), F.lit(0.0).alias("low"), F.lit(-1).alias("low_at"), F.lit(-1.0).alias("best"),
+                    F.lit(0).alias("from"), F.lit(0).alias("to"), F.lit(0).alias("clear"), F.array().cast(kind).alias("found"))
+
+    def scanned(c: Column) -> Column:
+        over = lambda i: table[c[i] * SIZE + c[i + 1]] - F.lit(scan.min_ratio)
+
+        def step(a: Column, i: Column) -> Column:
+            first = i + 2 - scan.min_length            # the latest beginning of a stretch that ends with pair i
+            sums = F.struct((a["lead"] + over(i)).alias("lead"), F.when(first > 0, a["lag"] + over(first - 1)).otherwise(a["lag"]).alias("lag"))
+
+            def lowest(s: Column) -> Column:
+                new = (first >= a["clear"]) & ((a["low_at"] < 0) | (s["lag"] < a["low"]))
+                return _let(F.struct(s["lead"].alias("lead"), s["lag"].alias("lag"), F.when(new, s["lag"]).otherwise(a["low"]).alias("low"), F.when(new, first).otherwise(a["low_at"]).alias("low_at")), scored)
+
+            def scored(s: Column) -> Column:
+                return _let(F.struct(s["lead"].alias("lead"), s["lag"].alias("lag"), s["low"].alias("low"), s["low_at"].alias("low_at"),
+                                     F.when(s["low_at"] >= 0, s["lead"] - s["low"]).otherwise(F.lit(-1.0)).alias("score")), moved)
+
+            def moved(s: Column) -> Column:
+                better, over_now = (s["score"] >= 0) & (s["score"] > a["best"]), (s["score"] < 0) & (a["best"] >= 0)
+                return F.struct(s["lead"].alias("lead"), s["lag"].alias("lag"), s["low"].alias("low"), F.when(over_now, F.lit(-1)).otherwise(s["low_at"]).alias("low_at"),
+                                F.when(over_now, F.lit(-1.0)).when(better, s["score"]).otherwise(a["best"]).alias("best"),
+                                F.when(better, s["low_at"]).otherwise(a["from"]).alias("from"), F.when(better, i + 2).otherwise(a["to"]).alias("to"),
+                                F.when(over_now, a["to"]).otherwise(a["clear"]).alias("clear"), F.when(over_now, F.concat(a["found"], F.array(span(a)))).otherwise(a["found"]).alias("found"))
+
+            return _let(sums, lowest)
+
+        return F.aggregate(F.sequence(F.lit(0), F.size(c) - 2), zero, step, lambda a: F.when(a["best"] >= 0, F.concat(a["found"], F.array(span(a)))).otherwise(a["found"]))
+
+    return _let(F.transform(F.split(piece["value"], ""), _code), scanned)
+
+
 def find_secrets(docs: DataFrame, text: str = "text", scan: Scan = Scan(), table: list[float] | None = None) -> DataFrame:
     """All rows and columns, with ``base`` and ``secrets``: arrays of struct(kind, start, end), ordered by start, then kind."""
     table = learn_ratio(docs, text, scan) if table is None else table
@@ -138,8 +191,11 @@ def _found(docs: DataFrame, scan: Scan, table: list[float]) -> DataFrame:
     t = F.coalesce(F.col(text), F.lit(""))
     run = f"{RUN}{{{scan.min_length},}}"
     out = _scan(base_spans(docs, text), t, run, t.rlike(run), "_runs")
-    clear = lambda s: ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    added = F.filter("_runs", lambda s: clear(s) & (ratio_of(s["value"], table) >= scan.min_ratio))
+    left = F.filter(F.flatten(F.transform("_runs", lambda s: _pieces_of(s, F.col("_base")))), lambda s: F.length(s["value"]) >= scan.min_length)
+    out = out.withColumn("_left", left)
+    whole = lambda s: F.array(F.struct(s["start"].alias("start"), s["end"].alias("end")))
+    added = F.flatten(F.transform("_left", lambda s: F.when(ratio_of(s["value"], table) >= scan.min_ratio, whole(s)).otherwise(_stretches(s, F.lit(table), scan))))
+    added = F.transform(added, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit("").alias("value")))
     named = lambda spans: F.transform(spans, lambda s: F.struct(F.element_at(F.array(*map(F.lit, KINDS)), s["kind"] + 1).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     out = out.withColumn("_all", F.sort_array(F.concat("_base", _tagged(added, 3))))
     return out.withColumns({"base": named(F.col("_base")), "secrets": named(F.col("_all"))})
