@@ -50,29 +50,6 @@ def test_random_strings_are_told_from_identifiers(spark):
     assert out[2000] == "" and not any("random" in out[k] for k in range(200))
 
 
-def test_keys_joined_to_words_or_base_spans_are_found(spark):
-    r = random.Random(5)
-    vocab = ["manager", "handler", "account", "process", "network", "connection", "number", "buffer", "service", "storage"]
-    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
-    table = secrets.learn_ratio(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
-    rows, keys = [(k, " and ".join("_".join(r.choices(vocab, k=4)) for _ in range(5))) for k in range(200)], {}
-    for n in range(7):
-        for k in range(30):
-            key = "".join(r.choices(alphabet, k=24))
-            text = "see " + "/".join([*r.choices(vocab, k=n // 2), key, *r.choices(vocab, k=n - n // 2)]) + " there"
-            keys[1000 + 100 * n + k] = text.index(key)
-            rows.append((1000 + 100 * n + k, text))
-    twice = ["".join(r.choices(alphabet, k=40)) for _ in range(2)]
-    rows += [(3000, f"id 0123456789abcdef0123_{twice[0]}"), (3001, "/".join([twice[0], *vocab * 4, twice[1]]))]
-    out = secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string"), table=table)
-    spans = {x.doc_id: [(s.start, s.end) for s in x.secrets if s.kind == "random"] for x in out.collect()}
-    for n in range(7):
-        ids = [1000 + 100 * n + k for k in range(30)]
-        assert sum(any(min(e, keys[i] + 24) - max(s, keys[i]) >= 16 for s, e in spans[i]) for i in ids) >= 27, n
-    assert len(spans[3000]) == 1 and spans[3000][0][1] >= 60 and len(spans[3001]) == 2
-    assert not any(spans[k] for k in range(200))
-
-
 def test_secret_scan_of_odd_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string, secrets int, _base int")
     got = secrets.find_secrets(none)
