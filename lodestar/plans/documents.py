@@ -118,7 +118,9 @@ def state_pages(t):
     script = F.when(F.col("page_id") % 3 == 1, F.concat(F.lit('<script>window.state="'), quoted, F.lit('"</script>'))).otherwise(
         F.concat(F.lit("<script>window.state="), state, F.lit("</script>")))
     decoy = F.lit('{"total_hits": 5, "results": [{"headline": "no instrument"}]}')
-    return t.pages.join(per.withColumn("script", script).select("page_id", "script"), "page_id", "left").select("page_id", F.concat("html", decoy, F.coalesce("script", F.lit(""))).alias("html"))
+    # Spark guesses the texts' size from the numbers they are made of: never by way of the driver
+    made = per.withColumn("script", script).select("page_id", "script").hint("merge")
+    return t.pages.join(made, "page_id", "left").select("page_id", F.concat("html", decoy, F.coalesce("script", F.lit(""))).alias("html"))
 
 
 @stage

@@ -208,3 +208,11 @@ def test_files_are_read_back_as_written(spark, tmp_path):
     tables.write_json(spark.createDataFrame([(1, float("nan")), (2, 0.5)], "id long, x double"), f"{tmp_path}/rows")
     assert sorted(map(tuple, spark.read.schema("id long, x double").json(f"{tmp_path}/rows").collect())) == [(1, None), (2, 0.5)]
     assert any('"x":null' in r.value for r in spark.read.text(f"{tmp_path}/rows").collect())
+
+
+def test_texts_of_pages_stay_out_of_the_driver(spark):
+    from lodestar.plans.registry import Tables
+    plan = Tables(spark, "/root/testdata/sf0.01").state_pages._jdf.queryExecution().executedPlan().toString()
+    assert "LeftOuter" in plan and not [x for x in plan.splitlines() if "BroadcastHashJoin" in x and "LeftOuter" in x]
+    leaves = pages.unfolded(spark.createDataFrame([(1, '{"a": {"b": 1}}')], "k long, json string"), "json")
+    assert leaves.select("_row.*").columns == ["k"]          # a leaf does not carry its whole record
