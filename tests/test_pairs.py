@@ -265,3 +265,15 @@ def test_covariance_of_each_selection_over_its_own_months(spark, block):
             shrunk = c[i, j] if i == j else d * rbar * math.sqrt(c[i, i] * c[j, j]) + (1 - d) * c[i, j]
             want[k, names[i], names[j]] = (pytest.approx(c[i, j]), pytest.approx(shrunk))
     assert got == want
+
+
+def test_shrinkage_adds_up_blocks_and_makes_no_row_of_a_product(spark):
+    rnd = random.Random(4)
+    data = [(p, f"a{i}", m, rnd.gauss(0.01, 0.05)) for p, n, t in ((1, 9, 20), (2, 3, 15), (3, 1, 12)) for i in range(n) for m in range(t)]
+    df = spark.createDataFrame(data, "portfolio_id long, asset string, mi long, r double")
+    numbers = lambda block: {x.portfolio_id: (x.n_assets, x.n_months, x.rbar, x.delta) for x in pf.shrinkage(df, ["portfolio_id"], block).collect()}
+    whole, parts = numbers(512), numbers(2)
+    assert set(whole) == {1, 2, 3} and whole[1][:2] == (9, 20) and all(parts[k] == pytest.approx(v) for k, v in whole.items())
+    one = pf.shrinkage(df.where("portfolio_id = 1")).first()
+    assert (one.rbar, one.delta) == pytest.approx(whole[1][2:])
+    assert pf.shrinkage(df, ["portfolio_id"])._jdf.queryExecution().executedPlan().toString().count("Generate ") <= 1
