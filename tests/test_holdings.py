@@ -243,3 +243,18 @@ def test_proxy_is_the_longest_history_near_the_best(spark):
             assert got[i] == (pick[2], pytest.approx(pick[1])), i
         else:
             assert got[i][1] == 0.0
+
+
+def test_copies_of_a_fund_are_compared_once(spark, monkeypatch):
+    """Every fund ten times, weights apart in their last digits: as many pairs are scored as without copies, and no pair is lost."""
+    funds = mixed_funds(random.Random(5), 30)
+    many = {f"{f}-{k}": {x: {n: v * (1 + k * 1e-15) for n, v in m.items()} for x, m in r.items()} for f, r in funds.items() for k in range(10)}
+    compared, plain = [], ho.scored
+    monkeypatch.setattr(ho, "scored", lambda pairs, rec: (compared.append(pairs.count()), plain(pairs, rec))[1])
+    got = {(r.id_a, r.id_b): r.score for r in ho.similar_pairs(long(spark, many), 0.41237).collect()}
+    want = {(a, b): s for a, b in itertools.combinations(sorted(many), 2) if (s := plain_score(many[a], many[b])) is not None and s >= 0.41237}
+    assert got == {p: pytest.approx(s) for p, s in want.items()} and compared[0] <= 30 * 31 / 2
+    held = spark.createDataFrame([(p, f, 0.1) for p in range(3) for f in many], "portfolio_id long, isin string, w double")
+    out = {(r.portfolio_id, r.a, r.b) for r in ho.overlap_pairs(held, long(spark, many), least=0.41237).collect()}
+    apart = {(a, b) for a, b in want if any(k in many[a] and k in many[b] for k in ("reg",)) or all(len(many[x].get("top", {})) >= 5 for x in (a, b))}
+    assert out == {(p, a, b) for p in range(3) for a, b in apart} and compared[1] <= 30 * 31 / 2
