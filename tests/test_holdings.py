@@ -258,3 +258,13 @@ def test_copies_of_a_fund_are_compared_once(spark, monkeypatch):
     out = {(r.portfolio_id, r.a, r.b) for r in ho.overlap_pairs(held, long(spark, many), least=0.41237).collect()}
     apart = {(a, b) for a, b in want if any(k in many[a] and k in many[b] for k in ("reg",)) or all(len(many[x].get("top", {})) >= 5 for x in (a, b))}
     assert out == {(p, a, b) for p in range(3) for a, b in apart} and compared[1] <= 30 * 31 / 2
+
+
+def test_look_through_joins_equal_holdings_where_the_weights_lie(spark):
+    names = [f"f{i}" for i in range(60)]
+    alloc = long(spark, {f: REC if i % 2 else {"reg": {"USA": 1.0}, "ast": {"Renter": 1.0, "Aksjer": 3.0}} for i, f in enumerate(names)})
+    held = spark.createDataFrame([(p, f, 1 / 60) for p in range(5) for f in names], "portfolio_id long, isin string, w double").repartition("portfolio_id")
+    out = ho.look_through(held, alloc)
+    got = {(r.portfolio_id, r.kind, r.label): r.share for r in out.collect()}
+    assert got[3, "ast", "Aksjer"] == pytest.approx(0.5 * 0.98 + 0.5 * 0.75) and got[4, "company", "1"] == pytest.approx(0.025) and got[0, "total", "covered"] == pytest.approx(1)
+    assert len(got) == 5 * 16 and "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
