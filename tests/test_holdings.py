@@ -268,3 +268,16 @@ def test_look_through_joins_equal_holdings_where_the_weights_lie(spark):
     got = {(r.portfolio_id, r.kind, r.label): r.share for r in out.collect()}
     assert got[3, "ast", "Aksjer"] == pytest.approx(0.5 * 0.98 + 0.5 * 0.75) and got[4, "company", "1"] == pytest.approx(0.025) and got[0, "total", "covered"] == pytest.approx(1)
     assert len(got) == 5 * 16 and "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def pairs_of_tasks(pairs):
+    return [r["count"] for r in pairs.groupBy(F.spark_partition_id()).count().collect()]
+
+
+def test_cheaper_candidates_are_spread_by_their_pairs(spark, monkeypatch):
+    """400 products of a few bytes make 79 800 pairs: no task makes more than a few times its share."""
+    monkeypatch.setattr(ho.bands, "PAIRS", 4000, raising=False)
+    u = spark.range(400).select(F.format_string("p%03d", "id").alias("id"), F.lit("Aksjer").alias("asset_class"), F.lit(False).alias("hedged"), F.lit(False).alias("leveraged"),
+                                F.lit(True).alias("tradable"), F.lit(True).alias("ask"), F.col("id").cast("double").alias("cost"), F.lit(1).alias("owners"), F.lit(1).alias("cluster"))
+    n = pairs_of_tasks(ho.cheaper_candidates(u, block=40))
+    assert sum(n) == 400 * 399 // 2 and len(n) >= 10 and max(n) < sum(n) / 4
