@@ -15,24 +15,31 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from lodestar.session import stored
+from lodestar.session import stored, task_count
 
 SLACK = 1e-9
 BLOCK = 512
+PAIRS = 1 << 21      # pairs of rows a task looks at, in expectation
+COPIES = 1 << 17     # rows it gets
 
 
 def salted(left: DataFrame, right: DataFrame, keys: list[str], block: int = BLOCK) -> DataFrame:
-    """Match two sides (``id_a``, ``id_b``) on keys some of which may be hot: each key is cut into tasks of about block x block rows."""
-    def blocks(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(name))
+    """Match two sides (``id_a``, ``id_b``) on keys some of which may be hot: each key is cut into tasks of about block x block rows,
+    and these are spread by their pairs, however few bytes the two sides have."""
+    def count(df: DataFrame, side: str) -> DataFrame:
+        n = df.groupBy(*keys).agg(F.count(F.lit(1)).cast("double").alias(f"_t{side}"))
+        return n.withColumn(f"_n{side}", F.ceil(F.col(f"_t{side}") / block).cast("int"))
 
     def every(c: str) -> Column:
         return F.explode(F.sequence(F.lit(0).cast("long"), F.col(c).cast("long") - 1))
 
-    n = blocks(left, "_nl").join(blocks(right, "_nr"), keys)
-    l = left.join(n, keys).withColumn("_bl", F.pmod(F.xxhash64("id_a"), F.col("_nl"))).withColumn("_br", every("_nr"))
-    r = right.join(n, keys).withColumn("_br", F.pmod(F.xxhash64("id_b"), F.col("_nr"))).withColumn("_bl", every("_nl"))
-    return l.drop("_nl", "_nr").join(r.drop("_nl", "_nr"), [*keys, "_bl", "_br"]).drop("_bl", "_br")
+    n = stored(count(left, "l").join(count(right, "r"), keys))
+    copies = F.col("_tl") * F.col("_nr") + F.col("_tr") * F.col("_nl")
+    tasks, cut = task_count(n, F.col("_tl") * F.col("_tr") / PAIRS + copies / COPIES), n.select(*keys, "_nl", "_nr")
+    l = left.join(cut, keys).withColumn("_bl", F.pmod(F.xxhash64("id_a"), F.col("_nl"))).withColumn("_br", every("_nr"))
+    r = right.join(cut, keys).withColumn("_br", F.pmod(F.xxhash64("id_b"), F.col("_nr"))).withColumn("_bl", every("_nl"))
+    l, r = (x.drop("_nl", "_nr").repartition(tasks, *keys, "_bl", "_br") for x in (l, r))
+    return l.join(r, [*keys, "_bl", "_br"]).drop("_bl", "_br")
 
 
 def lists(alloc: DataFrame) -> DataFrame:

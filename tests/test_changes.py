@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lodestar.operators import changes as ch, checks, pairs, ranking as rk, sampling
+from lodestar.operators import changes as ch, checks, overlap, pairs, ranking as rk, sampling
 from tests.conftest import rows
 
 DAY = lambda n: dt.date(2024, 1, n)
@@ -121,3 +121,12 @@ def test_large_clusters_and_names_meet_in_blocks(spark):
     assert sorted(got) == sorted(want)
     names = spark.range(60).select(F.lit(1).alias("g"), F.array(F.lit("x"), F.concat(F.lit("t"), F.col("id") % 20), F.col("id").cast("string")).alias("tokens"))
     assert pairs.min_jaccard(names, "g", 8).collect() == pairs.min_jaccard(names, "g").collect() == [(1, 1 / 5)]
+
+
+def test_alternates_are_spread_by_their_pairs(spark, monkeypatch):
+    """One cluster of 640 small rows, 320 of them held: its blocks go to many tasks."""
+    monkeypatch.setattr(overlap, "PAIRS", 5000, raising=False)
+    u = spark.range(640).select(F.col("id").cast("string").alias("isin"), F.lit(1).alias("cluster_id"), F.lit(0.1).alias("fee"), F.lit(5.0).alias("history_years"),
+                                F.lit(0.1).alias("r5"), F.lit(True).alias("ask_eligible"))
+    n = [r["count"] for r in rk.cluster_alternates(u, u.where("isin % 2 = 0"), block=32).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(n) == 320 * 639 and len(n) >= 10 and max(n) < sum(n) / 4
