@@ -281,3 +281,11 @@ def test_cheaper_candidates_are_spread_by_their_pairs(spark, monkeypatch):
                                 F.lit(True).alias("tradable"), F.lit(True).alias("ask"), F.col("id").cast("double").alias("cost"), F.lit(1).alias("owners"), F.lit(1).alias("cluster"))
     n = pairs_of_tasks(ho.cheaper_candidates(u, block=40))
     assert sum(n) == 400 * 399 // 2 and len(n) >= 10 and max(n) < sum(n) / 4
+
+
+def test_pairs_of_one_index_are_spread_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(ho.overlap, "PAIRS", 4000, raising=False)
+    u = spark.createDataFrame([(f"p{k:04}", "Aksjer", False, False, True, True, 0.1, 1, k % 6) for k in range(1200)],
+                              "id string, asset_class string, hedged boolean, leveraged boolean, tradable boolean, ask boolean, cost double, owners long, cluster long")
+    n = pairs_of_tasks(ho.same_index(u))
+    assert sum(n) == 6 * 200 * 199 and len(n) >= 4 and max(n) < sum(n) * 0.6
