@@ -277,3 +277,30 @@ def test_shrinkage_adds_up_blocks_and_makes_no_row_of_a_product(spark):
     one = pf.shrinkage(df.where("portfolio_id = 1")).first()
     assert (one.rbar, one.delta) == pytest.approx(whole[1][2:])
     assert pf.shrinkage(df, ["portfolio_id"])._jdf.queryExecution().executedPlan().toString().count("Generate ") <= 1
+
+
+def test_rebalanced_weights_are_shuffled_once(spark):
+    """A weight's segments stay where the weight lies; assets with missing months, assets without returns, and one month alone."""
+    rnd = random.Random(4)
+    r = {(a, 24240 + m): rnd.gauss(0, 0.05) for a in "abcdef" for m in range(15) if rnd.random() < 0.8}
+    w = {(p, a): rnd.random() for p in range(30) for a in "abcdefx" if rnd.random() < 0.6}
+    df = spark.createDataFrame([(p, a, x) for (p, a), x in w.items()], "portfolio_id long, asset string, w double")
+    out = pf.calendar_rebalance(df, spark.createDataFrame([(a, m, x) for (a, m), x in r.items()], "asset string, mi long, r double"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan.split("posexplode")[0].replace("BroadcastExchange", "") and plan.count("Exchange hashpartitioning(portfolio_id") <= 2
+    first, last = min(m for _, m in r), max(m for _, m in r)
+    got = {(o.portfolio_id, o.rule): (o.final_value, o.costs_per_year) for o in out.collect()}
+    every = {"monthly": lambda m: True, "quarterly": lambda m: (m % 12 + 1) % 3 == 0, "annual": lambda m: m % 12 == 11, "none": lambda m: False}
+    want = {}
+    for p in range(30):
+        own = {a: x for (q, a), x in w.items() if q == p and any(a == b for b, _ in r)}
+        for rule, due in every.items() if own else ():
+            value, cost, g = 1.0, 0.0, dict.fromkeys(own, 1.0)
+            for m in range(first, last + 1):
+                g = {a: x * (1 + r.get((a, m), 0.0)) for a, x in g.items()}
+                if m == last or due(m):
+                    v = sum(own[a] * g[a] for a in own)
+                    traded = sum(abs(own[a] - own[a] * g[a] / v) for a in own) if m < last else 0.0
+                    value, cost, g = value * v * (1 - 0.0025 * traded), cost + 0.0025 * traded, dict.fromkeys(own, 1.0)
+            want[p, rule] = (pytest.approx(value), pytest.approx(cost / ((last - first + 1) / 12)))
+    assert got == want and len(want) == 120
