@@ -51,7 +51,7 @@ def cluster_pick(u: DataFrame) -> DataFrame:
     order = [-F.col("is_rep").cast("int"), -F.coalesce(F.col("ask_eligible").cast("int"), F.lit(0)),
              F.coalesce("eff_fee", "fee", F.lit(99.0)), -F.coalesce("history_years", F.lit(0.0)),
              -F.coalesce("fund_size", F.lit(-1.0)), F.col("isin")]
-    return first_per(u, "cluster_id", order).select("cluster_id", "isin")
+    return u.groupBy("cluster_id").agg(F.min_by("isin", F.struct(*order)).alias("isin"))
 
 
 def representatives(u: DataFrame, p: Params = DEFAULTS) -> DataFrame:

@@ -12,8 +12,9 @@ from lodestar.functions.scalars import annualise
 from lodestar.operators import ingest, instruments as ins
 from lodestar.operators.asof import subunit_map_join
 from lodestar.plans.adapters import DUCK, SQL
+from lodestar.plans.listings import flagged
 from lodestar.plans.registry import query, shared, stage
-from lodestar.session import ensure_checkpoint_dir, stored
+from lodestar.session import ensure_checkpoint_dir, spread, stored
 from lodestar.sources import bars, pages, store, tables
 
 
@@ -344,7 +345,8 @@ SELECT u.isin, u.ticker, split_part(u.name, ' ', 1) AS issuer, u.category, CAST(
        l.asset IN (SELECT asset FROM mret GROUP BY asset HAVING count(*) >= 2) AS has_returns
 FROM univ u JOIN labels_x x ON x.isin = u.isin JOIN pk ON pk.isin = u.isin JOIN etf e ON e.isin = u.isin LEFT JOIN l ON l.asset = 'Brand#' || CAST(u.cluster_id // 100 AS VARCHAR)""")
 def _(t):
-    u = t.univ.drop("asset_class", "region", "sector", "style", "esg").withColumn("asset", F.concat(F.lit("Brand#"), F.floor(F.col("cluster_id") / 100).cast("string")))
+    # dozens of patterns a name: spread over tasks, in however few pieces the table lies
+    u = flagged(spread(t.etf, "isin")).drop("asset_class", "region", "sector", "style", "esg").withColumn("asset", F.concat(F.lit("Brand#"), F.floor(F.col("cluster_id") / 100).cast("string")))
     u = u.withColumns({"issuer": F.split_part("name", F.lit(" "), F.lit(1)), "risk": (F.col("instrument_id") % 7).cast("long"), "rating": (F.col("instrument_id") % 5).cast("long"),
                        "fund_size": F.col("fund_size").cast("double"), "spread_pct": F.col("fee") / 10, "max_te": (F.col("cluster_id") % 10) / 1000, "url": F.concat(F.lit("https://example.org/"), "isin")})
     return ins.etf_row(u, t.panel, t.mret)

@@ -23,10 +23,14 @@ SELECT *, reason = '' AS eligible, coalesce(fee, 9.99) + CASE WHEN accumulating
                coalesce({_LEV}, false) AS leveraged, {_HEDGED} AS hedged, coalesce(starts_with(lower(dividend_policy), 'akk'), false) AS accumulating, {_ASK} AS ask FROM {{etf}}) a) b"""
 
 
+def flagged(etf):
+    flags = pr.instrument_flags(etf).withColumn("ask_eligible", pr.ask_eligible(F.substring("isin", 1, 2)))
+    return pr.eligibility_reasons(flags).withColumn("eff_fee", rk.effective_fee(F.col("fee"), F.col("accumulating")))
+
+
 @shared
 def univ(t):
-    flags = pr.instrument_flags(t.etf).withColumn("ask_eligible", pr.ask_eligible(F.substring("isin", 1, 2)))
-    return pr.eligibility_reasons(flags).withColumn("eff_fee", rk.effective_fee(F.col("fee"), F.col("accumulating")))
+    return flagged(t.etf)
 
 
 @query("instrument_flags", "univ", "SELECT isin, leveraged, hedged, accumulating, ask FROM univ")

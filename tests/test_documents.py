@@ -4,8 +4,10 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from lodestar import session
 from lodestar.functions.classify import classify, normalize_name
 from lodestar.operators import incremental as inc, ingest, predicates as pr, ranking as rk, reports as rp
+from lodestar.plans import QUERIES, documents
 from lodestar.sources import bars, pages, tables
 from tests.conftest import rows
 
@@ -216,3 +218,11 @@ def test_texts_of_pages_stay_out_of_the_driver(spark):
     assert "LeftOuter" in plan and not [x for x in plan.splitlines() if "BroadcastHashJoin" in x and "LeftOuter" in x]
     leaves = pages.unfolded(spark.createDataFrame([(1, '{"a": {"b": 1}}')], "k long, json string"), "json")
     assert leaves.select("_row.*").columns == ["k"]          # a leaf does not carry its whole record
+
+
+def test_instruments_are_classified_in_many_tasks(spark, monkeypatch):
+    """The table lies in one piece; the rows of ``etf_row`` are made in tasks of about as many rows as asked for."""
+    monkeypatch.setattr(documents, "spread", lambda df, key: session.spread(df, key, 200), raising=False)
+    out = QUERIES["etf_row"](spark, "/root/testdata/sf0.01")
+    n = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(n) == 2000 and len(n) >= 8 and max(n) < 400
