@@ -34,6 +34,7 @@ from lodestar.llm.text import as_long, map_arrow, slices, words
 from lodestar.session import stored
 
 END = np.uint64(0x452821E638D01377)      # hash of the end token
+PIECE = 1 << 19                          # bytes whose words are found at once
 Weights = dict[str, np.ndarray]
 
 
@@ -64,13 +65,21 @@ class Counts:
 
 
 def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Token hashes of each text, its end included, and their offsets."""
-    w = words(data, offsets)
+    """Token hashes of each text, its end included, and their offsets. Words are found in pieces of ``PIECE`` bytes (a longer text alone),
+    which stay in the processor's cache."""
     n = len(offsets) - 1
-    of = w.of + np.arange(n + 1)
-    out = np.full(len(w.hash) + n, END, np.uint64)
-    out[np.arange(len(w.hash)) + np.repeat(np.arange(n), np.diff(w.of))] = w.hash
-    return out, of
+    cuts = [0]
+    while cuts[-1] < n:
+        cuts.append(max(cuts[-1] + 1, int(np.searchsorted(offsets, offsets[cuts[-1]] + PIECE, "right")) - 1))
+    out, sizes = [], [np.zeros(1, np.int64)]
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        w = words(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
+        h = np.full(len(w.hash) + b - a, END, np.uint64)
+        size = np.diff(w.of)
+        h[np.arange(len(w.hash)) + np.repeat(np.arange(b - a), size)] = w.hash
+        out.append(h)
+        sizes.append(size + 1)
+    return np.concatenate(out) if out else np.zeros(0, np.uint64), np.cumsum(np.concatenate(sizes))
 
 
 def count_tokens(texts: DataFrame) -> DataFrame:
@@ -150,54 +159,166 @@ def initial(frequency: np.ndarray, rest: float, starts: np.ndarray, model: Recur
             "w": r.normal(0, 0.05, (k, h)).astype(np.float32), "wb": np.log(np.maximum(frequency, 1e-3)).astype(np.float32)}
 
 
-def _sigmoid(x: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
-    x = np.exp(np.negative(x, out=out), out=out)
-    return np.divide(1, np.add(x, 1, out=out), out=out)
+def _softmax(x: np.ndarray) -> np.ndarray:
+    """Of each column, in place."""
+    x -= x.max(0)
+    np.exp(x, out=x)
+    x /= x.sum(0)
+    return x
 
 
-def _step(w: Weights, x: np.ndarray, h: np.ndarray, out: np.ndarray | None = None):
-    n = h.shape[1]
-    g = h @ w["u"]
-    s = _sigmoid(np.add(x[:, :2 * n], g[:, :2 * n], out=out), out)
-    z, r = s[:, :n], s[:, n:]
-    c = np.tanh(x[:, 2 * n:] + r * g[:, 2 * n:])
-    return z * h + (1 - z) * c, z, r, c, g[:, 2 * n:]
+def _with_ones(h: np.ndarray) -> np.ndarray:
+    """States with a last column of ones: biases are then one more row of the weights."""
+    return np.concatenate([h, np.ones((len(h), 1), h.dtype)], 1)
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+def _joined(w: Weights) -> Weights:
+    """Weights as the loops below use them: biases beside their weights, the gates' parts of ``x`` and ``u`` negated, ``u`` turned."""
+    sign = np.repeat(np.array([-1, -1, 1], np.float32), len(w["u"]))
+    return {"c": np.vstack([w["c"], w["cb"]]), "u": np.ascontiguousarray((w["u"] * sign).T), "w": np.column_stack([w["w"], w["wb"]]), "x": w["x"] * sign}
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(1, keepdims=True)
-    np.exp(x, out=x)
-    x /= x.sum(1, keepdims=True)
-    return x
+def _parted(j: Weights) -> Weights:
+    sign = np.repeat(np.array([-1, -1, 1], np.float32), j["u"].shape[1])
+    return {"x": j["x"] * sign, "u": j["u"].T * sign, "c": j["c"][:-1].copy(), "cb": j["c"][-1].copy(), "w": j["w"][:, :-1].copy(), "wb": j["w"][:, -1].copy()}
+
+
+def _read(j: Weights, before: np.ndarray, h: np.ndarray, goes_on: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """States (first ``h``), gates, candidates and sums of ``u`` while words ``before`` (time x text) are read; all are time x unit x text,
+    so that every step works on whole runs of memory. ``goes_on`` is 0 where a text begins."""
+    steps, size = before.shape
+    n = len(h)
+    x = np.ascontiguousarray(j["x"][before].transpose(0, 2, 1))
+    states, gates = np.empty((steps + 1, n, size), np.float32), np.empty((steps, 2 * n, size), np.float32)
+    new, sums = np.empty((steps, n, size), np.float32), np.empty((steps, 3 * n, size), np.float32)
+    states[0] = h
+    begins = (goes_on == 0).any(1).tolist() if goes_on is not None else [False] * steps
+    for i, (x_gate, x_new, s, c, g, z, r, g_gate, g_new, h_next) in enumerate(zip(
+            x[:, :2 * n], x[:, 2 * n:], gates, new, sums, gates[:, :n], gates[:, n:], sums[:, :2 * n], sums[:, 2 * n:], states[1:], strict=True)):
+        h = states[i] * goes_on[i] if begins[i] else states[i]
+        np.dot(j["u"], h, out=g)
+        np.add(x_gate, g_gate, out=s)
+        np.exp(s, out=s)
+        np.add(s, 1, out=s)
+        np.reciprocal(s, out=s)
+        np.multiply(r, g_new, out=c)
+        np.add(c, x_new, out=c)
+        np.tanh(c, out=c)
+        np.subtract(h, c, out=h_next)
+        np.multiply(h_next, z, out=h_next)
+        np.add(h_next, c, out=h_next)
+    return states, gates, new, sums
+
+
+def _rows(x: np.ndarray) -> np.ndarray:
+    """time x unit x text as one row per time and text."""
+    return x.transpose(0, 2, 1).reshape(-1, x.shape[1])
 
 
-def _by_class(word: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
-    """Class of each word (the last for all others), and the rows of each class of own words with more than one word."""
-    cls = np.searchsorted(starts, word, "right") - 1
-    order = np.argsort(cls, kind="stable")
+@dataclass(frozen=True)
+class _Inner:
+    """Own words by class: their softmaxes lie one after the other in one array."""
+    order: np.ndarray         # rows of own words, by class
+    first: np.ndarray         # where each row's softmax begins
+    width: np.ndarray
+    chosen: np.ndarray        # place of the row's word
+    size: int
+    spans: list[list[int]]    # a class, its rows in ``order`` and its part of the array
+
+    def logits(self, by_class: list[np.ndarray], rows: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Less the largest of their softmax, with the part of each span as a matrix. ``by_class``: the words' weights."""
+        flat = np.empty(self.size, np.float32)
+        parts = [flat[p:q].reshape(f - e, -1) for _, e, f, p, q in self.spans]
+        for (k, e, f, _, _), part in zip(self.spans, parts, strict=True):
+            np.dot(rows[e:f], by_class[k].T, out=part)
+        flat -= np.repeat(np.maximum.reduceat(flat, self.first), self.width)
+        return flat, parts
+
+
+def _inner(cls: np.ndarray, word: np.ndarray, starts: np.ndarray) -> _Inner:
+    size = np.diff(starts)
+    order = np.argsort(cls.astype(np.uint16) if len(starts) < 1 << 16 else cls, kind="stable")
     edge = np.searchsorted(cls[order], np.arange(len(starts)))
-    return cls, [(k, order[edge[k]:edge[k + 1]]) for k in range(len(starts) - 1) if edge[k + 1] > edge[k] and starts[k + 1] - starts[k] > 1]
+    order = order[:edge[-1]]
+    own = cls[order]
+    width = size[own]
+    at = np.concatenate([[0], np.cumsum(width)])
+    k = np.flatnonzero(np.diff(edge))
+    spans = np.stack([k, edge[k], edge[k + 1], at[edge[k]], at[edge[k + 1]]], 1).tolist()
+    return _Inner(order, at[:-1], width, at[:-1] + word[order] - starts[own], int(at[-1]), spans)
+
+
+def _class_of(starts: np.ndarray) -> np.ndarray:
+    """Class of each own word; the last one for all others."""
+    return np.repeat(np.arange(len(starts)), np.append(np.diff(starts), 1))
+
+
+def _by_class(w: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
+    return [w[a:b] for a, b in zip(starts[:-1], starts[1:], strict=True)]
+
+
+def _log_outputs(j: Weights, by_class: list[np.ndarray], starts: np.ndarray, classes: np.ndarray, h: np.ndarray, word: np.ndarray) -> np.ndarray:
+    rows, cls = _with_ones(h), classes[word]
+    x = j["c"].T @ rows.T
+    x -= x.max(0)
+    out = x[cls, np.arange(len(h))] - np.log(np.exp(x, out=x.copy()).sum(0))
+    inner = _inner(cls, word, starts)
+    if inner.size:
+        flat, _ = inner.logits(by_class, rows[inner.order])
+        out[inner.order] += flat[inner.chosen] - np.log(np.add.reduceat(np.exp(flat), inner.first))
+    return out
 
 
 def log_outputs(w: Weights, starts: np.ndarray, h: np.ndarray, word: np.ndarray) -> np.ndarray:
     """Log probability of each word's class and, for the model's own words, of the word in it."""
-    cls, groups = _by_class(word, starts)
-    out = _log_softmax(h @ w["c"] + w["cb"])[np.arange(len(h)), cls]
-    for k, rows in groups:
-        a, b = starts[k], starts[k + 1]
-        inner = _log_softmax(h[rows] @ w["w"][a:b].T + w["wb"][a:b])
-        out[rows] += inner[np.arange(len(rows)), word[rows] - a]
-    return out
+    j = _joined(w)
+    return _log_outputs(j, _by_class(j["w"], starts), starts, _class_of(starts), h, word)
+
+
+class _Adam:
+    """Steps on joined weights, one vector that ends in ``x``. Only rows of ``x`` that were read have a slope; the others move by what
+    is left of earlier ones, as if theirs were 0. Both means fade by a common factor that is kept apart (``fade``, ``dim``), the second as its root."""
+
+    BLOCK = 1 << 14           # weights moved at once stay in the processor's cache
+
+    def __init__(self, j: Weights, rate: float):
+        self.flat = np.concatenate([j[k].ravel() for k in sorted(j)])
+        self.dense = len(self.flat) - j["x"].size
+        self.slope = np.zeros(self.dense, np.float32)
+        self.w, self.grad = _views(self.flat, j), _views(self.slope, {k: v for k, v in j.items() if k != "x"})
+        self.m, self.root, self.v = np.zeros_like(self.flat), np.zeros_like(self.flat), np.empty(self.BLOCK, np.float32)
+        self.mx, self.root_x = (_views(v, j)["x"] for v in (self.m, self.root))
+        self.rate, self.t, self.fade, self.dim = rate, 0, 1.0, 1.0
+
+    def step(self, seen: np.ndarray, slope: np.ndarray) -> None:
+        """``slope``: of the rows ``seen`` of ``x``; ``self.grad`` has the others'."""
+        self.t += 1
+        self.fade *= 0.9
+        self.dim *= math.sqrt(0.999)
+        for m, root, at, g in ((self.m, self.root, slice(self.dense), self.slope), (self.mx, self.root_x, seen, slope)):
+            np.clip(g, -5, 5, out=g)
+            m[at] += g * np.float32(0.1 / self.fade)
+            g *= np.float32(math.sqrt(0.001) / self.dim)
+            g *= g
+            r = root[at]
+            root[at] = np.sqrt(r * r + g)
+        scale = self.dim / math.sqrt(1 - 0.999 ** self.t)
+        least, rate = np.float32(1e-6 / scale), np.float32(self.rate / (1 - 0.9 ** self.t) * self.fade / scale)
+        for a in range(0, len(self.flat), self.BLOCK):
+            w, m = self.flat[a:a + self.BLOCK], self.m[a:a + self.BLOCK]
+            v = np.add(self.root[a:a + self.BLOCK], least, out=self.v[:len(w)])
+            np.divide(m, v, out=v)
+            v *= rate
+            w -= v
+        self.slope[:] = 0
+        if self.fade < 1e-4:
+            self.m *= np.float32(self.fade)
+            self.root *= np.float32(self.dim)
+            self.fade = self.dim = 1.0
 
 
 def fit_shard(w: Weights, starts: np.ndarray, docs: list[np.ndarray], end: int, model: Recurrent, seed: int) -> Weights:
     """One pass of truncated backpropagation (Adam) over documents of word places that end in ``end``."""
-    w = {k: v.copy() for k, v in w.items()}
     r = np.random.default_rng(seed)
     order = r.permutation(len(docs))
     rows: list[list[np.ndarray]] = [[] for _ in range(min(model.streams, len(docs)))]
@@ -207,74 +328,82 @@ def fit_shard(w: Weights, starts: np.ndarray, docs: list[np.ndarray], end: int,
         rows[k].append(docs[i])
         filled[k] += len(docs[i])
     if not rows:
-        return w
+        return {k: v.copy() for k, v in w.items()}
     length, size = max(filled), len(rows)
     target = np.full((length + 1, size), -1, np.int64)
     for k, parts in enumerate(rows):
         x = np.concatenate(parts)
         target[1:len(x) + 1, k] = x
-    like, flat = w, np.concatenate([w[k].ravel() for k in sorted(w)])    # one vector, and the weights as views of it
-    w, grad = _views(flat, like), _views(slope := np.zeros_like(flat), like)
-    m, s, v = np.zeros_like(flat), np.zeros_like(flat), np.empty_like(flat)
-    n, h, t = model.hidden, np.zeros((size, model.hidden), np.float32), 0
+    adam, classes = _Adam(_joined(w), model.rate), _class_of(starts)
+    j, grad = adam.w, adam.grad
+    by_class, slopes = _by_class(j["w"], starts), _by_class(grad["w"], starts)
+    n, h = model.hidden, np.zeros((model.hidden, size), np.float32)
+    small = np.uint16 if len(classes) < 1 << 16 else np.int64         # short keys sort faster
     for begin in range(1, length + 1, model.window):
         now = target[begin:begin + model.window]
         before = target[begin - 1:begin - 1 + len(now)].copy()
         if begin == 1:
             before[0] = end
-        live = now >= 0
-        ws = now[live]
+        live = np.flatnonzero(now.ravel() >= 0)
+        ws = now.ravel()[live]
         if not len(ws):
             break
-        goes_on = (before != end)[:, :, None].astype(np.float32)      # 0 where a document begins
-        x = w["x"][np.maximum(before, 0)]
-        old, new, c = (np.empty((len(now), size, n), np.float32) for _ in range(3))
-        gates, inner = np.empty((len(now), size, 2 * n), np.float32), np.empty((len(now), size, n), np.float32)
-        for i in range(len(now)):
-            h = np.multiply(h, goes_on[i], out=old[i])
-            new[i], _, _, c[i], inner[i] = _step(w, x[i], h, gates[i])
-            h = new[i]
-        z, g = gates[:, :, :n], gates[:, :, n:]
-        hs = new[live]
-        slope[:] = 0
-        cls, groups = _by_class(ws, starts)
-        p = _softmax(hs @ w["c"] + w["cb"])
-        p[np.arange(len(ws)), cls] -= 1
-        grad["c"][:], grad["cb"][:] = hs.T @ p, p.sum(0)
-        dh = p @ w["c"].T
-        for k, at in groups:
-            a, b = starts[k], starts[k + 1]
-            rows_ = hs[at]
-            q = _softmax(rows_ @ w["w"][a:b].T + w["wb"][a:b])
-            q[np.arange(len(at)), ws[at] - a] -= 1
-            grad["w"][a:b], grad["wb"][a:b] = q.T @ rows_, q.sum(0)
-            dh[at] += q @ w["w"][a:b]
-        out = np.zeros_like(new)
-        out[live] = dh
-        by_c = (1 - z) * (1 - c * c)
-        by = np.stack([(old - c) * z * (1 - z), by_c * inner * g * (1 - g), by_c * g], 2)      # slopes of the gates' sums by the new state
-        dg, carried, turned = np.empty_like(by), z * goes_on, np.ascontiguousarray(w["u"].T)
-        back = np.zeros((size, n), np.float32)
+        goes_on = (before != end).astype(np.float32)                  # 0 where a document begins
+        states, gates, c, sums = _read(j, np.maximum(before, 0), h, goes_on)
+        h = states[-1].copy()
+        hs = _with_ones(_rows(states[1:])[live])
+        scale = np.float32(50 / len(ws))
+        cls = classes[ws]
+        p = _softmax(j["c"].T @ hs.T)
+        p[cls, np.arange(len(ws))] -= 1
+        p *= scale
+        np.dot(hs.T, p.T, out=grad["c"])
+        dh = p.T @ j["c"].T
+        inner = _inner(cls, ws, starts)
+        if inner.size:
+            own = hs[inner.order]
+            q, parts = inner.logits(by_class, own)
+            np.exp(q, out=q)
+            q *= np.repeat(scale / np.add.reduceat(q, inner.first), inner.width)
+            q[inner.chosen] -= scale
+            down = np.empty_like(own)
+            for (k, e, f, _, _), part in zip(inner.spans, parts, strict=True):
+                np.dot(part.T, own[e:f], out=slopes[k])
+                np.dot(part, by_class[k], out=down[e:f])
+            dh[inner.order] += down
+        out = np.zeros((before.size, n), np.float32)
+        out[live] = dh[:, :n]
+        out = np.ascontiguousarray(out.reshape(*before.shape, n).transpose(0, 2, 1))
+        z, g, old = gates[:, :n], gates[:, n:], states[:-1] * goes_on[:, None]
+        by_c = 1 - c * c
+        by_c *= 1 - z
+        by = np.empty((len(now), 3, n, size), np.float32)              # slopes of the gates' negated sums and of the new state's by the new state
+        by_g = by_c * g
+        np.multiply((c - old) * z, 1 - z, out=by[:, 0])
+        np.multiply(by_g * sums[:, 2 * n:], g - 1, out=by[:, 1])
+        by[:, 2] = by_g
+        dg, carried, turned = np.empty_like(by), z * goes_on[:, None], np.ascontiguousarray(j["u"].T)
+        back, through, begins = np.zeros((n, size), np.float32), np.empty((n, size), np.float32), (goes_on == 0).any(1).tolist()
         for i in range(len(now) - 1, -1, -1):
-            back = np.add(out[i], back, out=out[i])
-            np.multiply(by[i], back[:, None], out=dg[i])
-            back = back * carried[i] + (dg[i].reshape(size, 3 * n) @ turned) * goes_on[i]
-        grad["u"][:] = old.reshape(-1, n).T @ dg.reshape(-1, 3 * n)
-        dg[:, :, 2] = out * by_c
-        seen = np.flatnonzero(before.ravel() >= 0)
-        seen = seen[np.argsort(before.ravel()[seen], kind="stable")]
-        word = before.ravel()[seen]
+            o, d = out[i], dg[i]
+            o += back
+            np.multiply(by[i], o, out=d)
+            np.dot(turned, d.reshape(3 * n, size), out=through)
+            if begins[i]:
+                through *= goes_on[i]
+            np.multiply(o, carried[i], out=back)
+            back += through
+        across = lambda x: x.reshape(len(now), -1, size).transpose(1, 0, 2).reshape(-1, len(now) * size)
+        slope = across(dg)
+        np.dot(slope, across(old).T, out=grad["u"])
+        slope[2 * n:] = across(out * by_c)
+        key = before.ravel()
+        seen = np.argsort((key + 1).astype(small), kind="stable")
+        seen = seen[np.count_nonzero(key < 0):]
+        word = key[seen]
         first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
-        grad["x"][word[first]] = np.add.reduceat(dg.reshape(-1, 3 * n)[seen], first, 0)
-        t += 1
-        slope *= np.float32(50 / len(ws))
-        np.clip(slope, -5, 5, out=slope)
-        m += np.multiply(np.subtract(slope, m, out=v), np.float32(0.1), out=v)
-        s += np.multiply(np.subtract(np.multiply(slope, slope, out=v), s, out=v), np.float32(0.001), out=v)
-        np.sqrt(np.multiply(s, np.float32(1 / (1 - 0.999 ** t)), out=v), out=v)
-        v += np.float32(1e-6)
-        flat -= np.multiply(np.divide(m, v, out=v), np.float32(model.rate / (1 - 0.9 ** t)), out=v)
-    return {k: x.copy() for k, x in w.items()}
+        adam.step(word[first], np.add.reduceat(slope.take(seen, 1), first, 1).T)
+    return _parted(j)
 
 
 def _views(flat: np.ndarray, like: Weights) -> Weights:
@@ -361,29 +490,29 @@ def fit(texts: DataFrame, c: Counts, model: Recurrent) -> tuple[Weights, np.ndar
     return w, starts
 
 
-def log_likelihoods(w: Weights, starts: np.ndarray, word: np.ndarray, of: np.ndarray, end: int, window: int = 32) -> np.ndarray:
-    """Natural log of the class and own-word probabilities, summed for each document. State goes from window to window."""
+def log_likelihoods(w: Weights, starts: np.ndarray, word: np.ndarray, of: np.ndarray, end: int, window: int = 32, width: int = 256) -> np.ndarray:
+    """Natural log of the class and own-word probabilities, summed for each document. State goes from window to window;
+    ``width`` documents of like lengths are read side by side."""
     size = np.diff(of)
     order = np.argsort(-size, kind="stable")
-    size, start = size[order], of[:-1][order]
-    out = np.zeros(len(size))
-    h = np.zeros((len(size), w["u"].shape[0]), np.float32)
-    live = np.searchsorted(-size, -np.arange(1, (int(size[0]) if len(size) else 0) + 1), "right")     # documents longer than t
-    for begin in range(0, len(live), window):
-        states, at = [], []
-        for t in range(begin, min(begin + window, len(live))):
-            b = live[t]
-            before = word[start[:b] + t - 1] if t else np.full(b, end)
-            h = _step(w, w["x"][before], h[:b])[0]
-            states.append(h)
-            at.append(start[:b] + t)
-        counts = [len(x) for x in at]
-        doc = np.concatenate([np.arange(n) for n in counts])
-        got = log_outputs(w, starts, np.concatenate(states), word[np.concatenate(at)])
-        out += np.bincount(doc, weights=got, minlength=len(size))
-    back = np.empty(len(size))
-    back[order] = out
-    return back
+    out, j, classes = np.zeros(len(size)), _joined(w), _class_of(starts)
+    by_class = _by_class(j["w"], starts)
+    for a in range(0, len(order), width):
+        docs = order[a:a + width]
+        left, start = size[docs], of[docs]
+        h = np.zeros((w["u"].shape[0], len(docs)), np.float32)
+        for begin in range(0, int(left[0]), window):
+            b = int(np.searchsorted(-left, -begin, "left"))           # documents longer than ``begin``
+            at = np.arange(begin, min(begin + window, int(left[0])))[:, None]
+            live = at < left[:b]
+            here = np.where(live, start[:b] + at, 0)
+            before = np.where(live & (at > 0), word[np.maximum(here - 1, 0)], end)
+            states = _read(j, before, h[:, :b])[0]
+            h = states[-1].copy()
+            live = np.flatnonzero(live.ravel())
+            got = _log_outputs(j, by_class, starts, classes, _rows(states[1:])[live], word[here.ravel()[live]])
+            out[docs[:b]] += np.bincount(live % b, weights=got, minlength=b)
+    return out
 
 
 def score_documents(docs: DataFrame, training, text: str = "text", model: Recurrent = Recurrent()) -> DataFrame:
