@@ -192,6 +192,27 @@ def test_training_gradient_lowers_the_loss():
     assert loss(w) < 0.5 * before and r is not None
 
 
+def test_steps_are_those_of_plain_adam():
+    """Steps that touch only rows that were read, with means that fade by a common factor: as if every row's slope were known."""
+    r = np.random.default_rng(3)
+    w = recurrent.initial(np.full(50, 9.0), 1.0, np.array([0, 20, 50]), recurrent.Recurrent(hidden=4))
+    j = recurrent._joined(w)
+    adam = recurrent._Adam(j, 0.01)
+    plain, m, v = {k: x.astype(float) for k, x in j.items()}, {k: np.zeros(x.shape) for k, x in j.items()}, {k: np.zeros(x.shape) for k, x in j.items()}
+    for t in range(1, 201):
+        seen = np.unique(r.integers(0, 51, 6))
+        slopes = {k: r.normal(0, 3, x.shape).astype(np.float32) for k, x in j.items()}
+        slopes["x"][np.setdiff1d(np.arange(51), seen)] = 0
+        for k in plain:
+            g = np.clip(slopes[k], -5, 5).astype(float)
+            m[k], v[k] = 0.9 * m[k] + 0.1 * g, 0.999 * v[k] + 0.001 * g * g
+            plain[k] -= 0.01 * m[k] / (1 - 0.9 ** t) / (np.sqrt(v[k] / (1 - 0.999 ** t)) + 1e-6)
+        for k, x in adam.grad.items():
+            x[:] = slopes[k]
+        adam.step(seen, slopes["x"][seen])
+    assert all(np.allclose(adam.w[k], plain[k], atol=1e-4) for k in plain)
+
+
 def test_weights_are_averaged_by_tokens_over_several_levels(spark):
     r = np.random.default_rng(8)
     sets = [(k, int(r.integers(1, 50)), r.normal(0, 1, 6).astype(np.float32)) for k in range(7)]
