@@ -289,3 +289,50 @@ def test_pairs_of_one_index_are_spread_by_their_number(spark, monkeypatch):
                               "id string, asset_class string, hedged boolean, leveraged boolean, tradable boolean, ask boolean, cost double, owners long, cluster long")
     n = pairs_of_tasks(ho.same_index(u))
     assert sum(n) == 6 * 200 * 199 and len(n) >= 4 and max(n) < sum(n) * 0.6
+
+
+def test_look_through_adds_up_blocks_and_makes_no_row_of_a_held_label(spark, monkeypatch):
+    """Portfolios in several blocks, each summed in small steps, some funds repeated, unknown or null; held labels are never exploded."""
+    rnd = random.Random(8)
+    funds = mixed_funds(rnd, 25)
+    alloc = long(spark, funds)
+    names = [*funds, "none", None]
+    held = [(p if p else None, rnd.choice(names), rnd.choice([0.3, 0.2, 0.1, 0.0, None])) for p in range(40) for _ in range(12)]
+    w = spark.createDataFrame(held, "portfolio_id long, isin string, w double")
+    monkeypatch.setattr(ho, "LOOK", 50, raising=False)
+    out = ho.look_through(w, alloc)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    got = {(r.portfolio_id, r.kind, r.label): r.share for r in out.collect()}
+    want = {}
+    for p, f, x in held:
+        if f not in funds or not x:
+            continue
+        r = {k: m for k, m in funds[f].items() if m}
+        ast = r.get("ast")
+        eq = ast.get("Aksjer", 0) / sum(ast.values()) if ast else 1
+        unit = {("company", str(n)): v / 100 for n, v in r.get("top", {}).items()} | {("ast", n): v / sum(ast.values()) for n, v in (ast or {}).items()}
+        if eq > 0:
+            unit |= {(k, n): eq * v / sum(r[k].values()) for k in ("reg", "sec") if k in r for n, v in r[k].items()}
+        unit |= {("total", "covered"): 1, ("total", "equity"): eq if "reg" in r else 0, ("total", "top_covered"): min(1, sum(r.get("top", {}).values()) / 100)}
+        for c, v in unit.items():
+            want[p, *c] = want.get((p, *c), 0) + x * v
+    for k in ("reg", "sec"):
+        whole = {p: sum(v for (q, g, _), v in want.items() if q == p and g == k) for p, *_ in want}
+        want = {c: v / whole[c[0]] if c[1] == k else v for c, v in want.items()}
+    assert got == {c: pytest.approx(v) for c, v in want.items()} and len(got) > 400
+    assert plan.count("Generate") <= 1 and "Aggregate" not in plan
+    some = ho.look_through(w, alloc, ["ast", "total"])
+    assert {(r.portfolio_id, r.kind, r.label): r.share for r in some.collect()} == {c: pytest.approx(v) for c, v in want.items() if c[1] in ("ast", "total")}
+
+
+def test_look_block_takes_few_products_at_a_time(monkeypatch):
+    import pyarrow as pa
+
+    item = pa.struct([("kind", pa.string()), ("label", pa.string()), ("unit", pa.float64())])
+    units = {"a": [("reg", "x", 1.0), ("company", None, 0.5)], "b": [("reg", "y", 3.0), ("reg", "x", 1.0)]}
+    funds = pa.table({"isin": ["a", "b", "c"], "rep": ["a", "b", "a"], "items": pa.array([[dict(zip(("kind", "label", "unit"), x)) for x in units[f]] if f in units else None for f in "abc"], pa.list_(item))})
+    held = pa.table({"portfolio_id": [p for p in range(50) for _ in range(3)], "isin": ["c", "b", "a"] * 50, "w": [0.25, 0.25, 0.5] * 50})
+    monkeypatch.setattr(ho, "ITEMS", 7, raising=False)
+    out = {(r["portfolio_id"], r["kind"], r["label"]): r["share"] for r in ho._look_block(held, funds).to_pylist()}
+    assert len(out) == 150 and all((out[p, "reg", "x"], out[p, "reg", "y"], out[p, "company", None]) == (1 / 1.75, 0.75 / 1.75, 0.375) for p in range(50))
+    assert ho._look_block(held.slice(0, 0), funds).num_rows == 0 and ho._look_block(held, funds.slice(0, 0)).num_rows == 0
