@@ -336,3 +336,68 @@ def test_look_block_takes_few_products_at_a_time(monkeypatch):
     out = {(r["portfolio_id"], r["kind"], r["label"]): r["share"] for r in ho._look_block(held, funds).to_pylist()}
     assert len(out) == 150 and all((out[p, "reg", "x"], out[p, "reg", "y"], out[p, "company", None]) == (1 / 1.75, 0.75 / 1.75, 0.375) for p in range(50))
     assert ho._look_block(held.slice(0, 0), funds).num_rows == 0 and ho._look_block(held, funds.slice(0, 0)).num_rows == 0
+
+
+def test_twins_of_unique_and_repeated_ids_with_and_without_an_index(spark, monkeypatch):
+    """All rules against each other, one product a row in plain Python; some ids come twice with other facts, some products are not held."""
+    rnd = random.Random(21)
+    base = mixed_funds(rnd, 12)
+    funds = {f"{f}{k}": r for f, r in base.items() for k in "abc"}
+    names = [*funds, *(f"x{i}" for i in range(30))]
+    names += names[::9]
+    cols = "id asset_class hedged leveraged tradable ask cost owners cluster category currency vol r3 r5".split()
+    prods = [dict(zip(cols, (i, rnd.choice(["Aksjer", "Renter"]), False, rnd.random() < 0.1, rnd.random() < 0.9, rnd.random() < 0.7, rnd.choice([0.1, 0.3, 0.5, 0.5, None]), rnd.choice([None, 5, 9]),
+                             rnd.choice([None, None, 1, 2, 3]), "c", "NOK", rnd.choice([0.004, 0.008]), rnd.choice([0.01, 0.012]), rnd.choice([0.01, 0.03, None])))) for i in names]
+    kinds = "id string, asset_class string, hedged boolean, leveraged boolean, tradable boolean, ask boolean, cost double, owners long, cluster long, category string, currency string, vol double, r3 double, r5 double"
+    products = spark.createDataFrame([tuple(x.values()) for x in prods], kinds)
+    held = products.where(F.col("id") != "f00a").select("id")
+    alloc = long(spark, funds)
+    near = {(r.id_a, r.id_b): r.score for r in ho.similar_within(alloc).collect()}
+    index = {(r.id_a, r.id_b) for r in ho.best_same_index(products).collect()}
+    rate = {(r.id_a, r.id_b) for r in ho.rate_twins(products).collect()}
+    fit = lambda a, b: not b["leveraged"] and b["tradable"] and (not a["ask"] or b["ask"]) and b["cost"] is not None and a["id"] != b["id"]
+    content = {(a["id"], b["id"]) for a in prods for b in prods if a["asset_class"] == b["asset_class"] and fit(a, b) and (a["id"], b["id"]) in near}
+    for every in (False, True):
+        rows_of = {}
+        for a, b in index | rate | content:
+            if a == "f00a":
+                continue
+            score, rule = (1.0, 0) if (a, b) in index else (near[a, b], 1) if (a, b) in content else (0.8, 2)
+            for y in (y for y in prods if y["id"] == b):
+                k = b if y["cluster"] is None else f"c{y['cluster']}"
+                rows_of.setdefault((a, k), []).append((y["cost"] if y["cost"] is not None else -1, -score, -(y["owners"] or 0), b, round(score, 9), rule))
+        want = {}
+        for (a, k), found in rows_of.items():
+            first = min(found)
+            costs = {x["cost"] for x in prods if x["id"] == a}
+            want[a, k] = first[3], first[4], first[5], None if first[0] < 0 else first[0], costs
+        got = [(r.id, r.twin, round(r.score, 9), r.rule, r.cost) for r in ho.twins(products, alloc, held, every).collect()]
+        sure = [(a, *w[:4]) for (a, _), w in want.items() if len(w[4]) == 1 and (every or (own := next(iter(w[4]))) is not None and w[3] is not None and w[3] < own - 0.05)]
+        twice = {x["id"] for x in prods if len({y["cost"] for y in prods if y["id"] == x["id"]}) > 1}
+        key = lambda r: tuple((x is None, x) if x is not None else (True, 0) for x in r)
+        assert sorted((r for r in got if r[0] not in twice), key=key) == sorted(sure, key=key) and len(sure) > 60
+
+
+def test_members_of_equal_funds_are_spread_by_their_pairs(spark, monkeypatch):
+    """300 funds that report the same make 89 700 pairs from a few rows."""
+    monkeypatch.setattr(ho.overlap, "PAIRS", 4000)
+    alloc = long(spark, {f"f{i:03}": REC for i in range(300)})
+    u = spark.createDataFrame([(f"f{i:03}", "Aksjer", False, False, True, True, 0.1, 1, None) for i in range(300)],
+                              "id string, asset_class string, hedged boolean, leveraged boolean, tradable boolean, ask boolean, cost double, owners long, cluster long")
+    monkeypatch.setattr(ho.overlap, "BLOCK", 60)
+    n = pairs_of_tasks(ho.content_twins(u, alloc))
+    assert sum(n) == 300 * 299 and len(n) >= 2
+
+
+def test_scores_and_fits_are_dealt_by_their_number(spark, monkeypatch):
+    ids = lambda s: spark.range(200).select(F.lit(1).alias("k"), F.col("id").alias(f"id_{s}"))
+    n = pairs_of_tasks(ho.overlap.salted(ids("a"), ids("b"), ["k"], pairs=1000))
+    assert sum(n) == 40000 and len(n) >= 10 and max(n) < 20000
+    monkeypatch.setattr(ho, "SCORES", 100)
+    funds = mixed_funds(random.Random(3), 40)
+    names = sorted(funds)
+    pairs = spark.createDataFrame(list(itertools.combinations(names, 2)), "id_a string, id_b string").coalesce(1)
+    tasks = []
+    monkeypatch.setattr(ho, "stored", lambda df, keep=ho.stored: (tasks.append(df.rdd.getNumPartitions()), keep(df))[1])
+    ho.scored(pairs, ho.records(long(spark, funds)).withColumnRenamed("isin", "id").localCheckpoint())
+    assert max(tasks) >= 7
