@@ -379,14 +379,14 @@ def test_twins_of_unique_and_repeated_ids_with_and_without_an_index(spark, monke
 
 
 def test_members_of_equal_funds_are_spread_by_their_pairs(spark, monkeypatch):
-    """300 funds that report the same make 89 700 pairs from a few rows."""
-    monkeypatch.setattr(ho.overlap, "PAIRS", 4000)
-    alloc = long(spark, {f"f{i:03}": REC for i in range(300)})
-    u = spark.createDataFrame([(f"f{i:03}", "Aksjer", False, False, True, True, 0.1, 1, None) for i in range(300)],
+    """30 groups of 20 funds that report the same make 11 400 pairs from a few rows."""
+    monkeypatch.setattr(ho.overlap, "PAIRS", 1000)
+    names = [f"f{g:02}-{i:02}" for g in range(30) for i in range(20)]
+    alloc = long(spark, {f: {"reg": {f"r{f[:3]}": 1.0}, "sec": {"s": 1.0}, "top": {f"{f[:3]}{i}": 1.0 for i in range(5)}} for f in names})
+    u = spark.createDataFrame([(f, "Aksjer", False, False, True, True, 0.1, 1, None) for f in names],
                               "id string, asset_class string, hedged boolean, leveraged boolean, tradable boolean, ask boolean, cost double, owners long, cluster long")
-    monkeypatch.setattr(ho.overlap, "BLOCK", 60)
     n = pairs_of_tasks(ho.content_twins(u, alloc))
-    assert sum(n) == 300 * 299 and len(n) >= 2
+    assert sum(n) == 30 * 20 * 19 and len(n) >= 6 and max(n) < sum(n) / 3
 
 
 def test_scores_and_fits_are_dealt_by_their_number(spark, monkeypatch):
@@ -399,5 +399,5 @@ def test_scores_and_fits_are_dealt_by_their_number(spark, monkeypatch):
     pairs = spark.createDataFrame(list(itertools.combinations(names, 2)), "id_a string, id_b string").coalesce(1)
     tasks = []
     monkeypatch.setattr(ho, "stored", lambda df, keep=ho.stored: (tasks.append(df.rdd.getNumPartitions()), keep(df))[1])
-    ho.scored(pairs, ho.records(long(spark, funds)).withColumnRenamed("isin", "id").localCheckpoint())
+    ho.scored(pairs, ho.overlap.stored(ho.records(long(spark, funds)).withColumnRenamed("isin", "id")))
     assert max(tasks) >= 7
