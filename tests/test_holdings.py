@@ -401,3 +401,15 @@ def test_scores_and_fits_are_dealt_by_their_number(spark, monkeypatch):
     monkeypatch.setattr(ho, "stored", lambda df, keep=ho.stored: (tasks.append(df.rdd.getNumPartitions()), keep(df))[1])
     ho.scored(pairs, ho.overlap.stored(ho.records(long(spark, funds)).withColumnRenamed("isin", "id")))
     assert max(tasks) >= 7
+
+
+def test_pairs_inside_portfolios_are_not_shuffled_to_find_their_scores(spark, monkeypatch):
+    """What scores enough and the funds of portfolios are written, so Spark knows how few they are and neither is worked out twice."""
+    funds = mixed_funds(random.Random(4), 20)
+    held = spark.createDataFrame([(p, f, 0.1) for p in range(30) for f in funds], "portfolio_id long, isin string, w double")
+    kept = []
+    monkeypatch.setattr(ho, "stored", lambda df, keep=ho.stored: (kept.append(sorted(df.columns)), keep(df))[1])
+    out = ho.overlap_pairs(held, long(spark, funds), least=0.4)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert ["id", "portfolio_id", "rep"] in kept and ["id_a", "id_b", "score"] in kept and "SortMergeJoin [least" not in plan
+    assert out.count() % 30 == 0
